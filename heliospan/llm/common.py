@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(df: DataFrame, made: str) -> T.StructType:
+    """The schema of df with further columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(made).fields])
+
+
 def uniform(key: Column) -> Column:
     """A draw from (0, 1) that depends on the string key alone: 52 bits of its MD5."""
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)

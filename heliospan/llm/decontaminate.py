@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from heliospan.llm.common import saved, table
+from heliospan.llm.common import extended, saved, table
 from heliospan.llm.texts import WORD_TABLE, pieces, words
 
 WINDOW = 10
@@ -178,7 +177,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
 
 def _pass(docs: DataFrame, text: str, automaton: Broadcast, first: bool) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(MADE).fields]) if first else docs.schema
+    schema = extended(docs, MADE) if first else docs.schema
     at = docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,17 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from heliospan.llm import decontaminate, sharding
+from heliospan.llm import decontaminate, language, mixing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language": language.op3_language,
+    "op5_token_counts": tokens.op5_token_counts,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op10_mixing": mixing.SQL,
 }
