@@ -1,11 +1,12 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from heliospan.llm import decontaminate, language, mixing, sharding, tokens, toxicity
+from heliospan.llm import decontaminate, language, mixing, repeats, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language": language.op3_language,
+    "op4_repeats": repeats.op4_repeats,
     "op5_token_counts": tokens.op5_token_counts,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mixing": mixing.op10_mixing,
