@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from heliospan.llm import decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity
+from heliospan.llm import decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -9,11 +9,13 @@ QUERIES = {
     "op4_repeats": repeats.op4_repeats,
     "op5_token_counts": tokens.op5_token_counts,
     "op7_jaccard": jaccard.op7_jaccard,
+    "op8_vectors": vectors.op8_vectors,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
+    "op8_vectors": vectors.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mixing": mixing.SQL,
 }
