@@ -12,7 +12,7 @@ split into pairs of blocks over many tasks, so every set is compared, at the cos
 Components of the links come from ``common.components``.
 
 Defined results: null texts and texts with no word link with nothing and are classes of their own. doc_id tells texts
-apart: rows that repeat one are one node of the graph (each is a row of the result). Extra columns do not matter. An
+apart: rows that repeat one are one node of the graph (each is a row of the result); a null one stands for a hash of the text. Extra columns do not matter. An
 empty table gives an empty table.
 """
 
@@ -246,9 +246,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: f
     class_id: the smallest key reachable by links, itself included. n_links: other documents linked directly. copies:
     documents with this very set of shingles, itself included.
     """
-    held = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    signed = saved(_signatures(held, depth(similarity, recall)), "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("n", "f1", "f2", "labels").agg(F.coalesce(F.min("id"), F.first("f1")).alias("node"), F.count("*").alias("copies"))
+    held = docs.select(_id(key, text).alias("id"), F.col(text).cast("binary").alias("text"))
+    signed = saved(_signatures(held.select("id", "text"), depth(similarity, recall)), "jaccard-signed")
+    classes = signed.where("n > 0").groupBy("n", "f1", "f2", "labels").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     classes = saved(classes, "jaccard-classes")
     meetings = saved(_meetings(classes), "jaccard-meetings")
     found = held.join(meetings.join(classes.select("node", "f1", "copies", "labels"), "node").withColumnRenamed("node", "id").hint("shuffle_hash"), "id")
@@ -268,6 +268,18 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: f
     )
 
 
+def _id(key: str, text: str) -> F.Column:
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text).cast("binary")))
+
+
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: object) -> DataFrame:
+    """One row of docs for each class: the one with the smallest key. Rows that repeat a key are one document."""
+    named = docs.withColumn("__id", _id(key, text))
+    found = join(named, text, "__id", **options)
+    first = found.where(F.col("__id") == F.col("class_id")).select("__id").distinct()
+    return named.join(first, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and link counts of all documents."""
     return join(binary_text(table(spark, sf_dir, "documents"), "doc_id"), text="__text")

@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from heliospan.llm import decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
+from heliospan.llm import crossentropy, decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_repeats": repeats.op4_repeats,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_cross_entropy": crossentropy.op6_cross_entropy,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_vectors": vectors.op8_vectors,
     "op9_decontaminate": decontaminate.op9_decontaminate,
