@@ -15,13 +15,15 @@ empty table stays empty. Other columns pass through; the columns made here are r
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm.common import UNIFORM_SQL, table, uniform
+from heliospan.llm.common import UNIFORM_SQL, extended, table, uniform
+from heliospan.llm.texts import joined, pieces, runs
 
 SWEEPS = 25
 MAX_CELLS = 100_000
@@ -34,20 +36,42 @@ Targets = Mapping[str, Mapping[str, float]]
 MADE = ("n_tokens", "source_cell", "lang_cell", "topic_cell", "weight", "probability", "draw", "kept")
 
 
-def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(0)).cast("long")
+_BLANKS = np.zeros(256, bool)
+_BLANKS[list(b" \t\r\n")] = True
+_LEGAL = (b"license", b"licence", b"copyright")
+_CONTACT = (b"@", b"http://", b"https://")
 
 
-def topic(text: Column) -> Column:
+def _topic(text: bytes | None, lines: int, chars: int) -> str | None:
     """A plain rule: legal notices, contact data, listings of short lines, prose."""
-    lines = F.length(text) - F.length(F.translate(text, "\n", ""))
-    return (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(F.lower(text).rlike("licen[cs]e|copyright"), "legal")
-        .when(text.rlike("@|https?://"), "contact")
-        .when(lines * 90 > F.length(text), "listing")
-        .otherwise("prose")
-    )
+    if text is None:
+        return None
+    lower = text.lower()
+    if any(x in lower for x in _LEGAL):
+        return "legal"
+    if any(x in text for x in _CONTACT):
+        return "contact"
+    return "listing" if lines * 90 > chars else "prose"
+
+
+def described(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with __tokens (runs of other characters than blanks) and __topic of each whole text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    docs = docs.drop("__tokens", "__topic")
+    schema, width = extended(docs, "__tokens long, __topic string"), len(docs.columns)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = to_arrow_schema(schema).names
+        for batch in pieces(batches, width):
+            data, bounds = joined(batch.column(width))
+            starts, _ = runs((~_BLANKS[data]).view(np.uint8), bounds)
+            within = [np.concatenate([[0], np.cumsum(x)])[bounds] for x in (data == 0x0A, (data & 0xC0) != 0x80)]
+            lines, chars = (np.diff(x).tolist() for x in within)
+            topics = [_topic(t.as_py(), *x) for t, *x in zip(batch.column(width), lines, chars, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.diff(np.searchsorted(starts, bounds))), pa.array(topics, pa.string())], names=names)
+
+    return docs.withColumn("__bytes", F.col(text).cast("binary")).mapInArrow(describe, schema)
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
@@ -112,7 +136,8 @@ TARGETS: Targets = {"source": SOURCES, "lang": LANGUAGES, "topic": TOPICS}
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs calibrated to TARGETS."""
-    return calibrate(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}, tokens(F.col("text")), TARGETS)
+    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("__topic")}
+    return calibrate(described(docs), columns, F.col("__tokens"), TARGETS).drop("__tokens", "__topic")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
