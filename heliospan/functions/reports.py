@@ -74,12 +74,12 @@ def cloud_groups(groups: Column) -> Column:
 
 def weather_codes(groups: Column) -> Column:
     """True for a wet code, false for a dry one, null if the codes prove nothing."""
-    wet, dry = F.lit(False), F.lit(False)
-    for name, least in (("MW", 50), ("AW", 40)):
+    def of(name: str, least: int) -> tuple[Column, Column]:
         codes = F.transform(_groups(groups, name + r"\d(\d{2})\d", 1), lambda c: c.cast("int"))
-        wet = wet | F.exists(codes, lambda c, least=least: c >= least)
-        dry = dry | F.exists(codes, lambda c, least=least: (c < 20) | (c == 28) | ((c >= 30) & (c < least)))
-    return F.when(wet, True).when(dry, False)
+        return F.exists(codes, lambda c: c >= least), F.exists(codes, lambda c: (c < 20) | (c == 28) | ((c >= 30) & (c < least)))
+
+    (wet, dry), (wet_too, dry_too) = of("MW", 50), of("AW", 40)
+    return F.when(wet | wet_too, True).when(dry | dry_too, False)
 
 
 def metar_body(remarks: Column) -> Column:

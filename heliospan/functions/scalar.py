@@ -130,7 +130,7 @@ def exclusion(coverage: dict[str, Column], valid_days: Column, days: Column, rul
     """kind, criterion, value and text of why a year is left out; all null if it counts."""
     worst, share = least_coverage(coverage), valid_days / days
     by_cover, by_days = worst["value"] < rules.min_fraction, share < rules.min_fraction
-    percent = F.format_number(F.when(by_cover, worst["value"]).otherwise(share) * 100, "#0")
+    percent = _formatted(F.when(by_cover, worst["value"]).otherwise(share) * 100, "#0")
     return {
         "excluded_kind": F.when(by_cover, "coverage").when(by_days, "days"),
         "excluded_criterion": F.when(by_cover, worst["criterion"]),
@@ -139,9 +139,13 @@ def exclusion(coverage: dict[str, Column], valid_days: Column, days: Column, rul
     }
 
 
+def _formatted(v: Column, pattern: str) -> Column:
+    return F.call_function("format_number", v, F.lit(pattern))
+
+
 def rounded(v: Column, digits: int) -> Column:
     """Rounds the exact binary value half to even, as the published files do."""
-    return F.format_number(v, "#0." + "0" * digits if digits else "#0").cast("double")
+    return _formatted(v, "#0." + "0" * digits if digits else "#0").cast("double")
 
 
 def goodness(v: Column, least: Column, most: Column, higher_is_better: bool = True) -> Column:
