@@ -164,8 +164,8 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
             for x in where:
                 grid = np.zeros((len(x), len(part)), np.float32)
                 for i, s in enumerate(x):
-                    lo, hi = np.searchsorted(s, (part[0], part[-1]))
-                    grid[i, np.searchsorted(part, s[lo : hi + 1])] = 1
+                    lo, hi = np.searchsorted(s, part[0]), np.searchsorted(s, part[-1], "right")
+                    grid[i, np.searchsorted(part, s[lo:hi])] = 1
                 grids.append(grid)
             shared += grids[0] @ grids[1].T
     return shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared) - 1e-9
