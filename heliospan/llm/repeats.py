@@ -272,9 +272,11 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
     spans: k1, k2 and the array of [lo, hi] ranges of starts of repeated windows.
     """
     rows = saved(_bundle_rows(docs, threshold), "repeats-bundles")
-    seeds = rows.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # written, so that the join below reads two plain exchanges, which adaptive execution can split at a hot seed
+    seeds = saved(rows.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeats-digits")
     again = saved(rows.join(seeds, "seed", "left_semi"), "repeats-seeds")
     discard(rows)
+    discard(seeds)
     kinds = again.groupBy("seed", "all").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("at").alias("at"))
     kinds = saved(kinds, "repeats-kinds")
     mixed = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1)).alias("any_open")).where("kinds > 1 and any_open")
