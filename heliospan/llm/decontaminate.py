@@ -184,9 +184,7 @@ def _pass(docs: DataFrame, text: str, automaton: Broadcast, first: bool) -> Data
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, at):
             n, spans, found = [], [], []
             for i, value in enumerate(batch.column(at).cast(pa.binary())):
                 size, s, f = automaton.value.scan(value.as_py())
@@ -232,14 +230,15 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = docs.columns
-    found = hits(docs, items, text, **options)
+    inner = [f"__{i}" for i in range(len(names))]  # columns may have the names made here
+    found = hits(docs.toDF(*inner), items, f"__{names.index(text)}", **options)
     share = F.aggregate("hit_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]) / F.greatest(F.col("hit_words"), F.lit(1))
     found = found.where(share <= coverage).withColumn("hit_spans", F.filter("hit_spans", lambda s: s["end"] - s["start"] >= longest))
     at, schema = names.index(text), docs.schema
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in pieces(batches, at):
             columns = batch.columns[: len(names)]
             spans = batch.column(len(names)).to_pylist()
             if any(spans):
@@ -247,7 +246,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int =
                 columns[at] = pa.array(values, kinds.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*names, "hit_spans").mapInArrow(trim, schema)
+    return found.select(*inner, "hit_spans").mapInArrow(trim, schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
