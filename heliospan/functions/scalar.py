@@ -78,7 +78,7 @@ def days_in_year(year: Column) -> Column:
 
 
 def streak_weight(n: Column, rules: Rules = RULES) -> Column:
-    return F.when(n < rules.streak_days, 0).otherwise(F.floor((n + 2) / 3)).cast("long")
+    return F.when(n < rules.streak_days, 0).when(n.isNotNull(), F.floor((n + 2) / 3)).cast("long")
 
 
 def perfect_indoor_ratio(perfect: Column, indoor: Column) -> Column:

@@ -15,12 +15,17 @@ from heliospan.operators.hours import KEYS
 
 def good_runs(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Longest run of good hours of each day: a run goes on to the next record if that is good and at most a step later."""
+    marked = _with_runs(hours, keys)
+    sizes = marked.groupBy(*keys, "local_date", "run").agg(F.count_if("good").alias("n"))
+    return sizes.groupBy(*keys, "local_date").agg(F.max("n").alias("best_run"))
+
+
+def _with_runs(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """hours with the number of their run in the day; a record that is not good is a run of none."""
     day = W.partitionBy(*keys, "local_date").orderBy("local_hour")
     goes_on = F.col("good") & F.lag("good").over(day) & (F.col("local_hour") - F.lag("local_hour").over(day) <= F.col("step"))
     marked = hours.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    marked = marked.withColumn("run", F.sum((~F.col("goes_on")).cast("int")).over(day))
-    sizes = marked.groupBy(*keys, "local_date", "run").agg(F.count_if("good").alias("n"))
-    return sizes.groupBy(*keys, "local_date").agg(F.max("n").alias("best_run"))
+    return marked.withColumn("run", F.sum((~F.col("goes_on")).cast("int")).over(day))
 
 
 def _bad(rules: Rules) -> Column:
@@ -35,7 +40,9 @@ def day_scores(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULE
     day = [*keys, "local_date"]
     top = F.ceil(F.lit(float(rules.top_hours)) / F.col("step")).cast("int")
     best = F.sort_array(F.collect_list(F.when(F.col("complete"), F.col("hour_score"))), False)
-    out = hours.groupBy(*day).agg(
+    runs = _with_runs(hours, keys).withColumn("run_size", F.count_if("good").over(W.partitionBy(*day, "run")))
+    out = runs.groupBy(*day).agg(
+        F.max("run_size").alias("best_run"),
         F.first("step").alias("step"),
         (F.first("day_end") - F.first("day_start")).alias("day_len"),
         F.count("*").alias("obs"),
@@ -53,7 +60,6 @@ def day_scores(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULE
     )
     need = F.when(F.col("step") == 1, rules.perfect_hours).otherwise(F.greatest(F.lit(2), F.ceil(F.lit(float(rules.perfect_hours)) / F.col("step")).cast("int")))
     score = F.when(F.col("complete") >= top, F.aggregate(F.slice("best", F.lit(1), top), F.lit(0.0), lambda a, v: a + v) / (top * 4))
-    out = out.join(good_runs(hours, keys), day)
     out = out.withColumn("day_score", score).withColumn("perfect", F.col("best_run") >= need).withColumn("indoor", _bad(rules)).withColumn("gloomy", F.col("cloudy") >= rules.gloom_records)
     enough = (F.col("day_len") > 0) & (F.col("complete") * F.col("step") >= F.col("day_len") * rules.min_fill)
     return out.withColumn("bad", F.col("indoor") | F.col("gloomy")).withColumn("valid", enough & F.col("day_score").isNotNull()).drop("best")
@@ -67,8 +73,20 @@ def streaks(days: DataFrame, flag: str, keys: Sequence[str] = KEYS, rules: Rules
     return runs.where(F.col("days") >= rules.streak_days).withColumn("weight", scalar.streak_weight(F.col("days"), rules)).drop("island")
 
 
-def _streak_totals(days: DataFrame, flag: str, name: str, keys: Sequence[str], rules: Rules) -> DataFrame:
-    return streaks(days, flag, keys, rules).groupBy(*keys).agg(F.sum("weight").alias(f"{name}_weighted"), F.max("days").alias(f"{name}_longest"), F.sum("days").alias(f"{name}_len_sum"), F.count("*").alias(f"{name}_len_count"))
+def _with_streaks(days: DataFrame, flag: str, name: str, keys: Sequence[str], rules: Rules) -> tuple[DataFrame, list[Column]]:
+    """days with the length of the streak that begins on each (null on others), and the year's sums over them.
+
+    By windows over the station-year, so that the year needs no second pass and no join.
+    """
+    shown = F.coalesce(F.col("valid") & F.col(flag), F.lit(False))
+    flagged = W.partitionBy(*keys, f"__{name}").orderBy("local_date")
+    out = days.withColumn(f"__{name}", shown).withColumn(f"__{name}_island", F.unix_date("local_date") - F.row_number().over(flagged))
+    island = W.partitionBy(*keys, f"__{name}", f"__{name}_island")
+    begins = F.col(f"__{name}") & (F.col("local_date") == F.min("local_date").over(island))
+    out = out.withColumn(f"__{name}_run", F.when(begins, F.count("*").over(island)))
+    run = F.when(F.col(f"__{name}_run") >= rules.streak_days, F.col(f"__{name}_run"))
+    sums = {"weighted": F.sum(scalar.streak_weight(run, rules)), "longest": F.max(run), "len_sum": F.sum(run), "len_count": F.count(run)}
+    return out, [F.coalesce(v, F.lit(0)).cast("long").alias(f"{name}_{k}") for k, v in sums.items()]
 
 
 def in_file_year(days: DataFrame) -> DataFrame:
@@ -78,7 +96,8 @@ def in_file_year(days: DataFrame) -> DataFrame:
 
 def year_stats(days: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
     """One row for each station and year: coverage over all its days, sums over valid days, streaks."""
-    own = in_file_year(days)
+    own, gloom = _with_streaks(in_file_year(days), "bad", "gloom", keys, rules)
+    own, perfect = _with_streaks(own, "perfect", "pstreak", keys, rules)
     valid = F.col("valid")
     length = float(rules.day_end - rules.day_start)
     sums = own.groupBy(*keys).agg(
@@ -90,11 +109,9 @@ def year_stats(days: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES
         *(F.count_if(valid & F.col(c)).alias(f"{c}_count") for c in ("perfect", "indoor", "gloomy", "bad")),
         F.coalesce(F.sum(F.when(valid, F.col("complete"))), F.lit(0)).alias("samples"),
         F.coalesce(F.sum(F.when(valid, F.col("sum_precip") * 24.0 / F.col("day_len"))), F.lit(0.0)).alias("precip_mm"),
+        *gloom,
+        *perfect,
     )
-    counted = own.where(valid)
-    for flag, name in (("bad", "gloom"), ("perfect", "pstreak")):
-        sums = sums.join(_streak_totals(counted, flag, name, keys, rules), list(keys), "left")
-    sums = sums.fillna(0, [f"{n}_{k}" for n in ("gloom", "pstreak") for k in ("weighted", "longest", "len_sum", "len_count")])
     sums = sums.withColumn("days_in_year", scalar.days_in_year(F.col(keys[1])))
     for c in CRITERIA:
         sums = sums.withColumn(f"coverage_{c}", F.col(f"n_{c}") / (F.col("days_in_year") * length / F.col("step"))).drop(f"n_{c}")

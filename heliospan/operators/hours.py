@@ -48,8 +48,11 @@ def with_daylight(hours: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 def evidence(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Hours of a file that show its gauge or observer reports precipitation."""
-    shows = F.col("precip_mm").isNotNull() | F.coalesce(F.col("wx_wet"), F.lit(False)) | F.col("acc_period").isNotNull()
-    return hours.groupBy(*keys).agg(F.count_if(shows).alias("evidence"))
+    return hours.groupBy(*keys).agg(F.count_if(_shows()).alias("evidence"))
+
+
+def _shows() -> Column:
+    return F.col("precip_mm").isNotNull() | F.coalesce(F.col("wx_wet"), F.lit(False)) | F.col("acc_period").isNotNull()
 
 
 def accumulation_slots(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
@@ -63,7 +66,8 @@ def accumulation_slots(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rule
 
 def effective_hours(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
     """Daytime hours with precipitation resolved: measured, wet, dry by evidence, accumulated, else unknown."""
-    lit_up = with_daylight(hours, rules).join(evidence(hours, keys), list(keys))
+    # a window over the file, whose rows are together already, in place of a join with ``evidence``
+    lit_up = with_daylight(hours.withColumn("evidence", F.count_if(_shows()).over(W.partitionBy(*keys))), rules)
     lit_up = lit_up.where((F.col("local_hour") >= F.col("day_start")) & (F.col("local_hour") < F.col("day_end")))
     stated = F.coalesce(F.col("precip_mm"), F.when(F.col("wx_wet"), rules.wet_mm), F.when(~F.col("wx_wet") & (F.col("evidence") >= rules.evidence_hours), 0.0))
     filled = lit_up.join(accumulation_slots(hours, keys, rules), [*keys, "abs_hour"], "left")
@@ -94,6 +98,16 @@ def reporting_step(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return best.select(*keys, F.coalesce(F.greatest(F.lit(1), F.least(F.lit(6), F.col("gap"))), F.lit(1)).cast("int").alias("step"))
 
 
+def with_step(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """hours with the step of ``reporting_step``, by windows over the file in place of a join."""
+    gap = F.col("local_hour") - F.lag("local_hour").over(W.partitionBy(*keys, "local_date").orderBy("local_hour"))
+    same, whole = W.partitionBy(*keys, "__gap"), W.partitionBy(*keys)
+    out = hours.withColumn("__gap", gap)
+    out = out.withColumn("__rank", F.when(F.col("__gap").isNotNull(), F.struct(F.count("__gap").over(same).alias("n"), (-F.min("abs_hour").over(same)).alias("first"))))
+    step = F.greatest(F.lit(1), F.least(F.lit(6), F.max_by("__gap", "__rank").over(whole)))
+    return out.withColumn("step", F.coalesce(step, F.lit(1)).cast("int")).drop("__gap", "__rank")
+
+
 def cadence(reports: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
     """Lines for each calendar day of the years that have a file, by station, and whether that reaches the bound."""
     by_year = reports.groupBy(*keys).agg(F.count("*").alias("lines"))

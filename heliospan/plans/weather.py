@@ -29,7 +29,7 @@ def scored_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES) -> t
     """Effective hours and day scores. Partitioned once by station and year, which all later groups and windows contain."""
     local = hours.localised(merged, places).repartition(*KEYS)
     effective = hours.effective_hours(local, rules=rules)
-    stepped = hours.scored(effective, rules).join(hours.reporting_step(effective), list(KEYS))
+    stepped = hours.with_step(hours.scored(effective, rules))
     return effective, days.day_scores(stepped, rules=rules)
 
 
@@ -68,7 +68,7 @@ def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: Dat
 
 def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES) -> Climate:
     """Files of stations whose cadence is enough, parsed and scored."""
-    parsed = files.parse(files.report_lines(spark, f"{root}/*/*.gz"), strict)
+    parsed = files.parse(files.report_lines(spark, f"{root}/*/{files.GLOB}"), strict)
     accepted = hours.cadence(parsed, rules=rules).where("accepted").select("station")
     places = files.manifest_file(spark, manifest_path, drop_origin=False).select(F.col("id").alias("station"), "lat", "lon")
     return climate(parsed.join(accepted, "station", "left_semi"), places, rules=rules)

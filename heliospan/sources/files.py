@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from heliospan.functions import reports, scalar
 
 YEARS = (2010, 2025)
+#: The same as a path pattern, so that other files are not opened.
+GLOB = f"{'[0-9]' * 6}-{'[0-9]' * 5}-{'[0-9]' * 4}.gz"
 NAME = r"^(\d{6})-(\d{5})-(\d{4})\.gz$"
 
 
@@ -24,7 +26,7 @@ def name_parts(path: Column) -> dict[str, Column]:
 
 def station_files(spark: SparkSession, root: str) -> DataFrame:
     """station, file_year, path of the archive's files (root/<year>/<name>.gz), without reading them."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(root).select("path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root).select("path")
     return listed.withColumns(name_parts(F.col("path"))).where("known").drop("known").where(F.col("file_year").between(*YEARS))
 
 

@@ -13,12 +13,12 @@ from heliospan.sources import files
 def stream_hours(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Watches root/<year>/*.gz. A file is one station-year, so its hours never wait for another batch and no state is kept;
     each batch replaces the partitions it writes, so a retried batch leaves no double rows."""
-    lines = spark.readStream.schema("value string").option("lineSep", "\n").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").format("text").load(root)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.readStream.schema("value string").option("lineSep", "\n").option("pathGlobFilter", files.GLOB).option("recursiveFileLookup", "true").format("text").load(root)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"))
 
     def write(batch: DataFrame, number: int) -> None:
         line = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\r$", "")
-        named = batch.withColumn("line", line).withColumns(files.name_parts(F.col("path"))).where("known").select("station", "file_year", "line_no", "line")
+        named = batch.withColumn("line_no", F.monotonically_increasing_id()).withColumn("line", line).withColumns(files.name_parts(F.col("path"))).where("known").select("station", "file_year", "line_no", "line")
         hours = merge_hours(files.parse(named))
         hours.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_year", "station").parquet(out)
 
