@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm.common import components, discard, saved, table
-from heliospan.llm.texts import binary_text, mix, pieces, random_words, word_hashes
+from heliospan.llm.texts import CHUNK_BYTES, binary_text, mix, pieces, random_words, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -121,6 +121,7 @@ def _rows(found: DataFrame) -> DataFrame:
             nodes, prints = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             copies, labels, meetings = (batch.column(i).to_pylist() for i in (3, 4, 5))
             out: list[tuple] = []
+            size = 0
             for i, own in enumerate(sets):
                 if not len(own) or int(np.sum(mix(own * _SHINGLE[0]), dtype=np.uint64).view(np.int64)) != prints[i]:
                     continue  # another text under a repeated id
@@ -130,9 +131,10 @@ def _rows(found: DataFrame) -> DataFrame:
                     for other in range(m["blocks"]):
                         a, b = min(block, other), max(block, other)
                         out.append((m["tree"], m["prefix"], a, b, nodes[i], block, copies[i], label, packed))
-                        if len(out) >= 2000:
+                        size += len(packed)
+                        if size >= CHUNK_BYTES:
                             yield _batch(out)
-                            out = []
+                            out, size = [], 0
             if out:
                 yield _batch(out)
 
@@ -205,13 +207,12 @@ def _links(rows: DataFrame, similarity: float) -> DataFrame:
         held: list[dict] = []
         key = None
         out: list[tuple[int, int, int]] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (now := (row["tree"], row["prefix"], row["a"], row["b"])) != key:
-                    if len(held) > 1:
-                        out += compare(held)
-                    held, key = [], now
-                held.append(row)
+        for row in (row for batch in batches for a in range(0, batch.num_rows, 64) for row in batch.slice(a, 64).to_pylist()):
+            if (now := (row["tree"], row["prefix"], row["a"], row["b"])) != key:
+                if len(held) > 1:
+                    out += compare(held)
+                held, key = [], now
+            held.append(row)
             if len(out) > 10_000:
                 yield _tallies(out)
                 out = []

@@ -21,7 +21,7 @@ WORD_BYTES = _WORD
 #: The same for bytes.translate, with blanks outside words.
 WORD_TABLE = bytes(int(x) or 0x20 for x in _WORD)
 #: Most bytes of text in an Arrow batch that is handled at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:

@@ -26,7 +26,7 @@ from heliospan.llm.texts import WORD_BYTES, hashes, joined, pieces, runs
 BITS = 18
 #: Bytes of the word beginnings that are features beside the whole words.
 BEGINNINGS = (4, 6)
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 7000
 MAX_GRADES = 32
 #: Features in fewer sampled texts have no weight.
 LEAST_TEXTS = 3
@@ -79,7 +79,7 @@ def fit(at: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_features: int =
     if top < 1 or len(np.unique(grades)) < 2:
         return Ordinal(np.zeros(n_features), np.zeros(0))
     common = np.bincount(at, minlength=n_features) >= LEAST_TEXTS
-    row = np.repeat(np.arange(len(sizes)), sizes)[common[at]]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[common[at]]
     at = at[common[at]]
     share = np.array([(grades > k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
     start = np.log1p(-share) - np.log(share)
@@ -125,12 +125,13 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "do
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
     level = np.clip(found.column("grade").to_numpy().astype(np.int64), 0, MAX_GRADES - 1)
-    at = lists.flatten().to_numpy().astype(np.int64)
+    at = lists.flatten().to_numpy()
     sizes = np.diff(lists.offsets.to_numpy())
     # a fixed order of the rows gives the same sums in every run
     starts = lists.offsets.to_numpy()
-    sums = np.concatenate([[0], np.cumsum(at)])
+    sums = np.concatenate([[0], np.cumsum(at, dtype=np.int64)])
     order = np.lexsort((sums[starts[1:]] - sums[starts[:-1]], sizes, level))
+    del found, sums
     flat = at[np.repeat(starts[:-1][order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(len(at))]
     return fit(flat, sizes[order], level[order])
 
