@@ -30,8 +30,8 @@ SAMPLE_ROWS = 7000
 MAX_GRADES = 32
 #: Features in fewer sampled texts have no weight.
 LEAST_TEXTS = 3
-STEPS, RATE, DECAY = 150, 0.1, 3e-5
-THRESHOLD = 0.25
+STEPS, RATE, DECAY = 400, 0.1, 3e-5
+THRESHOLD = 0.1
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
