@@ -3,6 +3,10 @@
 P(grade > k) = sigmoid(w . x - b_k) with thresholds b_0 < b_1 < ... that share the weights w; the severity of a text is
 the expected grade, the sum of these probabilities. x marks which hashed words and word beginnings a text holds.
 
+A text is toxic where the log odds of P(grade > 0) reach the model's cut. The cut is learned too: each part of the sample
+is rated by a model fitted on the other parts, and the cut with the best F-measure there is taken, in the middle between
+the two neighbouring texts (the highest such cut if several are as good; even odds if the parts have too few grades).
+
 The model is fitted on a bounded sample of graded rows (``SAMPLE_ROWS`` by hash order, a documented bound), whose
 sparse features go to the driver. The weights (2**BITS numbers) are broadcast, and scoring is map-only over whole texts.
 
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm.common import extended, table
-from heliospan.llm.texts import WORD_BYTES, hashes, joined, pieces, runs
+from heliospan.llm.texts import WORD_BYTES, hashes, joined, per_row, pieces, runs
 
 BITS = 18
 #: Bytes of the word beginnings that are features beside the whole words.
@@ -31,7 +35,12 @@ MAX_GRADES = 32
 #: Features in fewer sampled texts have no weight.
 LEAST_TEXTS = 3
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
-THRESHOLD = 0.1
+#: Parts of the sample for the choice of the cut, each rated by a model fitted on the others.
+FOLDS = 3
+#: Weight of recall against precision in that choice: below 1, as a clean document lost is worse than a toxic one kept.
+BETA = 0.5
+#: Log odds beyond this are cut off, so that the middle of two of them exists.
+MOST_ODDS = 30.0
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,19 +67,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Ordinal:
-    """Weights and ascending thresholds; no thresholds: nothing was learned."""
+    """Weights, ascending thresholds and the cut in log odds of P(grade > 0); no thresholds: nothing was learned."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, cut: float = 0.0):
+        self.weights, self.thresholds, self.cut = weights, thresholds, cut
 
     def exceed(self, column: pa.Array) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
-        at, bounds = features(column)
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[at])])
-        score = sums[bounds[1:]] - sums[bounds[:-1]]
-        p = _sigmoid(score[:, None] - self.thresholds[None, :])
-        p[bounds[1:] == bounds[:-1]] = 0.0
-        return p
+        return _sigmoid(self.odds(*features(column)))
+
+    def odds(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log odds of grade > k for each text and threshold; those of a text with no features are -inf."""
+        score = per_row(self.weights[at], bounds, np.add, 0.0)
+        score[bounds[1:] == bounds[:-1]] = -np.inf
+        return score[:, None] - self.thresholds[None, :]
 
 
 def fit(at: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_features: int = 1 << BITS) -> Ordinal:
@@ -79,30 +89,61 @@ def fit(at: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_features: int =
     if top < 1 or len(np.unique(grades)) < 2:
         return Ordinal(np.zeros(n_features), np.zeros(0))
     common = np.bincount(at, minlength=n_features) >= LEAST_TEXTS
+    n = int(common.sum())
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[common[at]]
-    at = at[common[at]]
+    column = (np.cumsum(common) - 1)[at[common[at]]]
+    by_row = np.searchsorted(row, np.arange(len(sizes) + 1))
+    order = np.argsort(column, kind="stable")
+    rows_of, by_column = row[order], np.searchsorted(column[order], np.arange(n + 1))
     share = np.array([(grades > k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
     start = np.log1p(-share) - np.log(share)
     # free parameters: the weights, the first threshold and the logs of the gaps
-    x = np.concatenate([np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    x = np.concatenate([np.zeros(n), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     first, second = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
-        w, gaps = x[:n_features], np.exp(x[n_features + 1 :])
-        b = x[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
-        eta = np.bincount(row, w[at], len(sizes))
+        w, gaps = x[:n], np.exp(x[n + 1 :])
+        b = x[n] + np.concatenate([[0.0], np.cumsum(gaps)])
+        eta = per_row(w[column], by_row, np.add, 0.0)
         edges = np.concatenate([[-np.inf], b, [np.inf]])
         low, high = _sigmoid(edges[grades] - eta), _sigmoid(edges[grades + 1] - eta)
         mass = np.maximum(high - low, 1e-12)
         d_eta = 1 - high - low
         d_edges = np.bincount(grades, low * (1 - low) / mass, top + 1)[1:] - np.bincount(grades, high * (1 - high) / mass, top + 1)[:-1]
         d_gaps = d_edges[::-1].cumsum()[::-1][1:] * gaps
-        slope = np.concatenate([-np.bincount(at, -d_eta[row], n_features) + DECAY * len(sizes) * w, d_edges[:1] * 0 + d_edges.sum(), d_gaps]) / len(sizes)
+        slope = np.concatenate([per_row(d_eta[rows_of], by_column, np.add, 0.0) + DECAY * len(sizes) * w, [d_edges.sum()], d_gaps]) / len(sizes)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         x -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        x[:n_features][~common] = 0
-    gaps = np.exp(x[n_features + 1 :])
-    return Ordinal(x[:n_features].copy(), x[n_features] + np.concatenate([[0.0], np.cumsum(gaps)]))
+    weights = np.zeros(n_features)
+    weights[common] = x[:n]
+    return Ordinal(weights, x[n] + np.concatenate([[0.0], np.cumsum(np.exp(x[n + 1 :]))]))
+
+
+def _taken(at: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some rows, and the bounds of these rows in them."""
+    sizes = np.diff(bounds)[rows]
+    ends = np.cumsum(sizes)
+    return at[np.repeat(bounds[:-1][rows] - (ends - sizes), sizes) + np.arange(sizes.sum())], np.concatenate([[0], ends])
+
+
+def best_cut(at: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> float:
+    """The cut with the best F-measure, every row rated by a model fitted without its part of the rows."""
+    odds, part = np.full(len(grades), -MOST_ODDS), np.arange(len(grades)) % FOLDS
+    for k in range(FOLDS):
+        others, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        taken, ends = _taken(at, bounds, others)
+        model = fit(taken, np.diff(ends), grades[others])
+        if not len(model.thresholds):
+            return 0.0
+        odds[own] = model.odds(*_taken(at, bounds, own))[:, 0].clip(-MOST_ODDS, MOST_ODDS)
+    order = np.argsort(-odds, kind="stable")
+    odds, toxic = odds[order], grades[order] > 0
+    below = np.append(odds[1:], -MOST_ODDS)
+    hits = np.cumsum(toxic)
+    worth = (1 + BETA**2) * hits / (BETA**2 * hits[-1] + np.arange(1, len(hits) + 1))
+    worth[below == odds] = -1.0  # rows of the same odds are not parted
+    best = int(worth.argmax())
+    return float((odds[best] + below[best]) / 2)
 
 
 def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "doc_id", grade: str = "grade", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
@@ -125,19 +166,18 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "do
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
     level = np.clip(found.column("grade").to_numpy().astype(np.int64), 0, MAX_GRADES - 1)
-    at = lists.flatten().to_numpy()
-    sizes = np.diff(lists.offsets.to_numpy())
-    # a fixed order of the rows gives the same sums in every run
-    starts = lists.offsets.to_numpy()
-    sums = np.concatenate([[0], np.cumsum(at, dtype=np.int64)])
-    order = np.lexsort((sums[starts[1:]] - sums[starts[:-1]], sizes, level))
-    del found, sums
-    flat = at[np.repeat(starts[:-1][order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(len(at))]
-    return fit(flat, sizes[order], level[order])
-
-
-def score(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with severity (expected grade), grade (its rounding) and toxic (P(grade > 0) >= threshold)."""
+    at, bounds = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    del found
+    # a fixed order of the rows gives the same sums and parts in every run
+    rows = np.lexsort((per_row(at, bounds, np.add, 0), np.diff(bounds), level))
+    at, bounds = _taken(at, bounds, rows)
+    model = fit(at, np.diff(bounds), level[rows])
+    model.cut = best_cut(at, bounds, level[rows])
+    return model
+
+
+def score(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float | None = None) -> DataFrame:
+    """docs with severity (expected grade), grade (its rounding) and toxic: P(grade > 0) is the threshold or more, the model's cut where none is given."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = docs.drop("severity", "grade", "toxic")
@@ -145,13 +185,14 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float
     schema = extended(docs, "severity double, grade int, toxic boolean")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     at, width = len(columns), len(columns)
+    least = float(_sigmoid(np.float64(model.cut))) if threshold is None else threshold
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = to_arrow_schema(schema).names
         for batch in pieces(batches, at):
             p = held.value.exceed(batch.column(at))
             severity = p.sum(1)
-            toxic = p[:, 0] >= threshold if p.shape[1] else np.zeros(len(p), bool)
+            toxic = p[:, 0] >= least if p.shape[1] else np.zeros(len(p), bool)
             made = [pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(toxic)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
 

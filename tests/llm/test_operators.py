@@ -80,6 +80,20 @@ def test_toxicity(spark):
     assert {r["severity"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_cut():
+    bounds = np.arange(0, 121, 2)
+    grades = np.arange(60) // 30
+    at = np.stack([grades, np.full(60, 2)], 1).ravel()
+    cut = toxicity.best_cut(at, bounds, grades)
+    odds = toxicity.fit(at, np.diff(bounds), grades).odds(at, bounds)[:, 0]
+    assert (odds[grades == 0] < cut).all() and (odds[grades == 1] > cut).all()
+    noisy = grades.copy()
+    noisy[0] = 1  # looks like the clean ones, so the cut stays above them
+    odds = toxicity.fit(at, np.diff(bounds), noisy).odds(at, bounds)[:, 0]
+    assert (odds[at[::2] == 0] < toxicity.best_cut(at, bounds, noisy)).all()
+    assert toxicity.best_cut(at, bounds, np.zeros(60, int)) == 0.0 and toxicity.best_cut(at[:0], bounds[:1], grades[:0]) == 0.0
+
+
 def test_language(spark):
     rng = np.random.default_rng(2)
     syllables = {"aa": ["ka", "to", "mi"], "bb": ["schl", "üng", "eit"]}
