@@ -49,7 +49,9 @@ def factor_scores(temp: Column, dew: Column, precip: Column, cloud: Column, rule
 
 def utc_offset(lon: Column) -> Column:
     """Whole hours of local solar time: lon / 15, half to even, within 12; 0 where unknown."""
-    return F.coalesce(F.greatest(F.lit(-12), F.least(F.lit(12), F.rint(lon / 15.0).cast("int"))), F.lit(0))
+    # least and greatest skip nulls, so an unknown longitude is sorted out before
+    known = lon.isNotNull() & ~F.isnan(lon)
+    return F.when(known, F.greatest(F.lit(-12), F.least(F.lit(12), F.rint(lon / 15.0).cast("int")))).otherwise(0)
 
 
 def abs_hour(day: Column, hour: Column, offset: Column) -> Column:
