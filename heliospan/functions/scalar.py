@@ -88,7 +88,7 @@ def perfect_indoor_ratio(perfect: Column, indoor: Column) -> Column:
 
 
 def _ramp(v: Column, zero: float, full: float) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - zero) / (full - zero)))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - zero) / (full - zero))))
 
 
 def vegetation_from_rain(mm: Column, rules: Rules = RULES) -> Column:
@@ -151,8 +151,9 @@ def rounded(v: Column, digits: int) -> Column:
 
 
 def goodness(v: Column, least: Column, most: Column, higher_is_better: bool = True) -> Column:
+    """Place of a value between the bounds, 0 to 1; null for null."""
     ratio = (v - least) / (most - least)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio if higher_is_better else 1 - ratio))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio if higher_is_better else 1 - ratio)))
 
 
 def widened(least: Column, most: Column) -> tuple[Column, Column]:

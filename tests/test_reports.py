@@ -121,6 +121,9 @@ def test_scalars(spark):
         assert get(scalar.rounded(F.lit(float(v)), d)) == round(v, d)
     assert [get(scalar.utc_offset(F.lit(x))) for x in (7.5, 22.5, -187.0, 179.0)] == [0, 2, -12, 12]
     assert get(scalar.utc_offset(F.lit(None).cast("double"))) == 0
+    nothing = F.lit(None).cast("double")
+    assert get(scalar.goodness(nothing, F.lit(0.0), F.lit(1.0))) is None and get(scalar.goodness(F.lit(0.25), F.lit(0.0), F.lit(1.0), False)) == 0.75
+    assert get(scalar.vegetation(F.lit(None).cast("array<double>"))["vegetation"]) is None and get(scalar.utc_offset(F.lit(float("nan")))) == 0
     lush = F.array(*(F.lit(0.5 if m in (10, 11, 0, 1) else 0.2) for m in range(12)))
     assert get(scalar.longest_lush_run(lush)) == 4 and get(scalar.longest_lush_run(F.array(*[F.lit(0.6)] * 12))) == 12
     assert get(scalar.title_name(F.lit("COTE D'IVOIRE"))) == "Cote D'Ivoire" and get(scalar.title_name(F.lit("ANTIGUA AND BARBUDA"))) == "Antigua and Barbuda"
