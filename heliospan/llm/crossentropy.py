@@ -1,5 +1,8 @@
 """Cross-entropy difference: matched target and background n-gram models share one vocabulary and score each document.
 
+The query ``op6_cross_entropy`` counts every word and word pair (``heliospan.llm.bigrams``). ``train`` and ``score`` here
+are the small model for a vocabulary of a given size, to be broadcast; no query uses them. The rest describes that one.
+
 Both models are interpolated class bigrams with the same vocabulary, classes and smoothing; only their counts differ.
 The vocabulary is the VOCABULARY most frequent words of the whole corpus (a word is known by its 64-bit hash), the rest
 is one unknown word. The CORE most frequent words are classes of their own, all others are one class. With v, w words
@@ -8,8 +11,8 @@ and c(.) their classes,
   P(w | v) = (n(c(v), c(w)) + S P(c(w))) / (n(c(v)) + S) x P(w) / P(c(w)),   P(w) = (n(w) + A) / (n + A (V + 1)),
 
 which sums to 1. A document's score is the mean over its tokens of the target loss less the background loss; below 0
-it is nearer to the target. Counts cover all documents; Spark sums them, so what is gathered grows with the corpus.
-The model (V + CORE^2 numbers twice) has a fixed size and is broadcast. Each pass reads whole texts, map-side.
+it is nearer to the target. Counts cover all documents, but words past the vocabulary are one word and words past the
+core one class in pairs. The model (V + CORE^2 numbers twice) has a fixed size and is broadcast. Each pass reads whole texts, map-side.
 
 Defined results: a null text or one with no word has no tokens and losses 0. A null target flag is background. With no
 target (or no background) rows that model is uniform. Repeated rows count each; extra columns do not matter.
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliospan.llm import bigrams
 from heliospan.llm.common import extended, table
 from heliospan.llm.texts import per_row, pieces, word_hashes
 
@@ -185,5 +189,4 @@ TARGET_SOURCES = ("src1", "src2", "src3")
 def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of every document under the models of the target sources and of all others."""
     docs = table(spark, sf_dir, "documents")
-    words, target, background = train(docs, F.col("source").isin(*TARGET_SOURCES))
-    return score(docs.select("doc_id", F.col("text").cast("binary").alias("text")), words, target, background).drop("text")
+    return bigrams.scored(docs, F.col("source").isin(*TARGET_SOURCES), smoothing=SMOOTHING, added=ADDED)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliospan.llm import crossentropy, decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
+from heliospan.llm import bigrams, crossentropy, decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -175,6 +175,35 @@ def test_cross_entropy(spark, texts):
     assert crossentropy.score(docs, *empty).count() == len(texts)
 
 
+@pytest.mark.parametrize("sizes", [None, (150, 400)])
+def test_cross_entropy_counts_all_pairs(spark, texts, sizes, tmp_path):
+    """Against brute force over every word and pair; most words here have a rank over CORE."""
+    rng = np.random.default_rng(8)
+    texts = [*texts, *(prose(rng, 80, 5000) for _ in range(30))]
+    texts += texts[-10:]
+    docs = make(spark, texts)
+    if sizes:
+        found = bigrams.scored(docs, F.col("source").isin("src1", "src2", "src3"), chunk_words=sizes[0], bucket_words=sizes[1])
+    else:
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+        found = crossentropy.op6_cross_entropy(spark, str(tmp_path))
+    out = {r["doc_id"]: r for r in found.collect()}
+    assert len(out) == len(texts) and found.columns == ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]
+    split = [words(t) for t in texts]
+    vocabulary = {w for x in split for w in x}
+    for column, flag in (("target_loss", True), ("background_loss", False)):
+        own = [x for i, x in enumerate(split) if (i % 3 > 0) == flag]
+        one, first = collections.Counter(w for x in own for w in x), collections.Counter(w for x in own for w in x[:-1])
+        two, n = collections.Counter(p for x in own for p in zip(x, x[1:], strict=False)), sum(map(len, own))
+        alone = {w: (one[w] + 0.5) / (n + 0.5 * (len(vocabulary) + 1)) for w in vocabulary}
+        for i, x in enumerate(split):
+            p = [alone[w] for w in x[:1]] + [(two[v, w] + 32 * alone[w]) / (first[v] + 32) for v, w in zip(x, x[1:], strict=False)]
+            assert out[i]["n_tokens"] == len(x) and abs(out[i][column] - (-np.log(p).mean() if x else 0)) < 1e-9
+    assert all(abs(r["target_loss"] - r["background_loss"] - r["difference"]) < 1e-12 for r in out.values())
+    assert bigrams.scored(docs.limit(0), F.lit(True)).count() == 0
+    assert {r["target_loss"] for r in bigrams.scored(make(spark, [None, "!"]), F.lit(True)).collect()} == {0.0}
+
+
 def brute_jaccard(rows, least=0.8):
     sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for i, t in rows}
     parent, n = {i: i for i in sets}, collections.Counter()
