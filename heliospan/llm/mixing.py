@@ -2,7 +2,10 @@
 
 Token weights are raked to source, language and topic marginals: each sweep scales the cells of (source, language,
 topic) so that one dimension after the other meets its target shares. Documents are then sampled with probability
-proportional to the calibrated weight of their cell, scaled so that the expected tokens are a given share of all.
+proportional to the calibrated weight of their cell (``reachable``): no probability is cut, so the expected shares of the
+kept tokens are the fitted ones, and the budget is an upper bound. One over the largest weight of all tokens can be kept
+at most. ``probabilities``, which the SQL of op10_mixing fixes, meets the budget instead: it cuts probabilities at 1, and
+the kept tokens miss the targets wherever it does.
 
 Targets name values; all other values (null too) share the rest as one value. So there are at most the product of
 (named values + 1) cells whatever the data, which is why they may be collected and broadcast. Token counts are summed
@@ -15,7 +18,7 @@ empty table stays empty. Other columns pass through; the columns made here are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +106,16 @@ def probabilities(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.nda
     return np.where(mass > 0, p, 1.0)
 
 
-def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column, targets: Targets, key: str = "doc_id", budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+def reachable(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
+    """s x weight with the largest s that leaves no probability over 1 and the expected mass within budget x its sum; 1 for cells of no mass."""
+    held = mass > 0
+    if not held.any() or not weight[held].max() > 0:
+        return np.ones_like(weight)
+    scale = min(1 / weight[held].max(), budget * mass.sum() / (mass * weight).sum())
+    return np.where(held, np.minimum(1.0, scale * weight), 1.0)
+
+
+def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column, targets: Targets, key: str = "doc_id", budget: float = BUDGET, sweeps: int = SWEEPS, law: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = reachable) -> DataFrame:
     """docs with tokens, cell, weight, probability, draw and kept. columns: the value of each dimension of targets."""
     spark, names = docs.sparkSession, list(targets)
     values = {d: [*sorted(targets[d]), OTHER] for d in names}
@@ -123,7 +135,7 @@ def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column,
         shares.append(np.append(named, max(0.0, 1.0 - named.sum())))
     fitted = rake(mass, shares, sweeps)
     weight = np.divide(fitted, mass, out=np.zeros_like(fitted), where=mass > 0)
-    p = probabilities(mass, weight, budget)
+    p = law(mass, weight, budget)
     made = [(*(values[d][i] for d, i in zip(names, at, strict=True)), float(weight[at]), float(p[at])) for at in np.ndindex(*shape)]
     fields = ", ".join(f"`{c}` string" for c in cells)
     small = spark.createDataFrame(made, f"{fields}, weight double, probability double")
@@ -134,15 +146,15 @@ def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column,
 TARGETS: Targets = {"source": SOURCES, "lang": LANGUAGES, "topic": TOPICS}
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs calibrated to TARGETS."""
+def mixed(docs: DataFrame, targets: Targets = TARGETS, law: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = reachable) -> DataFrame:
+    """docs calibrated to targets of source, language and topic."""
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("__topic")}
-    return calibrate(described(docs), columns, F.col("__tokens"), TARGETS).drop("__tokens", "__topic")
+    return calibrate(described(docs), columns, F.col("__tokens"), targets, law=law).drop("__tokens", "__topic")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated weight, probability and draw of every document."""
-    found = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    """Calibrated weight, probability and draw of every document, by the law of its SQL: the budget is met."""
+    found = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), law=probabilities)
     return found.select("doc_id", "source_cell", "lang_cell", "topic_cell", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 

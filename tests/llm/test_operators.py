@@ -315,6 +315,30 @@ def test_mixing(spark, texts):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mixing_meets_targets(spark):
+    """The expected shares of the kept tokens are the targets, though src0 has far fewer tokens than its target share."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    rows = [(i, prose(rng, 40), ["en", "fr", "de", "es", "it"][i % 5], "src0" if i % 97 < 3 else f"src{1 + i % 6}", 0) for i in range(1500)]
+    rows += [(2000 + i, x, None, None, 0) for i, x in enumerate([None, ""])]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = {"source": mixing.SOURCES, "lang": mixing.LANGUAGES, "topic": {"prose": 1.0}}
+    out = mixing.mixed(docs, targets).collect()
+    total = sum(r["n_tokens"] for r in out)
+    kept = sum(r["n_tokens"] * r["probability"] for r in out)
+    assert 0 < kept <= mixing.BUDGET * total + 1e-6 and max(r["probability"] for r in out if r["n_tokens"]) <= 1
+    for d in ("source", "lang"):
+        shares = collections.Counter()
+        for r in out:
+            shares[r[f"{d}_cell"]] += r["n_tokens"] * r["probability"] / kept
+        goals = targets[d] | {mixing.OTHER: 1 - sum(targets[d].values())}
+        assert all(abs(shares[v] - goals[v]) < 0.005 for v in goals)
+    assert {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, "").collect()} == {r["doc_id"] for r in mixing.mixed(docs).collect() if r["kept"]}
+    mass, weight = np.array([10.0, 90.0, 0.0]), np.array([0.5, 95 / 90, 0.0])
+    assert np.allclose(mixing.reachable(mass, weight, 0.8), [0.4, 0.8 * 95 / 90, 1]) and (mixing.reachable(0 * mass, weight, 0.8) == 1).all()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
