@@ -222,9 +222,16 @@ def cut(text: bytes, spans: Sequence[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int = WINDOW, coverage: float = 0.5, **options: object) -> DataFrame:
+#: Words of the least hit span that ``clean`` removes. Spans under WINDOW are whole short items.
+LEAST_CUT = 5
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int = LEAST_CUT, coverage: float = 0.5, **options: object) -> DataFrame:
     """docs without hit spans of ``longest`` words or more; documents with a larger share of hit words than ``coverage`` go.
 
+    A whole occurrence of an item of under WINDOW words is a hit span, so those of ``longest`` words or more go too. Shorter
+    items are common phrases that clean documents hold as well: they stay, and only count for the coverage.
+
     Returns the columns of docs. Texts with no such span stay as they are, null ones too.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -298,6 +298,15 @@ def test_decontaminate(spark, texts, shard_words):
     assert decontaminate.hits(docs.limit(0), bench).count() == 0 and decontaminate.hits(docs, bench.limit(0)).where("size(hit_items) > 0").count() == 0
 
 
+def test_clean_cuts_short_items(spark):
+    rng = np.random.default_rng(11)
+    before, after = prose(rng, 40), prose(rng, 40)
+    docs = make(spark, [f"{before}, What is the tallest of all hills? {after}", f"{before} in the end {after}", "tallest of all hills " + before])
+    items = spark.createDataFrame([(1, "what is the tallest of all hills"), (2, "in the end")], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontaminate.clean(docs, items).collect()}
+    assert got == {0: f"{before}, ? {after}", 1: f"{before} in the end {after}", 2: "tallest of all hills " + before}
+
+
 def test_mixing(spark, texts):
     rng = np.random.default_rng(5)
     mass = rng.integers(1, 1000, (3, 4, 2)).astype(float)
