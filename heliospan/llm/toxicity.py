@@ -7,8 +7,8 @@ A text is toxic where the log odds of P(grade > 0) reach the model's cut. The cu
 is rated by a model fitted on the other parts, and the cut with the best F-measure there is taken, in the middle between
 the two neighbouring texts (the highest such cut if several are as good; even odds if the parts have too few grades).
 
-The model is fitted on a bounded sample of graded rows (``SAMPLE_ROWS`` by hash order, a documented bound), whose
-sparse features go to the driver. The weights (2**BITS numbers) are broadcast, and scoring is map-only over whole texts.
+The model is fitted on a bounded sample of graded rows with a text (``SAMPLE_ROWS`` by hash order, a documented bound),
+whose sparse features go to the driver. A sampled grade of MAX_GRADES or more is refused. The weights (2**BITS numbers) are broadcast, and scoring is map-only over whole texts.
 
 Defined results: a null or empty text has no features and severity 0. With fewer than two grades to learn from, all
 severities are 0. Texts graded twice count with their highest grade. Repeated rows and clashing extra columns of the
@@ -147,8 +147,9 @@ def best_cut(at: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "doc_id", grade: str = "grade", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """grades: (key, grade from 0). At most sample_rows keys, those first by hash, are broadcast to find their texts."""
+    """grades: (key, grade from 0). At most sample_rows keys, those first by hash of the keys that have a text, are broadcast to find their texts."""
     held = grades.where(F.col(key).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(F.col(grade)).cast("int").alias("__g"))
+    held = held.join(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__k")), "__k", "left_semi")
     held = held.orderBy(F.xxhash64("__k"), "__k").limit(sample_rows)
     rows = docs.join(F.broadcast(held), F.col(key) == F.col("__k")).where(F.col(text).isNotNull())
     rows = rows.select("__g", F.col(text).cast("binary").alias("__text"))
@@ -165,7 +166,9 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "do
     lists = found.column("features").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
-    level = np.clip(found.column("grade").to_numpy().astype(np.int64), 0, MAX_GRADES - 1)
+    level = np.maximum(found.column("grade").to_numpy().astype(np.int64), 0)
+    if level.max() >= MAX_GRADES:
+        raise ValueError(f"grades go from 0 to {MAX_GRADES - 1}; {level.max()} was given")
     at, bounds = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
     del found
     # a fixed order of the rows gives the same sums and parts in every run

@@ -80,6 +80,17 @@ def test_toxicity(spark):
     assert {r["severity"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_samples_labelled_texts(spark):
+    """Labels of absent documents and null texts take no place in the sample; grades over the bound are refused."""
+    docs = make(spark, [*["plain words here"] * 30, *["foulword vileword here"] * 30, *[None] * 200])
+    grades = spark.createDataFrame([(i, int(i >= 30)) for i in range(2000)], "doc_id long, grade int")
+    model = toxicity.train(docs, grades, sample_rows=60)
+    out = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, model).collect()}
+    assert len(model.thresholds) == 1 and all(out[i] == (30 <= i < 60) for i in out)
+    with pytest.raises(ValueError, match="grades go from 0"):
+        toxicity.train(docs, grades.withColumn("grade", F.lit(toxicity.MAX_GRADES)))
+
+
 def test_toxicity_cut():
     bounds = np.arange(0, 121, 2)
     grades = np.arange(60) // 30
