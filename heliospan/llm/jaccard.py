@@ -274,8 +274,19 @@ def _id(key: str, text: str) -> F.Column:
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: object) -> DataFrame:
-    """One row of docs for each class: the one with the smallest key. Rows that repeat a key are one document."""
+    """One row of docs for each class: the one with the smallest key. Rows that repeat a key and its text are one document.
+
+    Where rows with different texts share a key, the text with the smallest hash keeps it and each other one gets an id of
+    its own from key and text, above 2**62 and so after ordinary keys.
+    """
+    hashed = F.xxhash64(F.col(text).cast("binary"))
+    ids = docs.select(_id(key, text).alias("__id"), hashed.alias("__h"))
+    shared = saved(ids.groupBy("__id").agg(F.min("__h").alias("__first"), F.max("__h").alias("__last")).where("__first < __last").drop("__last"), "jaccard-shared")
     named = docs.withColumn("__id", _id(key, text))
+    if not shared.isEmpty():
+        own = F.xxhash64("__id", hashed).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        named = named.join(shared, "__id", "left").withColumn("__id", F.when(hashed != F.col("__first"), own).otherwise(F.col("__id"))).select(*docs.columns, "__id")
+        named = saved(named, "jaccard-named")
     found = join(named, text, "__id", **options)
     first = found.where(F.col("__id") == F.col("class_id")).select("__id").distinct()
     return named.join(first, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")

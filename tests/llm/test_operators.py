@@ -246,6 +246,18 @@ def test_jaccard(spark, texts, block, monkeypatch):
     assert jaccard.depth() == 4
 
 
+def test_representatives_of_shared_ids(spark):
+    """Rows that share a doc_id but hold unrelated texts all stay; copies go wherever they are."""
+    rng = np.random.default_rng(12)
+    a, b, c, d = (prose(rng, 60, 10**6) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b + " tail"), (4, d), (4, c), (None, a + " tail"), (5, None), (5, d + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = jaccard.representatives(docs)
+    texts = [r["text"] for r in kept.collect()]
+    heads = sorted((t or "").removesuffix(" tail") for t in texts)
+    assert heads == sorted([a, b, c, d, ""]) and kept.columns == docs.columns
+
+
 def test_similar_blocks():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**62, 12000, dtype=np.uint64)
