@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set comparison keeps the links.
+"""N-gram Jaccard join: MinHash bands of one fixed depth find candidates, exact set comparison keeps the links.
 
-Each text is the set of its five-word shingles (a text of one to four words is one shingle). Each tree of the forest
-labels a set with a row of min-hashes; in a trie over the sorted labels, sets below one node share a prefix. Prefixes
-are shortened from the full label until a pair at the threshold meets in some tree with the target recall (``depth``):
-with 20 trees and 0.8, at 4 min-hashes, 1 - (1 - 0.8^4)^20 = 0.99997. Pairs below one node are verified exactly, each in
+Each text is the set of its five-word shingles (a text of one to four words is one shingle). This stands in
+for an LSH forest: no sorted trie is built and no matched prefix is shortened. ``depth`` computes the longest prefix at
+which a pair at the threshold meets in some tree with the target recall (with 20 trees and 0.8, 4 min-hashes:
+1 - (1 - 0.8^4)^20 = 0.99997), only so many min-hashes are made, and sets with equal prefixes in a tree are one node. Pairs below one node are verified exactly, each in
 the first tree where it meets; a node whose sets all met before is skipped.
 
 Texts with equal sets are one class first, so copies cost one row. No pair is ever a row: a task compares the blocks of
