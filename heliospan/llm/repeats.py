@@ -1,8 +1,8 @@
 """Suffix-array dedup: removal of every byte covered by a string of ``THRESHOLD`` bytes that also starts elsewhere.
 
-Suffixes are ordered only through THRESHOLD bytes, by most-significant-digit passes; groups of one drop out after each
-pass, and what is still together after the last pass are exactly the repeated windows. So that not every byte needs a
-row, windows are sorted in bundles: the first digit of a window is its seed, the leftmost of its SEED-byte strings with
+No suffix is sorted: seed bundles with hash grouping stand in for the radix passes of a suffix sort, and the "digits"
+below are hashes by which windows are grouped, never bytes in their order. Groups of one drop out after each pass, and what is still together after the last pass are exactly the repeated windows. So that not every byte needs a
+row, windows are grouped in bundles: the first digit of a window is its seed, the leftmost of its SEED-byte strings with
 the least hash. Equal windows have equal seeds at equal offsets, and consecutive windows with one seed are one bundle
 (about one for 85 bytes).
 
@@ -12,7 +12,8 @@ the least hash. Equal windows have equal seeds at equal offsets, and consecutive
           class beside them. Seeds with up to LOCAL different bundles are compared in one task, others as rows that
           Spark counts, so no task holds a hot seed.
 
-Digits are compared by 64-bit hashes, two independent ones where all of the corpus is in play. Counts are combined
+Digits are compared by 64-bit hashes, two independent ones where all of the corpus is in play; the windows of pass 3 by
+one hash within a seed, not byte by byte. Counts are combined
 before the shuffle, and hot keys only meet in joins that adaptive execution splits. The text is shuffled once.
 
 Defined results: a null text is empty. Texts under THRESHOLD bytes lose nothing. Repeated rows are texts that repeat
