@@ -11,12 +11,18 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder serves a
+    local master (tests); on a cluster that is an error, as executors would write where the driver doesn't read."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         held = context._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="heliospan-")
+        if held.isDefined():
+            folder = held.get()
+        elif context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="heliospan-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -96,3 +102,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         seen = now
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def numbered(df: DataFrame, name: str, node: str = "node") -> DataFrame:
+    """df, saved, with a number for each row. The numbers are written once, so every later read finds the same ones."""
+    return saved(df.withColumn(node, F.monotonically_increasing_id()), name)
+
+
+def least_keys(reach: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(node, component_key): the smallest key of the component of each node. reach: ``components``; nodes: node, key.
+
+    Null keys do not count; a component of them alone has a null key.
+    """
+    own = reach.join(nodes.select("node", F.col(key).alias("component_key")), "node")
+    least = own.groupBy("component").agg(F.min("component_key").alias("component_key"))
+    return reach.join(least, "component").select("node", "component_key")

@@ -244,6 +244,39 @@ def test_jaccard(spark, texts, block, monkeypatch):
     assert kept == {i for i, (c, _) in got.items() if i == c}
     assert jaccard.join(docs.limit(0)).count() == 0
     assert jaccard.depth() == 4
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0"))).withColumn("__id", F.lit("clash")).withColumn("k1", F.lit("clash"))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(named).collect()}
+    assert got == {f"d{i:03d}": (f"d{c:03d}", n) for i, (c, n) in brute_jaccard(list(enumerate(texts))).items()}
+    assert {r["doc_id"] for r in jaccard.representatives(named).collect()} == {f"d{i:03d}" for i in kept}
+
+
+def test_jaccard_levels(spark):
+    """Near copies of all similarities around the threshold: links of every level, each pair once; recall against brute force."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for g in range(60):
+        own = prose(rng, 120, 10**6).split()
+        for _ in range(4):
+            copy = list(own)
+            for at in rng.choice(120, int(rng.integers(0, 4)), False):
+                copy[at] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    want = brute_jaccard(rows)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs).collect()} == want and 60 < len({c for c, _ in want.values()}) < 240
+    assert jaccard.missed([(0.8, 1000)], 4) < 0.5 < jaccard.missed([(0.8, 1000)], 6) and jaccard.missed([(0.95, 1000)], 6) < 1e-6
+
+
+def test_jaccard_null_and_shared_keys(spark):
+    rng = np.random.default_rng(22)
+    a, b = prose(rng, 40, 10**6), prose(rng, 40, 10**6)
+    rows = [(None, a), (None, a + " tail"), (7, b), (7, a), (None, None), (42, None), (None, b), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(docs).collect()), key=str)
+    assert got == sorted([(None, 7, 2), (None, 7, 2), (7, 7, 1), (7, 7, 2), (None, None, 0), (42, 42, 0), (None, 7, 1), (None, None, 0)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.representatives(docs.union(docs)).collect()), key=str)
+    assert kept == sorted([(7, b), (7, a), (42, None)] + [(None, None)] * 4, key=str)
 
 
 def test_representatives_of_shared_ids(spark):
@@ -262,8 +295,8 @@ def test_similar_blocks():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**62, 12000, dtype=np.uint64)
     sets = [np.unique(np.append(base[: 9000 + 60 * i], rng.integers(0, 2**62, 300, dtype=np.uint64))) for i in range(8)]
-    want = [[len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for y in sets] for x in sets]
-    assert jaccard.similar(sets, sets, 0.8).tolist() == want
+    want = [[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for y in sets] for x in sets]
+    assert np.allclose(jaccard.jaccard(sets, sets), want, atol=1e-12) and np.allclose(jaccard.jaccard(sets[:2], sets[:3]), [x[:3] for x in want[:2]])
 
 
 @pytest.mark.parametrize("cells,block", [(None, 2048), (6, 4)])
@@ -286,6 +319,25 @@ def test_vectors(spark, cells, block, monkeypatch):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(data, cells=cells).collect()}
     assert got == {i: (len(links[i]), reach[i], reach[i] == i) for i, _, _ in rows} and any(links.values())
     assert vectors.near_duplicates(data.limit(0)).count() == 0
+    text = data.withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 4, "0")))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(text, cells=cells).collect()}
+    assert got == {f"v{i:04d}": (len(links[i]), f"v{reach[i]:04d}") for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("cells", [None, 1, 5])
+def test_vectors_of_any_size(spark, cells):
+    """Tiny and huge components keep their directions and leave the others' links alone; rows without a key are vectors too."""
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(20, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base]))]
+    rows += [(100 + i, [float(x) * s for x in base[i]]) for i, s in enumerate((1e-200, 1e200, 1e-300, 1e300, 5e-324 * 2**40))]
+    rows += [(None, rows[7][1]), (None, [1.0, 2.0]), (None, [2.0, 4.0]), (110, [3.0, 1.0])]
+    data = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(data, cells=cells).collect() if r["vec_id"] is not None}
+    assert [got[i]["component_id"] for i in range(20, 40)] == list(range(20)) and [got[100 + i]["component_id"] for i in range(5)] == list(range(5))
+    assert all(got[i]["n_links"] == (2 if i % 20 < 5 or i % 20 == 7 else 1) for i in range(40)) and got[110]["kept"]
+    none = sorted((r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.near_duplicates(data, cells=cells).where("vec_id is null").collect())
+    assert none == [(1, "None", True), (1, "None", True), (2, "7", False)]
 
 
 def brute_hits(texts, items, window=10):
