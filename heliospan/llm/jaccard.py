@@ -1,40 +1,52 @@
-"""N-gram Jaccard join: MinHash bands of one fixed depth find candidates, exact set comparison keeps the links.
-
-Each text is the set of its five-word shingles (a text of one to four words is one shingle). This stands in
-for an LSH forest: no sorted trie is built and no matched prefix is shortened. ``depth`` computes the longest prefix at
-which a pair at the threshold meets in some tree with the target recall (with 20 trees and 0.8, 4 min-hashes:
-1 - (1 - 0.8^4)^20 = 0.99997), only so many min-hashes are made, and sets with equal prefixes in a tree are one node. Pairs below one node are verified exactly, each in
-the first tree where it meets; a node whose sets all met before is skipped.
-
-Texts with equal sets are one class first, so copies cost one row. No pair is ever a row: a task compares the blocks of
-one node by matrix products and returns, per set, its links and its smallest linked set. Nodes of over BLOCK sets are
-split into pairs of blocks over many tasks, so every set is compared, at the cost that an exact number of links has.
-Components of the links come from ``common.components``.
-
-Defined results: null texts and texts with no word link with nothing and are classes of their own. doc_id tells texts
-apart: rows that repeat one are one node of the graph (each is a row of the result); a null one stands for a hash of the text. Extra columns do not matter. An
-empty table gives an empty table.
+"""N-gram Jaccard join by a MinHash LSH forest: prefix tries of signatures, shortened level by level, then exact verification.
+
+Each text is the set of its five-word shingles (a text of one to four words is one shingle). A set has a label in each
+of TREES trees: LABEL digits, each 16 bits of one min-hash. The labels of a tree, in order, are a trie, and a node of the
+trie at depth k is a run of labels with k digits in common. Only the part of the forest below depth ``floor`` that holds two
+sets or more is kept, as rows in the order of their labels.
+
+The join descends to the full labels first, and shortens the matched prefixes by one digit at a time. At each level the
+nodes are found in which some pair meets that has not met before (at a longer prefix in any tree, or at this one in an
+earlier tree); where the least and the greatest label of a node's members tell that all have met, it is passed over. The
+fresh pairs are verified exactly, and the links found so far tell what is still missing: a pair of similarity s meets at
+depth k with probability p = 1 - (1 - s^k)^TREES, so each link found stands for (1 - p) / p missed ones. Shortening ends
+where less than half a link is expected to be missing, or else at ``floor``, the longest prefix at which a pair at the
+threshold itself meets with probability RECALL (with 20 trees and 0.8: depth 4, 0.99997).
+
+Texts with equal sets are one class first, so copies cost one row. No pair is ever a row: a task compares two blocks of
+one node by matrix products and returns, per set, its links and its smallest linked set. Nodes with more sets than BLOCK, or
+more bytes than BLOCK_BYTES, are split into pairs of blocks over many tasks, so every set is compared, at the cost that an
+exact number of links has. Components of the links come from ``common.components``.
+
+Defined results: null texts and texts with no word link with nothing and are classes of their own. A class is named by its
+smallest key; null keys do not count, and a class with no other has a null name. Keys may have any type with an order.
+Rows that repeat a key are rows of their own, each in the class of its text. A very long text is one set and may be a block
+of its own. Extra columns do not matter, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm.common import components, discard, saved, table
+from heliospan.llm.common import components, discard, least_keys, numbered, saved, table
 from heliospan.llm.texts import CHUNK_BYTES, binary_text, mix, pieces, random_words, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES, LABEL, RECALL = 20, 8, 0.9999
-BLOCK = 512
+#: Trees, digits of a label (HEAD of them in its first number), and how surely a pair at the threshold meets at the floor.
+TREES, LABEL, HEAD, RECALL = 20, 6, 4, 0.9999
+#: Most sets, and about the most bytes of shingles, in a block.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Links are counted by their similarity in bins of this width.
+BIN = 0.01
 _SHINGLE = random_words(WORDS, 21)
 _HASH = random_words(TREES * LABEL, 22).reshape(TREES, LABEL)
-_PREFIX = random_words(LABEL, 23)
 
 
 def depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
@@ -45,6 +57,12 @@ def depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = T
     raise ValueError("more trees are needed for this recall")
 
 
+def missed(links: list[tuple[float, int]], k: int, trees: int = TREES) -> float:
+    """Links expected to be missing when all prefixes of k digits have met. links: (least similarity, number found)."""
+    met = [(1 - (1 - s**k) ** trees, n) for s, n in links]
+    return sum(n * (1 - p) / p for p, n in met)
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """For each text, its distinct shingles in ascending order."""
     hashed, bounds = word_hashes(column)
@@ -61,76 +79,108 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def prefixes(sets: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """(texts, TREES): a hash of the first k min-hashes of each tree's label. No set is empty."""
-    out = np.empty((len(bounds) - 1, TREES), np.uint64)
+def labels(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, 2 TREES): the first HEAD digits of each tree's label as one number, then the rest of each. No set is empty."""
+    out = np.zeros((len(bounds) - 1, 2 * TREES), np.uint64)
     for t in range(TREES):
-        total = np.full(len(bounds) - 1, t, np.uint64)
-        for j in range(k):
-            total += np.minimum.reduceat(sets * _HASH[t, j], bounds[:-1]) * _PREFIX[j]
-        out[:, t] = mix(total)
+        for j in range(LABEL):
+            digit = mix(np.minimum.reduceat(sets * _HASH[t, j], bounds[:-1])) >> np.uint64(48)
+            at = t if j < HEAD else TREES + t
+            out[:, at] = out[:, at] << np.uint64(16) | digit
     return out
 
 
-def _signatures(docs: DataFrame, k: int) -> DataFrame:
+def _signatures(docs: DataFrame, key: str) -> DataFrame:
+    """docs: k1, k2, key, text as bytes -> k1, k2, key, n (shingles), f1, f2 (prints of the set), labels."""
+    schema = f"k1 long, k2 long, key {dict(docs.dtypes)[key]}, n long, f1 long, f2 long, labels array<long>"
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            sets = shingle_sets(batch.column(1))
+        for batch in pieces(batches, 3):
+            sets = shingle_sets(batch.column(3))
             n = np.array([len(s) for s in sets])
             full = np.flatnonzero(n)
-            labels = np.zeros((len(sets), TREES), np.uint64)
+            made = np.zeros((len(sets), 2 * TREES), np.uint64)
             prints = np.zeros((2, len(sets)), np.uint64)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 bounds = np.concatenate([[0], np.cumsum(n[full])])
-                labels[full] = prefixes(flat, bounds, k)
+                made[full] = labels(flat, bounds)
                 for i, factor in enumerate(_SHINGLE[:2]):
                     prints[i, full] = np.add.reduceat(mix(flat * factor), bounds[:-1])
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(labels.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(p.view(np.int64)) for p in prints), lists], names=["id", "n", "f1", "f2", "labels"])
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 2 * TREES)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(made.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), *(pa.array(p.view(np.int64)) for p in prints), lists], names=["k1", "k2", "key", "n", "f1", "f2", "labels"])
+
+    return docs.mapInArrow(sign, schema)
 
-    return docs.mapInArrow(sign, "id long, n long, f1 long, f2 long, labels array<long>")
 
+def _prefix(head: Column, tail: Column, k: int) -> Column:
+    """One number for the first k digits of a label."""
+    return F.shiftright(head, 16 * (HEAD - k)) if k <= HEAD else F.xxhash64(head, F.shiftright(tail, 16 * (LABEL - k)))
 
-def _meetings(classes: DataFrame) -> DataFrame:
-    """Per class: the tree nodes in which it may meet a class that it has not met in an earlier tree.
 
-    classes: node, copies, f1, f2, n, labels.
+def _forest(classes: DataFrame, floor: int) -> DataFrame:
+    """node, n, tree, head, tail of the sets that share floor digits with another, in the order of the trees' labels."""
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.get("labels", t).alias("head"), F.get("labels", t + TREES).alias("tail")))
+    below = classes.select("node", "n", F.inline(trees)).withColumn("root", _prefix(F.col("head"), F.col("tail"), floor))
+    shared = saved(below.groupBy("tree", "root").agg(F.count("*").alias("size")).where("size > 1").select("tree", "root"), "jaccard-roots")
+    return below.join(shared, ["tree", "root"], "left_semi").drop("root").sortWithinPartitions("tree", "head", "tail")
+
+
+def _fresh(members: DataFrame, k: int, others: Column) -> DataFrame:
+    """tree, prefix, size, bytes of the nodes whose members do not all share k digits in some tree that ``others`` (of tree and t) names.
+
+    members: node, n, tree, prefix, labels.
     """
-    below = classes.select("node", F.posexplode("labels").alias("tree", "prefix"))
-    shared = below.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
-    below = below.join(shared, ["tree", "prefix"]).join(classes.select("node", "labels"), "node")
-    label = [F.get("labels", F.lit(t)) for t in range(TREES)]
-    bounds = [f(x).alias(f"{name}{t}") for t, x in enumerate(label) for name, f in (("low", F.min), ("high", F.max))]
-    seen = F.lit(False)
-    for t in range(TREES):
-        seen = seen | ((F.col("tree") > t) & (F.col(f"low{t}") == F.col(f"high{t}")))
-    fresh = below.groupBy("tree", "prefix").agg(*bounds, F.count("*").alias("size")).where(~seen).select("tree", "prefix", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    meeting = F.struct("tree", "prefix", blocks.alias("blocks"))
-    return below.select("tree", "prefix", "node").join(fresh, ["tree", "prefix"]).groupBy("node").agg(F.collect_list(meeting).alias("meetings"))
+    digits = [_prefix(F.get("labels", F.lit(t)), F.get("labels", F.lit(TREES + t)), k) for t in range(TREES)]
+    bounds = [f(x).alias(f"{name}{t}") for t, x in enumerate(digits) for name, f in (("low", F.min), ("high", F.max))]
+    met = reduce(Column.__or__, (others(F.col("tree"), t) & (F.col(f"low{t}") == F.col(f"high{t}")) for t in range(TREES)))
+    found = members.groupBy("tree", "prefix").agg(*bounds, F.count("*").alias("size"), (F.sum("n") * 8).alias("bytes"))
+    return found.where((F.col("size") > 1) & ~met).select("tree", "prefix", "size", "bytes")
+
+
+def _meetings(forest: DataFrame, classes: DataFrame, k: int, first: bool) -> DataFrame:
+    """node and the list of trie nodes at depth k (tree, prefix, blocks) in which it may meet a set for the first time."""
+    members = forest.select("node", "n", "tree", _prefix(F.col("head"), F.col("tail"), k).alias("prefix")).join(classes.select("node", "labels"), "node")
+    fresh = _fresh(members, k, lambda tree, t: tree > t)
+    if not first:  # pairs that share one digit more in any tree have met
+        fresh = fresh.join(_fresh(members, k + 1, lambda tree, t: F.lit(True)).select("tree", "prefix"), ["tree", "prefix"], "left_semi")
+    fresh = saved(fresh.select("tree", "prefix", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "jaccard-fresh")
+    return members.join(fresh, ["tree", "prefix"]).groupBy("node").agg(F.collect_list(F.struct("tree", "prefix", "blocks")).alias("meetings"))
+
+
+def _sets(found: DataFrame) -> DataFrame:
+    """found: node, text -> node, shingles; a node once for each task that reads rows which repeat it."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in pieces(batches, 1):
+            nodes = batch.column(0).to_pylist()
+            new = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]
+            if new:
+                part = batch.take(pa.array(new))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], names=["node", "shingles"])
+
+    return found.mapInArrow(make, "node long, shingles binary")
+
+
+_ROW = "tree int, prefix long, a int, b int, node long, block int, copies long, label binary, shingles binary"
+_KINDS = [("tree", pa.int32()), ("prefix", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("node", pa.int64()), ("block", pa.int32()), ("copies", pa.int64()), ("label", pa.binary()), ("shingles", pa.binary())]
 
 
 def _rows(found: DataFrame) -> DataFrame:
-    """found: node, text, f1, f2, copies, labels, meetings. One row for each pair of blocks in which a set takes part."""
+    """found: node, shingles, copies, labels, meetings. One row for each pair of blocks in which a set takes part."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            sets = shingle_sets(batch.column(1))
-            nodes, prints = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            copies, labels, meetings = (batch.column(i).to_pylist() for i in (3, 4, 5))
             out: list[tuple] = []
             size = 0
-            for i, own in enumerate(sets):
-                if not len(own) or int(np.sum(mix(own * _SHINGLE[0]), dtype=np.uint64).view(np.int64)) != prints[i]:
-                    continue  # another text under a repeated id
-                packed, label = own.tobytes(), np.array(labels[i], np.int64).tobytes()
-                for m in meetings[i]:
-                    block = int(mix(np.array([nodes[i]], np.int64).view(np.uint64))[0] % np.uint64(m["blocks"]))
+            for node, packed, copies, label, meetings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = np.array(label, np.int64).tobytes()
+                for m in meetings:
+                    block = int(mix(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(m["blocks"]))
                     for other in range(m["blocks"]):
-                        a, b = min(block, other), max(block, other)
-                        out.append((m["tree"], m["prefix"], a, b, nodes[i], block, copies[i], label, packed))
+                        out.append((m["tree"], m["prefix"], min(block, other), max(block, other), node, block, copies, held, packed))
                         size += len(packed)
                         if size >= CHUNK_BYTES:
                             yield _batch(out)
@@ -141,16 +191,12 @@ def _rows(found: DataFrame) -> DataFrame:
     return found.mapInArrow(make, _ROW)
 
 
-_ROW = "tree int, prefix long, a int, b int, node long, block int, copies long, label binary, shingles binary"
-_KINDS = [("tree", pa.int32()), ("prefix", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("node", pa.int64()), ("block", pa.int32()), ("copies", pa.int64()), ("label", pa.binary()), ("shingles", pa.binary())]
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[n for n, _ in _KINDS])
 
 
-def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
-    """(left, right): whether the Jaccard similarity of the sets reaches the threshold."""
+def jaccard(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right): the Jaccard similarity of the sets."""
     sizes = [np.array([len(s) for s in x]) for x in (left, right)]
     if len(left) * len(right) <= 16:
         shared = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left])
@@ -170,43 +216,53 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
                     grid[i, np.searchsorted(part, s[lo:hi])] = 1
                 grids.append(grid)
             shared += grids[0] @ grids[1].T
-    return shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared) - 1e-9
+    return shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
 
 
-def _links(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows of ``_rows``, the rows of a pair of blocks one after the other -> node, root, links."""
+def have_met(left: np.ndarray, right: np.ndarray, tree: int, k: int, first: bool) -> np.ndarray:
+    """(left, right): whether two labels met before depth k of this tree: at depth k of an earlier tree, or deeper in any (not at the first level)."""
 
-    def compare(group: list[dict]) -> list[tuple[int, int, int]]:
-        tree, a, b = (group[0][k] for k in ("tree", "a", "b"))
+    def common(depth: int) -> np.ndarray:
+        shift = np.repeat(np.array([16 * max(0, HEAD - depth), 16 * (LABEL - max(depth, HEAD))], np.int64), TREES)
+        same = (left >> shift)[:, None, :] == (right >> shift)[None, :, :]
+        return same[..., :TREES] & same[..., TREES:] if depth > HEAD else same[..., :TREES]
+
+    met = common(k)[..., :tree].any(-1)
+    return met if first else met | common(k + 1).any(-1)
+
+
+def _links(rows: DataFrame, similarity: float, k: int, first: bool) -> DataFrame:
+    """rows of ``_rows`` at depth k, those of a pair of blocks one after the other -> node, root, links, bins (links by similarity)."""
+    n_bins = _bins(similarity)
+
+    def compare(group: list[dict]) -> list[tuple[int, int, int, list[int]]]:
+        tree, a, b = (group[0][x] for x in ("tree", "a", "b"))
         members = {g["node"]: g for g in group}
         sides = [[g for g in members.values() if g["block"] == x] for x in ((a,) if a == b else (a, b))]
         if not all(sides):
             return []
         sets = [[np.frombuffer(g["shingles"], np.uint64) for g in side] for side in sides]
-        labels = [np.array([np.frombuffer(g["label"], np.int64)[:tree] for g in side]).reshape(len(side), tree) for side in sides]
-        ids = [np.array([g["node"] for g in side]) for side in sides]
-        copies = [np.array([g["copies"] for g in side]) for side in sides]
-        linked = similar(sets[0], sets[-1], similarity)
-        for t in range(tree):
-            linked &= labels[0][:, t][:, None] != labels[-1][:, t][None, :]
+        label = [np.array([np.frombuffer(g["label"], np.int64) for g in side]) for side in sides]
+        ids, copies = ([np.array([g[x] for g in side]) for side in sides] for x in ("node", "copies"))
+        score = jaccard(sets[0], sets[-1])
+        linked = score >= similarity - 1e-9
+        linked &= ~have_met(label[0], label[-1], tree, k, first)
         if a == b:
             np.fill_diagonal(linked, False)
-            count = [linked @ copies[0]]
-        else:
-            count = [linked @ copies[1], linked.T @ copies[0]]
-        ids, links = np.concatenate(ids), np.concatenate(count)
-        if a != b:
-            full = np.zeros((len(ids), len(ids)), bool)
-            full[: linked.shape[0], linked.shape[0] :] = linked
-            linked = full | full.T
-        root = spread(linked, ids)
+        else:  # one square matrix of both blocks
+            zero = [np.zeros((len(x), len(x))) for x in ids]
+            score, linked = np.block([[zero[0], score], [score.T, zero[1]]]), np.block([[zero[0] > 0, linked], [linked.T, zero[1] > 0]])
+        node, many = np.concatenate(ids), np.concatenate(copies)
+        links, root = linked @ many, spread(linked, node)
         at = np.flatnonzero(links)
-        return list(zip(ids[at].tolist(), root[at].tolist(), links[at].tolist(), strict=True))
+        bins = np.minimum(((score[at] - similarity + 1e-9) / BIN).astype(int), n_bins - 1)
+        found = [np.bincount(x[y], minlength=n_bins).tolist() for x, y in zip(bins, linked[at], strict=True)]
+        return list(zip(node[at].tolist(), root[at].tolist(), links[at].tolist(), found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         key = None
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         for row in (row for batch in batches for a in range(0, batch.num_rows, 64) for row in batch.slice(a, 64).to_pylist()):
             if (now := (row["tree"], row["prefix"], row["a"], row["b"])) != key:
                 if len(held) > 1:
@@ -221,7 +277,11 @@ def _links(rows: DataFrame, similarity: float) -> DataFrame:
         if out:
             yield _tallies(out)
 
-    return rows.mapInArrow(run, "node long, root long, links long")
+    return rows.mapInArrow(run, "node long, root long, links long, bins array<long>")
+
+
+def _bins(similarity: float) -> int:
+    return int(np.ceil((1 - similarity) / BIN)) + 1
 
 
 def spread(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -237,8 +297,43 @@ def spread(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = least
 
 
-def _tallies(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["node", "root", "links"])
+def _tallies(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "root", "links", "bins"])
+
+
+def _classes(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The signature of every row, and the classes of equal sets: node, least (key), rep (k1, k2 of one text), copies, labels."""
+    hashed = F.xxhash64(F.col(text).cast("binary"))
+    held = docs.select(F.xxhash64(F.col(key)).alias("k1"), hashed.alias("k2"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    signed = saved(_signatures(held, "key"), "jaccard-signed")
+    classes = signed.where("n > 0").groupBy("n", "f1", "f2", "labels").agg(F.min("key").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.count("*").alias("copies"))
+    return signed, numbered(classes, "jaccard-classes")
+
+
+def _all_links(docs: DataFrame, classes: DataFrame, text: str, key: str, similarity: float, recall: float) -> DataFrame:
+    """node, root, links of all levels."""
+    floor = depth(similarity, recall)
+    forest = saved(_forest(classes, floor), "jaccard-forest")
+    wanted = classes.join(forest.select("node").distinct(), "node", "left_semi").select("rep.k1", "rep.k2", "node")
+    held = docs.select(F.xxhash64(F.col(key)).alias("k1"), F.xxhash64(F.col(text).cast("binary")).alias("k2"), F.col(text).cast("binary").alias("text"))
+    sets = saved(_sets(held.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")), "jaccard-sets")
+    n_bins = _bins(similarity)
+    links: DataFrame | None = None
+    for k in range(LABEL, floor - 1, -1):
+        meetings = saved(_meetings(forest, classes, k, k == LABEL), "jaccard-meetings")
+        found = sets.join(meetings.join(classes.select("node", "copies", "labels"), "node").hint("shuffle_hash"), "node")
+        rows = _rows(found.select("node", "shingles", "copies", "labels", "meetings"))
+        rows = rows.repartition("tree", "prefix", "a", "b").sortWithinPartitions("tree", "prefix", "a", "b")
+        level = saved(_links(rows, similarity, k, k == LABEL), "jaccard-links")
+        discard(meetings)
+        links = level if links is None else links.union(level)
+        counts = links.agg(*(F.sum(F.get("bins", F.lit(i))).alias(f"b{i}") for i in range(n_bins))).first()
+        if missed([(similarity + i * BIN, (counts[i] or 0) // 2) for i in range(n_bins)], k) < 0.5 and any(counts):
+            break
+    discard(sets)
+    discard(forest)
+    return links
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -247,49 +342,45 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: f
     class_id: the smallest key reachable by links, itself included. n_links: other documents linked directly. copies:
     documents with this very set of shingles, itself included.
     """
-    held = docs.select(_id(key, text).alias("id"), F.col(text).cast("binary").alias("text"))
-    signed = saved(_signatures(held.select("id", "text"), depth(similarity, recall)), "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("n", "f1", "f2", "labels").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    classes = saved(classes, "jaccard-classes")
-    meetings = saved(_meetings(classes), "jaccard-meetings")
-    found = held.join(meetings.join(classes.select("node", "f1", "copies", "labels"), "node").withColumnRenamed("node", "id").hint("shuffle_hash"), "id")
-    rows = _rows(found.select("id", "text", "f1", "copies", "labels", "meetings"))
-    rows = rows.repartition("tree", "prefix", "a", "b").sortWithinPartitions("tree", "prefix", "a", "b")
-    links = saved(_links(rows, similarity), "jaccard-links")
-    discard(meetings)
-    reach = components(links, "node", "root")
+    signed, classes = _classes(docs, text, key)
+    links = _all_links(docs, classes, text, key, similarity, recall)
+    reach = least_keys(components(links, "node", "root"), classes, "least")
     tally = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("n", "f1", "f2", "node", "copies").join(tally, "node", "left").join(reach, "node", "left")
-    out = signed.select("id", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left")
+    known = classes.select("n", "f1", "f2", "node", "least", "copies").join(tally, "node", "left").join(reach, "node", "left")
+    out = signed.select("key", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left")
+    named = F.when(F.col("links") > 0, F.col("component_key")).when(F.col("node").isNotNull(), F.col("least")).otherwise(F.col("key"))
     return out.select(
-        F.col("id").alias(key),
-        F.coalesce("component", "node", "id").alias("class_id"),
+        F.col("key").alias(key),
+        named.alias("class_id"),
         (F.coalesce(F.col("copies"), F.lit(1)) - 1 + F.coalesce(F.col("links"), F.lit(0))).alias("n_links"),
         F.coalesce(F.col("copies"), F.lit(1)).alias("copies"),
     )
 
 
-def _id(key: str, text: str) -> F.Column:
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text).cast("binary")))
-
-
-def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: object) -> DataFrame:
-    """One row of docs for each class: the one with the smallest key. Rows that repeat a key and its text are one document.
+def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row of docs for each class: that with the smallest key (null ones last), of equal keys the text with the smallest hash.
 
-    Where rows with different texts share a key, the text with the smallest hash keeps it and each other one gets an id of
-    its own from key and text, above 2**62 and so after ordinary keys.
+    Rows that repeat a key and its text are one document. Rows that share a key but hold other texts are documents of their
+    own. Rows without a word all stay, those that repeat a known key once.
     """
-    hashed = F.xxhash64(F.col(text).cast("binary"))
-    ids = docs.select(_id(key, text).alias("__id"), hashed.alias("__h"))
-    shared = saved(ids.groupBy("__id").agg(F.min("__h").alias("__first"), F.max("__h").alias("__last")).where("__first < __last").drop("__last"), "jaccard-shared")
-    named = docs.withColumn("__id", _id(key, text))
-    if not shared.isEmpty():
-        own = F.xxhash64("__id", hashed).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-        named = named.join(shared, "__id", "left").withColumn("__id", F.when(hashed != F.col("__first"), own).otherwise(F.col("__id"))).select(*docs.columns, "__id")
-        named = saved(named, "jaccard-named")
-    found = join(named, text, "__id", **options)
-    first = found.where(F.col("__id") == F.col("class_id")).select("__id").distinct()
-    return named.join(first, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    signed, classes = _classes(docs, text, key)
+    links = _all_links(docs, classes, text, key, similarity, recall)
+    reach = components(links, "node", "root")
+    own = signed.where("n > 0").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"])
+    group = F.coalesce("component", "node")
+    best = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "k2", "k1"))
+    first = own.join(reach, "node", "left").groupBy(group.alias("group")).agg(best.alias("best")).select("best.k1", "best.k2")
+    empty = signed.where("n = 0").select("k1", "k2")
+    chosen = saved(first.union(empty).distinct(), "jaccard-chosen")
+    inner = [f"__{i}" for i in range(len(docs.columns))]  # columns may have the names made here
+    held = docs.toDF(*inner)
+    value = F.col(f"__{docs.columns.index(text)}")
+    named = F.col(f"__{docs.columns.index(key)}")
+    marked = held.withColumn("k1", F.xxhash64(named)).withColumn("k2", F.xxhash64(value.cast("binary"))).join(chosen, ["k1", "k2"], "left_semi")
+    # a null key tells no rows apart, so its rows without a word are not one document
+    wordless = named.isNull() & ~F.coalesce(value, F.lit("")).rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")
+    once = marked.where(~wordless).dropDuplicates(["k1", "k2"])
+    return once.union(marked.where(wordless)).select(*inner).toDF(*docs.columns)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
