@@ -3,9 +3,8 @@
 Token weights are raked to source, language and topic marginals: each sweep scales the cells of (source, language,
 topic) so that one dimension after the other meets its target shares. Documents are then sampled with probability
 proportional to the calibrated weight of their cell (``reachable``): no probability is cut, so the expected shares of the
-kept tokens are the fitted ones, and the budget is an upper bound. One over the largest weight of all tokens can be kept
-at most. ``probabilities``, which the SQL of op10_mixing fixes, meets the budget instead: it cuts probabilities at 1, and
-the kept tokens miss the targets wherever it does.
+kept tokens are the fitted ones (``achieved`` reports them), and the budget is an upper bound. One over the largest weight
+of all tokens can be kept at most.
 
 Targets name values; all other values (null too) share the rest as one value. So there are at most the product of
 (named values + 1) cells whatever the data, which is why they may be collected and broadcast. Token counts are summed
@@ -13,12 +12,13 @@ over all documents. The draw of a document depends on its key alone.
 
 Defined results: null texts have 0 tokens; cells with no tokens have weight 0 and probability 1 (they cost nothing);
 target shares of values that have no tokens go to the others in proportion. Rows with equal keys share their draw. An
-empty table stays empty. Other columns pass through; the columns made here are replaced.
+empty table stays empty. Texts are read whole, in bounded pieces of rows; a long one only by itself. Other columns pass
+through; the columns made here are replaced, and the names __tokens and __topic are reserved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,7 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __tokens (runs of other characters than blanks) and __topic of each whole text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    value = F.col(f"`{text}`").cast("binary")
     docs = docs.drop("__tokens", "__topic")
     schema, width = extended(docs, "__tokens long, __topic string"), len(docs.columns)
 
@@ -74,7 +75,7 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
             topics = [_topic(t.as_py(), *x) for t, *x in zip(batch.column(width), lines, chars, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.diff(np.searchsorted(starts, bounds))), pa.array(topics, pa.string())], names=names)
 
-    return docs.withColumn("__bytes", F.col(text).cast("binary")).mapInArrow(describe, schema)
+    return docs.select("*", value).toDF(*(f"__{i}" for i in range(width + 1))).mapInArrow(describe, schema)
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
@@ -90,22 +91,6 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) -> n
     return fitted
 
 
-def probabilities(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, s x weight) with s such that the expected mass is budget x its sum; 1 for cells of no mass."""
-    p, wanted = np.ones_like(weight), budget * mass.sum()
-    if wanted >= mass.sum() or mass.sum() == 0:
-        return p
-    order = np.argsort(-weight, axis=None, kind="stable")
-    w, m = weight.ravel()[order], mass.ravel()[order]
-    before, after = np.concatenate([[0.0], np.cumsum(m)[:-1]]), np.cumsum((m * w)[::-1])[::-1]
-    held = after > 0
-    scale = np.divide(wanted - before, after, out=np.zeros_like(w), where=held)
-    fits = np.flatnonzero(held & (scale * w <= 1 + 1e-12))
-    if len(fits):
-        p = np.minimum(1.0, scale[fits[0]] * weight)
-    return np.where(mass > 0, p, 1.0)
-
-
 def reachable(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
     """s x weight with the largest s that leaves no probability over 1 and the expected mass within budget x its sum; 1 for cells of no mass."""
     held = mass > 0
@@ -115,7 +100,7 @@ def reachable(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray
     return np.where(held, np.minimum(1.0, scale * weight), 1.0)
 
 
-def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column, targets: Targets, key: str = "doc_id", budget: float = BUDGET, sweeps: int = SWEEPS, law: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = reachable) -> DataFrame:
+def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column, targets: Targets, key: str = "doc_id", budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
     """docs with tokens, cell, weight, probability, draw and kept. columns: the value of each dimension of targets."""
     spark, names = docs.sparkSession, list(targets)
     values = {d: [*sorted(targets[d]), OTHER] for d in names}
@@ -135,7 +120,7 @@ def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column,
         shares.append(np.append(named, max(0.0, 1.0 - named.sum())))
     fitted = rake(mass, shares, sweeps)
     weight = np.divide(fitted, mass, out=np.zeros_like(fitted), where=mass > 0)
-    p = law(mass, weight, budget)
+    p = reachable(mass, weight, budget)
     made = [(*(values[d][i] for d, i in zip(names, at, strict=True)), float(weight[at]), float(p[at])) for at in np.ndindex(*shape)]
     fields = ", ".join(f"`{c}` string" for c in cells)
     small = spark.createDataFrame(made, f"{fields}, weight double, probability double")
@@ -146,15 +131,26 @@ def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column,
 TARGETS: Targets = {"source": SOURCES, "lang": LANGUAGES, "topic": TOPICS}
 
 
-def mixed(docs: DataFrame, targets: Targets = TARGETS, law: Callable[[np.ndarray, np.ndarray, float], np.ndarray] = reachable) -> DataFrame:
+def mixed(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
     """docs calibrated to targets of source, language and topic."""
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("__topic")}
-    return calibrate(described(docs), columns, F.col("__tokens"), targets, law=law).drop("__tokens", "__topic")
+    return calibrate(described(docs), columns, F.col("__tokens"), targets).drop("__tokens", "__topic")
+
+
+def achieved(rows: DataFrame, targets: Targets = TARGETS) -> DataFrame:
+    """dimension, value, target, natural, expected: shares of all tokens and of those expected to be kept. rows: ``mixed``."""
+    values = [(d, v, t) for d, named in targets.items() for v, t in (*named.items(), (OTHER, max(0.0, 1.0 - sum(named.values()))))]
+    goals = rows.sparkSession.createDataFrame(values, "dimension string, value string, target double")
+    long = rows.select("n_tokens", "probability", F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(f"{d}_cell").alias("value")) for d in targets))))
+    sums = long.groupBy("dimension", "value").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("kept"))
+    total = sums.groupBy("dimension").agg(F.sum("n").alias("all_n"), F.sum("kept").alias("all_kept"))
+    shares = {"natural": F.try_divide("n", "all_n"), "expected": F.try_divide("kept", "all_kept")}
+    return goals.join(sums, ["dimension", "value"], "left").join(total, "dimension", "left").select("dimension", "value", "target", *(F.coalesce(x, F.lit(0.0)).alias(n) for n, x in shares.items()))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated weight, probability and draw of every document, by the law of its SQL: the budget is met."""
-    found = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), law=probabilities)
+    """Calibrated weight, probability and draw of every document; the expected shares of the kept tokens meet the targets."""
+    found = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return found.select("doc_id", "source_cell", "lang_cell", "topic_cell", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
@@ -187,10 +183,7 @@ def _sql() -> str:
     w0 AS MATERIALIZED (SELECT source_cell, lang_cell, topic_cell, sum(n_tokens)::DOUBLE AS m, sum(sum(n_tokens)) OVER ()::DOUBLE AS total, sum(n_tokens)::DOUBLE AS f FROM docs GROUP BY ALL),
     {', '.join(steps)},
     weights AS (SELECT source_cell, lang_cell, topic_cell, m, total, CASE WHEN m > 0 THEN f / m ELSE 0 END AS weight FROM {before}),
-    sums AS (
-      SELECT *, coalesce(sum(m) OVER (ORDER BY weight DESC, source_cell, lang_cell, topic_cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier,
-        sum(m * weight) OVER (ORDER BY weight DESC, source_cell, lang_cell, topic_cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM weights),
-    scale AS (SELECT arg_max(({BUDGET}::DOUBLE * total - earlier) / later, weight) AS s FROM sums WHERE later > 0 AND ({BUDGET}::DOUBLE * total - earlier) / later * weight <= 1 + 1e-12),
+    scale AS (SELECT least(1 / max(weight), {BUDGET}::DOUBLE * max(total) / sum(m * weight)) AS s FROM weights WHERE m > 0),
     cells AS (SELECT source_cell, lang_cell, topic_cell, weight, CASE WHEN m > 0 THEN least(1::DOUBLE, coalesce(s * weight, 1)) ELSE 1 END AS p FROM weights, scale)
     SELECT doc_id, source_cell, lang_cell, topic_cell, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability, draw < p AS kept
     FROM docs JOIN cells USING (source_cell, lang_cell, topic_cell)"""
