@@ -7,12 +7,15 @@ A text is toxic where the log odds of P(grade > 0) reach the model's cut. The cu
 is rated by a model fitted on the other parts, and the cut with the best F-measure there is taken, in the middle between
 the two neighbouring texts (the highest such cut if several are as good; even odds if the parts have too few grades).
 
-The model is fitted on a bounded sample of graded rows with a text (``SAMPLE_ROWS`` by hash order, a documented bound),
-whose sparse features go to the driver. A sampled grade of MAX_GRADES or more is refused. The weights (2**BITS numbers) are broadcast, and scoring is map-only over whole texts.
-
-Defined results: a null or empty text has no features and severity 0. With fewer than two grades to learn from, all
-severities are 0. Texts graded twice count with their highest grade. Repeated rows and clashing extra columns of the
-documents do not matter; columns severity, grade and toxic are replaced.
+The model is fitted on a bounded sample of graded texts (``SAMPLE_ROWS`` by hash order, a documented bound), whose sparse
+features go through the driver to one task for each fit: the parts and the whole are fitted at the same time. A sampled
+grade of MAX_GRADES or more is refused. The weights (2**BITS numbers) are broadcast, and scoring is map-only over whole
+texts, a long one by itself.
+
+Defined results: a null or empty text has no features and severity 0. With fewer than two grades to learn from (as with an
+empty table), all severities are 0. Texts graded twice count with their highest grade. Rows that repeat a key and its text
+count once in the sample, rows that share a key but hold other texts count each. Ties in severity do not matter. Extra
+columns pass through, whatever their names; columns severity, grade and toxic are replaced.
 """
 
 from __future__ import annotations
@@ -126,16 +129,21 @@ def _taken(at: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return at[np.repeat(bounds[:-1][rows] - (ends - sizes), sizes) + np.arange(sizes.sum())], np.concatenate([[0], ends])
 
 
-def best_cut(at: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> float:
-    """The cut with the best F-measure, every row rated by a model fitted without its part of the rows."""
-    odds, part = np.full(len(grades), -MOST_ODDS), np.arange(len(grades)) % FOLDS
-    for k in range(FOLDS):
-        others, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        taken, ends = _taken(at, bounds, others)
-        model = fit(taken, np.diff(ends), grades[others])
-        if not len(model.thresholds):
+def part_odds(at: np.ndarray, bounds: np.ndarray, grades: np.ndarray, k: int) -> np.ndarray:
+    """Log odds of grade > 0 of the rows of part k, by a model fitted on the other parts; empty if those have too few grades."""
+    part = np.arange(len(grades)) % FOLDS
+    taken, ends = _taken(at, bounds, np.flatnonzero(part != k))
+    model = fit(taken, np.diff(ends), grades[part != k])
+    return model.odds(*_taken(at, bounds, np.flatnonzero(part == k)))[:, 0].clip(-MOST_ODDS, MOST_ODDS) if len(model.thresholds) else np.zeros(0)
+
+
+def cut_of(parts: list[np.ndarray], grades: np.ndarray) -> float:
+    """The cut with the best F-measure over the rows as rated by ``part_odds``."""
+    odds = np.full(len(grades), -MOST_ODDS)
+    for k, own in enumerate(parts):
+        if len(own) < len(odds[k::FOLDS]) or not len(own):
             return 0.0
-        odds[own] = model.odds(*_taken(at, bounds, own))[:, 0].clip(-MOST_ODDS, MOST_ODDS)
+        odds[k::FOLDS] = own
     order = np.argsort(-odds, kind="stable")
     odds, toxic = odds[order], grades[order] > 0
     below = np.append(odds[1:], -MOST_ODDS)
@@ -146,21 +154,51 @@ def best_cut(at: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> float:
     return float((odds[best] + below[best]) / 2)
 
 
+def best_cut(at: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> float:
+    return cut_of([part_odds(at, bounds, grades, k) for k in range(FOLDS)], grades)
+
+
+def _fitted(spark: SparkSession, at: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> Ordinal:
+    """The model of all rows with its cut: one task fits it, one more for each part of the rows."""
+    held = spark.sparkContext.broadcast((at.astype(np.int32), bounds, grades))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                features_at, ends, own = held.value
+                features_at = features_at.astype(np.int64)
+                if k < FOLDS:
+                    made = [part_odds(features_at, ends, own, k), np.zeros(0)]
+                else:
+                    model = fit(features_at, np.diff(ends), own)
+                    made = [model.weights, model.thresholds]
+                yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([x.astype(np.float64).tobytes()]) for x in made)], names=["part", "a", "b"])
+
+    tasks = spark.range(0, FOLDS + 1, 1, FOLDS + 1)
+    found = sorted(tuple(r) for r in tasks.mapInArrow(run, "part long, a binary, b binary").collect())
+    *parts, (_, weights, thresholds) = found
+    model = Ordinal(np.frombuffer(bytes(weights)), np.frombuffer(bytes(thresholds)))
+    model.cut = cut_of([np.frombuffer(bytes(a)) for _, a, _ in parts], grades)
+    held.destroy()
+    return model
+
+
 def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "doc_id", grade: str = "grade", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """grades: (key, grade from 0). At most sample_rows keys, those first by hash of the keys that have a text, are broadcast to find their texts."""
-    held = grades.where(F.col(key).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(F.col(grade)).cast("int").alias("__g"))
-    held = held.join(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__k")), "__k", "left_semi")
-    held = held.orderBy(F.xxhash64("__k"), "__k").limit(sample_rows)
-    rows = docs.join(F.broadcast(held), F.col(key) == F.col("__k")).where(F.col(text).isNotNull())
-    rows = rows.select("__g", F.col(text).cast("binary").alias("__text"))
+    """grades: (key, grade from 0). Of the graded texts, at most sample_rows are taken, those first by hash of the key; the rest is not moved."""
+    value, named = F.col(f"`{text}`"), F.col(f"`{key}`")
+    known = grades.where(F.col(key).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(F.col(grade)).cast("int").alias("__g"))
+    texts = docs.where(value.isNotNull()).select(named.alias("__k"), F.xxhash64(value).alias("__h"))
+    held = texts.join(known, "__k").distinct().orderBy(F.xxhash64("__k"), "__k", "__h").limit(sample_rows)
+    rows = docs.where(value.isNotNull()).select(named.alias("__k"), F.xxhash64(value).alias("__h"), value.cast("binary").alias("__text")).join(F.broadcast(held), ["__k", "__h"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            at, bounds = features(batch.column(1))
+        for batch in pieces(batches, 3):
+            at, bounds = features(batch.column(3))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), lists], names=["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()), lists], names=["k", "h", "grade", "features"])
 
-    found = rows.mapInArrow(extract, "grade int, features array<int>").toArrow().combine_chunks()
+    found = rows.select("__k", "__h", "__g", "__text").mapInArrow(extract, f"k {dict(docs.dtypes)[key]}, h long, grade int, features array<int>")
+    found = found.dropDuplicates(["k", "h"]).select("grade", "features").toArrow().combine_chunks()
     if not found.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lists = found.column("features").combine_chunks()
@@ -174,9 +212,7 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "do
     # a fixed order of the rows gives the same sums and parts in every run
     rows = np.lexsort((per_row(at, bounds, np.add, 0), np.diff(bounds), level))
     at, bounds = _taken(at, bounds, rows)
-    model = fit(at, np.diff(bounds), level[rows])
-    model.cut = best_cut(at, bounds, level[rows])
-    return model
+    return _fitted(docs.sparkSession, at, bounds, level[rows])
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float | None = None) -> DataFrame:
@@ -199,7 +235,7 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", threshold: float
             made = [pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(toxic)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
 
-    return docs.select(*columns, F.col(text).cast("binary").alias("__bytes")).mapInArrow(rate, schema)
+    return docs.select(*columns, F.col(f"`{text}`").cast("binary")).toDF(*(f"__{i}" for i in range(width + 1))).mapInArrow(rate, schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:
