@@ -5,7 +5,8 @@ neighbouring words of a document has a count of its own in each model. With n(v.
 
   P(w | v) = (n(v, w) + S P(w)) / (n(v.) + S),   P(w) = (n(w) + A) / (n + A (V + 1)),
 
-which sums to 1 over the V words and the unknown one. The first word of a document costs -log P(w).
+which sums to 1 over the V words and the unknown one. The first word of a document costs -log P(w). The counts that a
+document itself gave to a model are left out of n when that model scores it, so that it is not praised for its own words.
 
 Counts are summed and looked up in one exchange. Texts are cut to chunks of whole documents (saved as Parquet, as
 numbers of the chunk's words); a chunk sends its distinct words and pairs with their counts, packed and cut by ranges
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from heliospan.llm.common import saved
 from heliospan.llm.texts import mix, per_row, pieces, word_hashes
 
-#: Words of a chunk (a longer document stays whole), and words of the corpus for each bucket.
-CHUNK_WORDS = BUCKET_WORDS = 2_000_000
+#: Words of a chunk (a longer document stays whole: its words, 8 bytes each, are held by one task), and words of the corpus for each bucket.
+CHUNK_WORDS, BUCKET_WORDS = 1_000_000, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,6 +94,14 @@ def _neighbours(words: np.ndarray, numbers: np.ndarray, sizes: np.ndarray) -> tu
     return mix(words[numbers[at - 1]] * _BASE + words[numbers[at]]), at, ends[sizes > 0] - 1
 
 
+def _own_counts(doc: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """For each place, how often its document holds its kind."""
+    if not len(kind):
+        return np.zeros(0, np.int64)
+    _, at, n = np.unique(doc * (int(kind.max()) + 1) + kind, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def _asked(cut: DataFrame, buckets: int) -> DataFrame:
     """Of each chunk, the rows for the buckets: distinct words and pairs in the order of their keys, and their counts."""
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
@@ -140,18 +149,23 @@ def scored(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "te
 
     def rate(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         sizes, words, numbers = (unpacked(chunk.column(c)[0].as_py(), kind) for c, kind in (("sizes", np.int64), ("words", np.uint64), ("numbers", np.uint32)))
-        keys, second, _ = _neighbours(words, numbers, sizes)
+        flags = unpacked(chunk.column("flags")[0].as_py(), np.uint8).view(bool)
+        keys, second, last = _neighbours(words, numbers, sizes)
         _, at = np.unique(keys, return_inverse=True)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        own = _own_counts(doc, numbers)
+        own_pairs = _own_counts(doc[second], at)
+        starts = own[second - 1] - (numbers[second - 1] == numbers[np.repeat(last, np.maximum(sizes[sizes > 0] - 1, 0))])  # as the first of a pair
         answer = answer.sort_by("bucket")
         found, both = (np.concatenate([np.zeros((n, 0), np.int64), *(unpacked(x.as_py(), np.int64).reshape(n, -1) for x in answer.column(c))], axis=1) for c, n in (("found", 4), ("both", 2)))
         bounds, losses = np.concatenate([[0], np.cumsum(sizes)]), []
         for i, total in enumerate(totals):
-            alone = (found[i] + added) / (total + added * (vocabulary + 1))
-            p = alone[numbers]
-            before = (found[i] - found[2 + i])[numbers[second - 1]]
-            p[second] = (both[i][at] + smoothing * p[second]) / (before + smoothing)
+            mine = (flags == (i == 0)).astype(np.int64)[doc]  # whether the document was counted in this model
+            p = (found[i][numbers] - mine * own + added) / (total - mine * sizes[doc] + added * (vocabulary + 1))
+            before = (found[i] - found[2 + i])[numbers[second - 1]] - mine[second] * starts
+            p[second] = (both[i][at] - mine[second] * own_pairs + smoothing * p[second]) / (before + smoothing)
             losses.append(per_row(-np.log(p), bounds, np.add, 0.0) / np.maximum(sizes, 1))
         ids = chunk.column("keys").combine_chunks().flatten()
         return pa.table([ids, pa.array(sizes), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[0] - losses[1])], names=schema.names)
 
-    return cut.drop("t", "b", "flags").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate, schema)
+    return cut.drop("t", "b").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate, schema)

@@ -1,192 +1,26 @@
 """Cross-entropy difference: matched target and background n-gram models share one vocabulary and score each document.
 
-The query ``op6_cross_entropy`` counts every word and word pair (``heliospan.llm.bigrams``). ``train`` and ``score`` here
-are the small model for a vocabulary of a given size, to be broadcast; no query uses them. The rest describes that one.
+The models are word bigrams with back-off to words, over every word and word pair of the corpus (``heliospan.llm.bigrams``):
+the same vocabulary and smoothing, only the counts differ. A document's score is the mean over its tokens of the target loss
+less the background loss; below 0 it is nearer to the target.
 
-Both models are interpolated class bigrams with the same vocabulary, classes and smoothing; only their counts differ.
-The vocabulary is the VOCABULARY most frequent words of the whole corpus (a word is known by its 64-bit hash), the rest
-is one unknown word. The CORE most frequent words are classes of their own, all others are one class. With v, w words
-and c(.) their classes,
-
-  P(w | v) = (n(c(v), c(w)) + S P(c(w))) / (n(c(v)) + S) x P(w) / P(c(w)),   P(w) = (n(w) + A) / (n + A (V + 1)),
-
-which sums to 1. A document's score is the mean over its tokens of the target loss less the background loss; below 0
-it is nearer to the target. Counts cover all documents, but words past the vocabulary are one word and words past the
-core one class in pairs. The model (V + CORE^2 numbers twice) has a fixed size and is broadcast. Each pass reads whole texts, map-side.
-
-Defined results: a null text or one with no word has no tokens and losses 0. A null target flag is background. With no
-target (or no background) rows that model is uniform. Repeated rows count each; extra columns do not matter.
+Defined results, also for null, empty and repeated texts and an empty table, are those of ``bigrams.scored``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm import bigrams
-from heliospan.llm.common import extended, table
-from heliospan.llm.texts import per_row, pieces, word_hashes
+from heliospan.llm.common import table
 
-VOCABULARY = 1 << 16
-CORE = 512
 SMOOTHING, ADDED = 32.0, 0.5
-#: Distinct words that a task holds before it passes their counts on.
-HELD = 1_000_000
-
-
-def _count_words(docs: DataFrame) -> DataFrame:
-    """docs: target, text as bytes -> word, target and background counts, a row for each word and flush."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in pieces(batches, 1):
-            hashed, bounds = word_hashes(batch.column(1))
-            flags = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            words, at = np.unique(hashed, return_inverse=True)
-            counts = np.stack([np.bincount(at[flags == x], minlength=len(words)) for x in (True, False)])
-            held.append((words, counts))
-            size += len(words)
-            if size > HELD:
-                held = [_merged(held)]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from _word_rows(held[0])
-                    held, size = [], 0
-        if held:
-            yield from _word_rows(_merged(held))
-
-    return docs.mapInArrow(count, "word long, t long, b long")
-
-
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-    counts = np.concatenate([c for _, c in held], axis=1)
-    return words, np.stack([np.bincount(at, c, len(words)).astype(np.int64) for c in counts])
-
-
-def _word_rows(held: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    words, counts = held
-    for a in range(0, len(words), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000].view(np.int64)), *(pa.array(c[a : a + 50_000]) for c in counts)], names=["word", "t", "b"])
-
-
-class Words:
-    """The shared vocabulary: sorted hashes, each with its number; 0 is the unknown word. The first CORE - 1 are classes."""
-
-    def __init__(self, by_count: np.ndarray):
-        order = np.argsort(by_count)
-        self.hashes, self.numbers = by_count[order], order + 1
-
-    def ids(self, hashed: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashed), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashed, self.numbers[at], 0)
-
-
-def pairs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class bigrams of all tokens but the first of each row: the cell numbers, and which tokens they are."""
-    classes = np.where(ids < CORE, ids, 0)
-    inner = np.ones(len(ids), bool)
-    inner[bounds[:-1][bounds[:-1] < len(ids)]] = False
-    at = np.flatnonzero(inner)
-    return classes[at - 1] * CORE + classes[at], at
-
-
-def _count_pairs(docs: DataFrame, words: Words) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, CORE * CORE), np.int64)
-        for batch in pieces(batches, 1):
-            hashed, bounds = word_hashes(batch.column(1))
-            cells, at = pairs(held.value.ids(hashed), bounds)
-            flags = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))[at]
-            for row, x in enumerate((True, False)):
-                counts[row] += np.bincount(cells[flags == x], minlength=CORE * CORE)
-        at = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], names=["cell", "t", "b"])
-
-    return docs.mapInArrow(count, "cell long, t long, b long")
-
-
-class Model:
-    """Log-probabilities of words in their classes, and of classes after classes."""
-
-    def __init__(self, counts: np.ndarray, cells: np.ndarray):
-        """counts: by word number, the unknown word first; cells: (CORE, CORE) class bigrams."""
-        word = (counts + ADDED) / (counts.sum() + ADDED * len(counts))
-        classes = np.zeros(CORE)
-        classes[: len(word)] = word[:CORE]
-        classes[0] = word[0] + word[CORE:].sum()
-        inside = word.copy()
-        inside[1:CORE] = 1.0
-        inside[0], inside[CORE:] = word[0] / classes[0], word[CORE:] / classes[0]
-        self.first = np.log(word)
-        self.inside = np.log(inside)
-        with np.errstate(divide="ignore"):
-            self.after = np.log((cells + SMOOTHING * classes) / (cells.sum(1, keepdims=True) + SMOOTHING))
-
-    def losses(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Loss of each token; the first of a row by its word alone."""
-        out = -self.first[ids]
-        cells, at = pairs(ids, bounds)
-        out[at] = -(self.after.reshape(-1)[cells] + self.inside[ids[at]])
-        return out
-
-
-def train(docs: DataFrame, target: Column, text: str = "text", vocabulary: int = VOCABULARY) -> tuple[Words, Model, Model]:
-    """The shared vocabulary and the target and background models, from all rows of docs."""
-    flagged = docs.where(F.col(text).isNotNull()).select(F.coalesce(target, F.lit(False)).alias("target"), F.col(text).cast("binary").alias("__text"))
-    counted = _count_words(flagged).groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    top = counted.orderBy((F.col("t") + F.col("b")).desc(), "word").limit(vocabulary).toArrow()
-    totals = counted.agg(F.sum("t"), F.sum("b")).first()
-    by_count = top.column("word").to_numpy().view(np.uint64)
-    words = Words(by_count)
-    cells = np.zeros((2, CORE * CORE))
-    found = _count_pairs(flagged, words).groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    at = found.column("cell").to_numpy()
-    models = []
-    for i, name in enumerate(("t", "b")):
-        known = top.column(name).to_numpy().astype(float)
-        cells[i, at] = found.column(name).to_numpy()
-        models.append(Model(np.append(float(totals[i] or 0) - known.sum(), known), cells[i].reshape(CORE, CORE)))
-    return words, models[0], models[1]
-
-
-def score(docs: DataFrame, words: Words, target: Model, background: Model, text: str = "text") -> DataFrame:
-    """docs with n_tokens, target_loss, background_loss (means over tokens) and difference."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    docs = docs.drop("n_tokens", "target_loss", "background_loss", "difference")
-    held = docs.sparkSession.sparkContext.broadcast((words, target, background))
-    schema = extended(docs, "n_tokens long, target_loss double, background_loss double, difference double")
-    width = len(docs.columns)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = to_arrow_schema(schema).names
-        vocabulary, *models = held.value
-        for batch in pieces(batches, width):
-            hashed, bounds = word_hashes(batch.column(width))
-            ids = vocabulary.ids(hashed)
-            n = np.diff(bounds)
-            losses = [per_row(m.losses(ids, bounds), bounds, np.add, 0.0) / np.maximum(n, 1) for m in models]
-            made = [pa.array(n.astype(np.int64)), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[0] - losses[1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=names)
-
-    return docs.withColumn("__bytes", F.col(text).cast("binary")).mapInArrow(rate, schema)
-
-
 #: The sources whose documents are the target.
 TARGET_SOURCES = ("src1", "src2", "src3")
 
 
 def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of every document under the models of the target sources and of all others."""
+    """Losses of every document under the models of the target sources and of all others, its own counts left out."""
     docs = table(spark, sf_dir, "documents")
     return bigrams.scored(docs, F.col("source").isin(*TARGET_SOURCES), smoothing=SMOOTHING, added=ADDED)
