@@ -262,8 +262,9 @@ def _hot_windows(contexts: DataFrame, threshold: int) -> DataFrame:
                     names=["seed", "window", "k1", "k2", "lo", "open"],
                 )
 
-    rows = contexts.mapInArrow(make, "seed long, window long, k1 long, k2 long, lo long, open boolean")
-    twice = rows.groupBy("seed", "window").agg(F.count("*").alias("n")).where("n > 1")
+    rows = saved(contexts.mapInArrow(make, "seed long, window long, k1 long, k2 long, lo long, open boolean"), "repeats-windows")
+    # written, so that the join reads two plain exchanges, which adaptive execution can split at a hot window
+    twice = saved(rows.groupBy("seed", "window").agg(F.count("*").alias("n")).where("n > 1").select("seed", "window"), "repeats-twice")
     return rows.where("open").join(twice, ["seed", "window"]).select("k1", "k2", "lo", F.col("lo").alias("hi"))
 
 
@@ -290,10 +291,33 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
     settled = again.join(kinds.where("n > 1").select("seed", "all"), ["seed", "all"])
     place = F.shiftright("at", 16)
     settled = settled.select("k1", "k2", (place - F.col("at").bitwiseAND(255)).alias("lo"), (place - F.shiftright("at", 8).bitwiseAND(255)).alias("hi"))
-    spans = spans.union(settled).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.union(settled).distinct().repartition("k1", "k2").sortWithinPartitions("k1", "k2", "lo")
+    spans = _joined_spans(spans, threshold).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return members, spans
 
 
+def _joined_spans(spans: DataFrame, threshold: int) -> DataFrame:
+    """spans in order, those of one text that touch as one: at most a span for each threshold of bytes is collected later."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[int] | None = None
+        for batch in batches:
+            out: list[list[int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and now[:2] == list(row[:2]) and row[2] <= now[3] + threshold:
+                    now[3] = max(now[3], row[3])
+                else:
+                    if now is not None:
+                        out.append(now)
+                    now = list(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=batch.schema.names)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in now], names=["k1", "k2", "lo", "hi"])
+
+    return spans.select("k1", "k2", "lo", "hi").mapInArrow(merge, "k1 long, k2 long, lo long, hi long")
+
+
 def covered(spans: list[dict[str, int]], threshold: int) -> list[tuple[int, int]]:
     """Maximal byte ranges that the windows cover."""
     out: list[tuple[int, int]] = []
