@@ -6,8 +6,9 @@ children only if the weight of one of them changed: movement stays in the subtre
 joins in a region of its own (``grown``) changes no weight elsewhere and therefore takes rows only into itself.
 
 The placement is one projection with no shuffle; slots add two aggregations with map-side sums. Everything is built-in
-functions. Nulls: a null key is placed like the string 'null'. Rows with equal keys share their shard. An empty table
-gives an empty table. Other columns pass through; columns named as ``OUT`` are replaced.
+functions. Nulls: a null key is placed like the string 'null'. Rows with equal keys share their shard. Only the size of a
+text counts, however long. An empty table gives an empty table. Other columns pass through; columns named as ``OUT`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -81,18 +82,12 @@ def place(key: Column, tree: Sequence[Shard]) -> dict[str, Column]:
 
 def assign(df: DataFrame, key: str, tree: Sequence[Shard], names: Sequence[str] = OUT) -> DataFrame:
     """df with the region, rack and shard of each row, under the given names."""
-    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    held = df.drop(*names).withColumn("__key", text)
-    columns = place(F.col("__key"), tree)
-    inner = {c: f"__{c}" for c in OUT}
-    clash = [c for c in OUT if c in held.columns]
-    for c in clash:
-        held = held.withColumnRenamed(c, f"__held_{c}")
-    for c in OUT:
-        held = held.withColumn(c, columns[c])
-    held = held.withColumnsRenamed(dict(zip(OUT, (inner[c] for c in OUT), strict=True)))
-    held = held.withColumnsRenamed({f"__held_{c}": c for c in clash})
-    return held.withColumnsRenamed(dict(zip((inner[c] for c in OUT), names, strict=True))).drop("__key")
+    kept = [c for c in df.columns if c not in names]
+    inner = [f"__{i}" for i in range(len(kept))]  # columns may have the names made here
+    held = df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))).toDF(*inner, "__key")
+    for name, column in place(F.col("__key"), tree).items():
+        held = held.withColumn(name, column)
+    return held.select(*inner, *OUT).toDF(*kept, *names)
 
 
 def slots(df: DataFrame, by: Sequence[str], shard: str = "shard") -> DataFrame:
@@ -104,7 +99,8 @@ def slots(df: DataFrame, by: Sequence[str], shard: str = "shard") -> DataFrame:
     rows = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
     rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / PART_ROWS).cast("int") - 1)))
     rows = rows.withColumn("__n", F.least(F.lit(PART_ROWS), F.col("__n") - F.col("__part") * PART_ROWS))
-    name = F.concat_ws("|", F.coalesce(F.col(by[0]).cast("string"), F.lit("null")), F.lit("slot"), F.when(F.col("__part") > 0, F.col("__part").cast("string")))
+    # all of ``by``, so that rows which share a key (or have none) are spread; parts of one hot row too
+    name = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by), F.lit("slot"), F.when(F.col("__part") > 0, F.col("__part").cast("string")))
     rows = rows.withColumn("__bucket", F.conv(F.substring(F.md5(name), 1, 3), 16, 10).cast("int"))
     before = (W.unboundedPreceding, -1)
     starts = rows.groupBy(shard, "__bucket").agg(F.sum("__n").alias("__rows"))
@@ -157,7 +153,7 @@ def _sql() -> str:
     regions AS (
       SELECT *, CASE WHEN {region[0]} <= {region[1]} THEN 0 ELSE 1 END AS region,
         {region[2]} < least({region[0]}, {region[1]}) AS moves,
-        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|slot'), 1, 3))::INT AS bucket FROM docs),
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || size || '|' || text_crc32 || '|slot'), 1, 3))::INT AS bucket FROM docs),
     racks AS (SELECT *, CASE region {racks} END AS rack FROM regions),
     placed AS (SELECT *, CASE 2 * region + rack {leaves} END AS shard FROM racks)
     SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, region::INT AS region, rack::INT AS rack,
