@@ -10,8 +10,9 @@ item sets are split by item into several automata, and the documents pass throug
 shared folder between passes. So what is broadcast has a bound whatever the size of the item table.
 
 Defined results: a null or empty text has no words and no hits; null or empty items match nothing; repeated items and
-item ids count once each; an empty item table hits nothing. Other columns of the documents are not touched. Documents
-with the same id are judged on their own.
+item ids count once each; an item with a null id is named 'null', like one with that id; an empty item table hits nothing.
+A long text streams through by itself, and an item may have any length. Other columns of the documents are not touched.
+Documents with the same id are judged on their own.
 """
 
 from __future__ import annotations

@@ -27,6 +27,9 @@ from heliospan.llm.texts import binary_text
 MAX_VOCABULARY_BYTES = 16 << 20
 #: Words whose counts a worker remembers, and their greatest length.
 MEMO, MEMO_BYTES = 500_000, 64
+#: Bytes of a text that are split at once.
+PART_BYTES = 1 << 20
+_BLANK = re.compile(rb"[\x09-\x0d\x20]")
 _LOWER = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in range(256))
 _SPLIT = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x09-\x0d\x20]+")
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -109,7 +112,17 @@ class Memo(dict):
         return n
 
     def text(self, text: bytes | None) -> int:
-        return sum(map(self.__getitem__, _SPLIT.findall(text.translate(_LOWER)))) if text else 0
+        return sum(sum(map(self.__getitem__, _SPLIT.findall(part.translate(_LOWER)))) for part in parts(text or b""))
+
+
+def parts(text: bytes, size: int = PART_BYTES) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes that end at a blank, so that no word is cut; a longer run without one stays whole."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + size)
+        end = blank.end() if blank else len(text)
+        yield text[at:end]
+        at = end
 
 
 def byte_symbols() -> dict[str, int]:
