@@ -6,18 +6,23 @@ as ISO-8859-1 first, so that every byte is one character.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MANDATORY = 105
 #: Report kinds that are summaries, and the kind that is a routine synoptic special.
 SUMMARIES = ("SOD", "SOM", "SOY")
 SPECIAL = "FM-16"
+#: The weather phenomena of a wet token, and what may stand before them.
 _PHENOMENA = "DZ|RA|SN|SG|IC|PL|GR|GS|UP"
-WET_TOKEN = f"^[+-]?(SH|TS|FZ)*({_PHENOMENA})+$"
+#: A whole token of the body: nothing but blanks around it.
+_TOKEN = r"(?<!\S){0}(?!\S)"
+WET_TOKEN = _TOKEN.format(rf"[+-]?(?:SH|TS|FZ)*(?:{_PHENOMENA})+")
 CLEAR_TOKENS = ("CLR", "SKC", "NSC", "NCD", "CAVOK")
 #: Oktas of METAR cover codes.
 COVER = {"FEW": 2, "SCT": 4, "BKN": 6, "OVC": 8}
+#: Hours of the accumulations that count.
+PERIODS = (3, 6, 12, 24)
 
 
 def field(line: Column, start: int, end: int) -> Column:
@@ -34,7 +39,7 @@ def tenths(text: Column, missing: str, strict: bool = False) -> Column:
 def mandatory(line: Column, strict: bool = False) -> dict[str, Column]:
     stamp = field(line, 15, 23)
     return {
-        "utc_date": F.to_date(stamp, "yyyyMMdd") if strict else F.try_to_date(stamp, "yyyyMMdd"),
+        "utc_date": _date(stamp, strict),
         "utc_hour": field(line, 23, 25).cast("int") if strict else field(line, 23, 25).try_cast("int"),
         "report_type": F.trim(field(line, 41, 46)),
         "wind_mps": tenths(field(line, 65, 69), "9999", strict),
@@ -50,73 +55,80 @@ def sections(line: Column) -> tuple[Column, Column]:
     return groups, F.when(at > 0, F.substr(line, at)).otherwise("")
 
 
-def _groups(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _date(stamp: Column, strict: bool) -> Column:
+    text = F.concat_ws("-", F.substring(stamp, 1, 4), F.substring(stamp, 5, 2), F.substring(stamp, 7, 2))
+    return text.cast("date") if strict else text.try_cast("date")
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """The first group of the first match, null if there is none."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def precipitation(groups: Column) -> dict[str, Column]:
     """precip_mm of the last one-hour group; acc_period and acc_depth of the shortest longer one, the first of equals."""
-    pattern = r"AA\d(\d{2})(\d{4})\d\d"
-    pairs = F.arrays_zip(_groups(groups, pattern, 1).alias("period"), _groups(groups, pattern, 2).alias("depth"))
-    read = F.transform(pairs, lambda p, i: F.struct(p["period"].cast("int").alias("period"), i.alias("at"), p["depth"].alias("depth")))
-    known = F.filter(read, lambda p: p["depth"] != "9999")
-    hourly = F.filter(known, lambda p: p["period"] == 1)
-    longer = F.array_min(F.filter(known, lambda p: p["period"].isin(3, 6, 12, 24)))
-    return {"precip_mm": F.try_element_at(hourly, F.lit(-1))["depth"].cast("int") / 10.0, "acc_period": longer["period"], "acc_depth": longer["depth"].cast("int") / 10.0}
+    has = F.contains(groups, F.lit("AA"))
+    depth = r"AA\d{0:02d}(?!9999)(\d{{4}})\d\d"
+    longer = {n: _found(groups, depth.format(n)) for n in PERIODS}
+    period = F.coalesce(*(F.when(v.isNotNull(), n) for n, v in longer.items()))
+    return {
+        "precip_mm": F.when(has, _found(groups, "(?s).*" + depth.format(1)).cast("int") / 10.0),
+        "acc_period": F.when(has, period),
+        "acc_depth": F.when(has, F.coalesce(*longer.values()).cast("int") / 10.0),
+    }
 
 
 def cloud_groups(groups: Column) -> Column:
-    """The greatest cover of the sky groups, in percent."""
-    codes = F.transform(_groups(groups, r"GA\d(\d{2})\d[+-]\d{5}\d\d{2}\d", 1), lambda c: c.cast("int"))
-    used = F.filter(codes, lambda c: ~c.isin(99, 10))
-    return F.array_max(F.transform(used, lambda c: F.when(c == 9, 100.0).otherwise(c / 8.0 * 100.0)))
+    """The greatest cover of the sky groups, in percent; codes 99 and 10 say nothing, 09 is all of the sky."""
+    codes = F.regexp_extract_all(groups, F.lit(r"GA\d(\d{2})\d[+-]\d{5}\d\d{2}\d"), F.lit(1))
+    # two digits each, so the greatest text is the greatest code, and a greater code is no less cover
+    most = F.array_max(F.array_except(codes, F.array(F.lit("99"), F.lit("10")))).cast("int")
+    return F.when(F.contains(groups, F.lit("GA")), F.when(most == 9, 100.0).otherwise(most / 8.0 * 100.0))
 
 
 def weather_codes(groups: Column) -> Column:
-    """True for a wet code, false for a dry one, null if the codes prove nothing."""
-    def of(name: str, least: int) -> tuple[Column, Column]:
-        codes = F.transform(_groups(groups, name + r"\d(\d{2})\d", 1), lambda c: c.cast("int"))
-        return F.exists(codes, lambda c: c >= least), F.exists(codes, lambda c: (c < 20) | (c == 28) | ((c >= 30) & (c < least)))
-
-    (wet, dry), (wet_too, dry_too) = of("MW", 50), of("AW", 40)
-    return F.when(wet | wet_too, True).when(dry | dry_too, False)
+    """True for a wet code (MW from 50, AW from 40), false for a dry one, null if the codes prove nothing (20 to 27 and 29)."""
+    wet = groups.rlike(r"MW\d[5-9]\d\d|AW\d[4-9]\d\d")
+    dry = groups.rlike(r"(?:MW\d(?:[01]\d|28|[34]\d)|AW\d(?:[01]\d|28|3\d))\d")
+    return F.when(groups.rlike("[MA]W"), F.when(wet, True).when(dry, False))
 
 
 def metar_body(remarks: Column) -> Column:
     """What follows the first METAR, else SPECI mark in the remarks, up to its own remarks; null if there is none."""
     metar, speci = F.locate("METAR ", remarks), F.locate("SPECI ", remarks)
     body = F.substr(remarks, F.when(metar > 0, metar).otherwise(speci) + 6)
-    end = F.locate(" RMK", body)
-    return F.when((metar > 0) | (speci > 0), F.when(end > 0, F.substring(body, F.lit(1), end - 1)).otherwise(body))
-
-
-def tokens(body: Column) -> Column:
-    return F.filter(F.split(body, r"\s+"), lambda t: t != "")
+    # up to the first mark of remarks, all of the rest where there is none
+    return F.when((metar > 0) | (speci > 0), F.substring_index(body, " RMK", 1))
 
 
 def metar_wet(body: Column) -> Column:
-    return F.exists(tokens(body), lambda t: t.rlike(WET_TOKEN))
+    return body.rlike(WET_TOKEN)
 
 
 def metar_cloud(body: Column) -> Column:
     """The greatest cover of the body's tokens, in percent; 0 for a clear-sky token, null if no token says."""
-    def cover(t: Column) -> Column:
-        out = F.when(t.rlike(r"^VV\d{3}"), 100.0).when(t.isin(*CLEAR_TOKENS), 0.0)
-        for code, oktas in COVER.items():
-            out = out.when(t.rlike(rf"^{code}\d{{3}}"), oktas / 8.0 * 100.0)
-        return out
-
-    return F.array_max(F.transform(tokens(body), cover))
-
-
-def parsed(line: Column, strict: bool = False) -> dict[str, Column]:
-    """All fields of a line; the METAR in the remarks fills what the groups leave open."""
-    groups, remarks = sections(line)
-    body = metar_body(remarks)
-    codes, wet = weather_codes(groups), metar_wet(body)
-    return {
-        **mandatory(line, strict),
-        **precipitation(groups),
-        "cloud_pct": F.coalesce(cloud_groups(groups), metar_cloud(body)),
-        "wx_wet": F.when(codes, True).when(wet, True).when(codes.isNotNull(), codes).when(wet.isNotNull(), False),
-    }
+    out = F.when(body.rlike(r"(?<!\S)(?:OVC|VV)\d{3}"), 100.0)
+    for code in ("BKN", "SCT", "FEW"):
+        out = out.when(body.rlike(rf"(?<!\S){code}\d{{3}}"), COVER[code] / 8.0 * 100.0)
+    return out.when(body.rlike(_TOKEN.format("(?:" + "|".join(CLEAR_TOKENS) + ")")), 0.0)
+
+
+def with_sections(df: DataFrame, line: str = "line") -> DataFrame:
+    """df with __groups, __body, __codes and __wet. Projected step by step: each is read more than once later, so the optimizer keeps the steps apart."""
+    groups, remarks = sections(F.col(line))
+    out = df.withColumns({"__groups": groups, "__remarks": remarks}).withColumn("__body", metar_body(F.col("__remarks"))).drop("__remarks")
+    return out.withColumns({"__codes": weather_codes(F.col("__groups")), "__wet": metar_wet(F.col("__body"))})
+
+
+def parsed(df: DataFrame, line: str = "line", strict: bool = False) -> DataFrame:
+    """df with all fields of the line; the METAR in the remarks fills what the groups leave open."""
+    held = with_sections(df, line)
+    codes, wet = F.col("__codes"), F.col("__wet")
+    return held.withColumns(
+        {
+            **mandatory(F.col(line), strict),
+            **precipitation(F.col("__groups")),
+            "cloud_pct": F.coalesce(cloud_groups(F.col("__groups")), metar_cloud(F.col("__body"))),
+            "wx_wet": F.when(codes, True).when(wet, True).when(codes.isNotNull(), codes).when(wet.isNotNull(), False),
+        }
+    ).drop("__groups", "__body", "__codes", "__wet")

@@ -28,19 +28,28 @@ def composite(stations: DataFrame, rules: Rules = RULES) -> DataFrame:
     columns = ("avg_perfect_days", "avg_bad_days")
     raw = with_bounds(stations, columns)
     raw = raw.withColumn("__raw", normalised(columns[0]) + rules.vegetation_weight * F.col("avg_vegetation") - normalised(columns[1]))
-    out = with_bounds(raw, ["__raw"]).withColumn("avg_score", F.round(normalised("__raw"), 4))
+    out = with_bounds(raw, ["__raw"]).withColumn("avg_score", scalar.rounded(normalised("__raw"), 4))
     return out.drop(*(c for c in out.columns if c.startswith("__")))
 
 
-def published(stations: DataFrame, digits: Mapping[str, int]) -> DataFrame:
-    """Rounds the columns as published and adds the net counts of the rounded values' sources."""
+#: Digits of the published columns.
+DIGITS = {
+    "elevation": 0, "avg_annual_precip_mm": 0, "avg_ndvi": 3, "avg_vegetation": 3, "avg_perfect_days": 2, "avg_gloomy_days": 2, "avg_bad_days": 2, "avg_indoor_days": 2, "avg_net_days": 2,
+    "avg_perfect_minus_gloom": 2, "avg_gloom_streaks": 2, "avg_perfect_streaks": 2, "perfect_indoor_ratio": 3, "seasonal_concentration": 3, "coverage": 3,
+}
+#: The columns of a published station, in their order.
+PUBLISHED = (
+    "id", "name", "country", "country_name", "lat", "lon", "elevation", "avg_annual_precip_mm", "avg_ndvi", "avg_vegetation", "vegetation_lush_months", "vegetation_source", "avg_perfect_days", "avg_gloomy_days",
+    "avg_bad_days", "avg_indoor_days", "avg_net_days", "avg_perfect_minus_gloom", "avg_gloom_streaks", "avg_perfect_streaks", "perfect_indoor_ratio", "seasonal_concentration", "years_included", "coverage", "step", "samples", "avg_score",
+)
+
+
+def published(stations: DataFrame, digits: Mapping[str, int] = DIGITS) -> DataFrame:
+    """Adds the net counts and rounds the columns as published; those of no digits become whole numbers."""
     net = {"avg_net_days": F.col("avg_perfect_days") - F.col("avg_indoor_days"), "avg_perfect_minus_gloom": F.col("avg_perfect_days") - F.col("avg_gloom_streaks")}
     out = stations.withColumns(net)
-    return out.withColumns({c: scalar.rounded(F.col(c), d) for c, d in digits.items()})
-
-
-#: Digits of the published columns.
-DIGITS = {"avg_annual_precip_mm": 0, "avg_perfect_days": 1, "avg_gloomy_days": 1, "avg_bad_days": 1, "avg_indoor_days": 1, "avg_net_days": 1, "avg_perfect_minus_gloom": 1, "avg_gloom_streaks": 1, "avg_perfect_streaks": 1, "perfect_indoor_ratio": 3, "seasonal_concentration": 3, "coverage": 3}
+    rounded = {c: scalar.rounded(F.col(c).cast("double"), d) for c, d in digits.items() if c in out.columns}
+    return out.withColumns({c: v if digits[c] else v.cast("long") for c, v in rounded.items()})
 
 
 def backfilled(stations: DataFrame) -> DataFrame:
@@ -90,18 +99,41 @@ def without(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right.select(*on), list(on), "left_anti")
 
 
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of left whose key is in right, each once: what is derived, or what is published."""
+    return left.join(right.select(*on), list(on), "left_semi")
+
+
+def merged_years(*parts: DataFrame) -> DataFrame:
+    """The rows of all parts by column names, equal ones once: the years of a station from several runs."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def counters(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)
 
 
-def explained(years: DataFrame, stations: DataFrame, station: str = "station") -> DataFrame:
-    """For stations left out: mean coverage of each criterion, the main reason, the last step; '?' for unknown names."""
-    from heliospan.operators.days import first_mode
-
-    out = years.groupBy(station).agg(*(F.avg(f"coverage_{c}").alias(f"mean_{c}") for c in CRITERIA), F.max_by("step", "file_year").alias("last_step"), F.count("*").alias("years"))
-    reason = first_mode("excluded_reason", "file_year", [station], years.where(F.col("excluded_reason").isNotNull()))
-    out = out.join(reason, station).join(stations, station, "left")
-    return out.fillna("?", [c for c, t in stations.dtypes if t == "string" and c != station])
+def explained(years: DataFrame, stations: DataFrame, reasons: Sequence[str] = (), station: str = "station", rules: Rules = RULES) -> DataFrame:
+    """For each station left out: its name, main reason, last step, years, and the mean coverage of each criterion in percent.
+
+    The reason is "few years" where one or more count but not enough, else the most common one of a year: a criterion's name,
+    or "valid days". reasons: only stations of these, all where none is given. In the order of reason and station; unknown
+    names are "?".
+    """
+    from heliospan.operators.days import first_mode, passed_years
+
+    named = years.where(F.col("excluded_kind").isNotNull()).withColumn("reason", F.coalesce("excluded_criterion", F.lit("valid days")))
+    means = (scalar.rounded(F.avg(f"coverage_{c}") * 100, 0).cast("int").alias(f"mean_{c}") for c in CRITERIA)
+    out = years.groupBy(station).agg(F.count("*").alias("years"), F.max_by("step", "file_year").alias("last_step"), *means)
+    out = out.join(passed_years(years, station).where(F.col("passed") < rules.min_years), station).join(first_mode("reason", "file_year", [station], named), station, "left")
+    out = out.withColumn("reason", F.when(F.col("passed") > 0, "few years").otherwise(F.coalesce("reason", F.lit("ok")))).drop("passed")
+    if reasons:
+        out = out.where(F.col("reason").isin(*reasons))
+    out = out.join(stations, station, "left").fillna("?", [c for c, t in stations.dtypes if t == "string" and c != station])
+    return out.orderBy("reason", station)
 
 
 def notes(years: DataFrame, station: str = "station") -> DataFrame:

@@ -167,7 +167,12 @@ def profile_arrays(profile: DataFrame, station: str = "station") -> DataFrame:
     """Twelve values for each measure, January first, null where a month has none; rounded as published."""
     digits = {"temp": 2, "dew": 2, "cloud": 2, "wind": 2, "rain": 1, "perfect_rate": 1, "indoor_rate": 1, "gloom_rate": 1}
     held = profile.groupBy(station).agg(*(F.map_from_entries(F.collect_list(F.struct("month", F.struct(scalar.rounded(F.col(c), d).alias("v"))))).alias(c) for c, d in digits.items()))
-    return held.select(station, *(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m, c=c: F.try_element_at(F.col(c), m)["v"]).alias(c) for c in digits))
+    twelve = F.sequence(F.lit(1), F.lit(12))
+
+    def by_month(c: str) -> Column:
+        return F.transform(twelve, lambda m: F.try_element_at(F.col(c), m)["v"]).alias(c)
+
+    return held.select(station, *map(by_month, digits))
 
 
 def first_mode(value: str, order: str, keys: Sequence[str], df: DataFrame) -> DataFrame:
@@ -196,10 +201,50 @@ def stations(years: DataFrame, months: DataFrame, station: str = "station", rule
     return out.withColumn("perfect_indoor_ratio", scalar.perfect_indoor_ratio(F.col("avg_perfect_days"), F.col("avg_indoor_days")))
 
 
+#: Why stations are left out.
+TOO_FEW_DAYS, NO_DATA = "too few valid days", "no data"
+
+
+def passed_years(years: DataFrame, station: str = "station") -> DataFrame:
+    """station, passed: how many of its years count."""
+    return years.groupBy(station).agg(F.count_if(F.col("excluded_kind").isNull()).alias("passed"))
+
+
 def exclusions(years: DataFrame, station: str = "station", rules: Rules = RULES) -> DataFrame:
-    """Why stations without enough counted years are left out: the most common reason, or that years are few."""
-    counted = years.groupBy(station).agg(F.count_if(F.col("excluded_kind").isNull()).alias("passed"))
-    reasons = first_mode("excluded_reason", "file_year", [station], years.where(F.col("excluded_kind").isNotNull()))
-    out = counted.where(F.col("passed") < rules.min_years).join(reasons, station, "left")
+    """Why stations without enough counted years are left out: that years are few, or else the most common reason of a year
+    (a criterion's name, or too few valid days), of equal ones the first."""
+    named = years.where(F.col("excluded_kind").isNotNull()).withColumn("reason", F.coalesce("excluded_criterion", F.lit(TOO_FEW_DAYS)))
+    out = passed_years(years, station).where(F.col("passed") < rules.min_years).join(first_mode("reason", "file_year", [station], named), station, "left")
     few = F.lit(f"fewer than {rules.min_years} valid years")
-    return out.select(station, F.when(F.col("passed") > 0, few).otherwise(F.coalesce("excluded_reason", F.lit("no data"))).alias("reason"))
+    return out.select(station, F.when(F.col("passed") > 0, few).otherwise(F.coalesce("reason", F.lit(NO_DATA))).alias("reason"))
+
+
+def year_details(years: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """What is shown of each year, rounded: its data, and either why it is left out (``excluded``) or its results."""
+    rounded = scalar.rounded
+    share = F.col("valid_days") / F.col("days_in_year")
+    scale = rules.target_days / F.col("valid_days")
+    counts = F.col("excluded_kind").isNull()
+    results = {"score": (F.col("score_sum") / F.col("valid_days"), 3), "perfect": (F.col("perfect_count") * scale, 1), "indoor": (F.col("indoor_count") * scale, 1), "gloom": (F.col("gloom_weighted") * scale, 1), "pstreak": (F.col("pstreak_weighted") * scale, 1)}
+    why = F.struct(F.col("excluded_kind").alias("kind"), F.col("excluded_criterion").alias("criterion"), rounded(F.col("excluded_value"), 3).alias("value"))
+    return years.select(
+        "station",
+        F.col("file_year").alias("year"),
+        "obs",
+        "step",
+        F.struct(*(rounded(F.col(f"coverage_{c}"), 3).alias(c) for c in CRITERIA)).alias("coverage"),
+        rounded(share, 3).alias("valid_days"),
+        F.when(~counts, why).alias("excluded"),
+        *(F.when(counts, rounded(v, d)).alias(n) for n, (v, d) in results.items()),
+    )
+
+
+def details(years: DataFrame, profiles: DataFrame, stations: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """One row for each published station: id, its years in order, monthly arrays, streaks. profiles: ``profile_arrays``."""
+    rows = year_details(years, rules)
+    by_station = rows.groupBy("station").agg(F.sort_array(F.collect_list(F.struct(*rows.columns[1:]))).alias("years"))
+    names = {"temp": "temp", "dew": "dew", "cloud": "cloud", "wind": "wind", "rain": "rain", "perfect_rate": "perfect", "indoor_rate": "indoor", "gloom_rate": "gloom"}
+    monthly_ = profiles.select("station", F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("monthly"))
+    shown = stations.select("station", "gloom_longest_run", scalar.rounded(F.col("gloom_avg_length"), 1).alias("gloom_avg_length"), "perfect_streak_longest_run", scalar.rounded(F.col("perfect_streak_avg_length"), 1).alias("perfect_streak_avg_length"))
+    out = shown.join(by_station, "station").join(monthly_, "station", "left").withColumn("min_data_fraction", scalar.rounded(F.lit(rules.min_fraction), 4))
+    return out.select(F.col("station").alias("id"), "min_data_fraction", "years", "monthly", *shown.columns[1:])

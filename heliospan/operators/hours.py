@@ -14,23 +14,27 @@ from heliospan.functions.rules import CRITERIA, RULES, Rules
 KEYS = ("station", "file_year")
 
 
-def merge_hours(reports: DataFrame, line: Sequence[str] = ("line_no",), keys: Sequence[str] = KEYS) -> DataFrame:
+#: Added to the line number of a routine report, so that it goes before every special one.
+ROUTINE = 1 << 62
+
+
+def merge_hours(reports: DataFrame, line: str = "line_no", keys: Sequence[str] = KEYS, extra: Sequence[Column] = ()) -> DataFrame:
     """One row for each hour: first known value by priority (routine before special, later lines first), the greatest
-    rain, and wet if any report is wet. One aggregation; priorities are compared as structs, so nothing is sorted."""
-    rank = F.struct((~F.col("special")).alias("routine"), *line)
+    rain, and wet if any report is wet. line: a whole number under 2^62. One aggregation by hash with map-side combining:
+    priorities are one number and all values have a fixed width, so nothing is sorted."""
+    rank = F.when(F.col("special"), F.col(line)).otherwise(F.col(line) + F.lit(ROUTINE))
 
-    def first_known(column: str | Column) -> Column:
-        value = F.col(column) if isinstance(column, str) else column
-        return F.max_by(value, F.when(value.isNotNull(), rank))
+    def first_known(column: str, known: str | None = None) -> Column:
+        return F.max_by(F.col(column), F.when(F.col(known or column).isNotNull(), rank)).alias(column)
 
-    acc = F.when(F.col("acc_period").isNotNull(), F.struct("acc_period", "acc_depth"))
-    merged = reports.groupBy(*keys, "utc_date", "utc_hour").agg(
-        *(first_known(c).alias(c) for c in ("temp_c", "dew_c", "wind_mps", "cloud_pct")),
+    return reports.groupBy(*keys, "utc_date", "utc_hour").agg(
+        *(first_known(c) for c in ("temp_c", "dew_c", "wind_mps", "cloud_pct")),
         F.max("precip_mm").alias("precip_mm"),
-        first_known(acc).alias("acc"),
         F.bool_or("wx_wet").alias("wx_wet"),
+        first_known("acc_period"),
+        first_known("acc_depth", "acc_period"),
+        *extra,
     )
-    return merged.select("*", "acc.acc_period", "acc.acc_depth").drop("acc")
 
 
 def localised(hours: DataFrame, stations: DataFrame, station: str = "station") -> DataFrame:
@@ -108,9 +112,22 @@ def with_step(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return out.withColumn("step", F.coalesce(step, F.lit(1)).cast("int")).drop("__gap", "__rank")
 
 
-def cadence(reports: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
-    """Lines for each calendar day of the years that have a file, by station, and whether that reaches the bound."""
-    by_year = reports.groupBy(*keys).agg(F.count("*").alias("lines"))
+def masked(hours: DataFrame, share: float = 1.0, opens: int = 0, closes: int = 24, keys: Sequence[str] = KEYS, seed: int = 0) -> DataFrame:
+    """hours with gaps, to see what they change: only local hours from opens to before closes, and of those a share.
+
+    An hour is kept by a hash of its keys, time and seed, so the same ones stay whatever the partitions.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in (*keys, "abs_hour")), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return hours.where(F.col("local_hour").between(opens, closes - 1) & (draw < share))
+
+
+def cadence(lines: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
+    """Raw lines (all of them, also short ones and summaries) for each calendar day of the years that have a file, by station, and whether that reaches the bound."""
+    return cadence_of(lines.groupBy(*keys).agg(F.count("*").alias("lines")), keys, rules)
+
+
+def cadence_of(by_year: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
+    """The same from the number of lines (or an estimate of it) of each station and year."""
     out = by_year.groupBy(keys[0]).agg(F.sum("lines").alias("lines"), F.sum(scalar.days_in_year(F.col(keys[1]))).cast("long").alias("days"))
     rate = F.coalesce(F.try_divide(F.col("lines").cast("double"), F.col("days")), F.lit(0.0))
     return out.withColumn("obs_per_day", rate).withColumn("accepted", F.col("obs_per_day") >= rules.min_obs_per_day)

@@ -95,13 +95,15 @@ def inside(points: DataFrame, rings: DataFrame, key: str) -> DataFrame:
 
 
 def climatology(cells: DataFrame, factor: int, least_land: float = 0.02) -> DataFrame:
-    """Coarse raster of monthly means: cells (year, month, row, col, value or null) averaged over factor x factor boxes,
-    then over years; 0 where land is too rare, months without data get the mean of the others. Codes are 1 + rint(254 v)."""
-    boxes = cells.groupBy("year", "month", F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col"))
-    boxes = boxes.agg(F.avg("value").alias("value"), (F.count("value") / F.count("*")).alias("land"))
-    months = boxes.where(F.col("land") > least_land).groupBy("row", "col", "month").agg(F.avg("value").alias("value"))
-    held = months.groupBy("row", "col").agg(F.map_from_entries(F.collect_list(F.struct("month", "value"))).alias("by_month"), F.avg("value").alias("mean"))
-    code = lambda m: (F.lit(1) + F.rint(254.0 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at("by_month", m), F.col("mean")))))).cast("int")
+    """Coarse raster by month: cells (year, month, row, col, value or null) averaged over the land of factor x factor boxes
+    and all years, values under 0 as 0; no code where the share of land is too small. Codes are 1 + rint(254 v); months
+    without one get the rounded mean of the codes of the others."""
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value").cast("double")))
+    boxes = cells.groupBy("month", F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col"))
+    boxes = boxes.agg(F.avg(F.when(F.col("value").isNotNull(), value)).alias("value"), (F.count("value") / F.count("*")).alias("land"))
+    months = boxes.where(F.col("land") > least_land).withColumn("code", (1 + F.rint(254.0 * F.col("value"))).cast("int"))
+    held = months.groupBy("row", "col").agg(F.map_from_entries(F.collect_list(F.struct("month", "code"))).alias("by_month"), F.rint(F.avg("code")).cast("int").alias("mean"))
+    code = lambda m: F.coalesce(F.try_element_at("by_month", m), F.col("mean"))
     return held.select("row", "col", F.transform(F.sequence(F.lit(1), F.lit(12)), code).alias("m"))
 
 

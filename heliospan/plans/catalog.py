@@ -12,7 +12,7 @@ from heliospan.functions.rules import CRITERIA
 from heliospan.operators import compose, days, hours
 from heliospan.operators.hours import KEYS
 from heliospan.plans import display, geography, raw
-from heliospan.plans.synthetic import CHAIN, LINE, places, reports
+from heliospan.plans.synthetic import CHAIN, PATCHY_CHAIN, patchy, places, reports
 from heliospan.plans.weather import Climate, climate, scored_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,16 @@ ORACLES: dict[str, str] = {}
 
 
 def _climate(spark: SparkSession, sf_dir: str) -> Climate:
-    return climate(reports(spark, sf_dir), places(spark, sf_dir), LINE)
+    return climate(_merged(spark, sf_dir), places(spark, sf_dir))
+
+
+def _patchy(spark: SparkSession, sf_dir: str) -> Climate:
+    """The same with gaps, so that years and stations are left out for every reason."""
+    return climate(hours.merge_hours(patchy(reports(spark, sf_dir))), places(spark, sf_dir))
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hours.merge_hours(reports(spark, sf_dir), LINE)
+    return hours.merge_hours(reports(spark, sf_dir))
 
 
 def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(spark, sf_dir).select(*KEYS, "local_date", "step", "complete", F.round("day_score", 6).alias("day_score"), "indoor", "gloomy", "perfect", "valid")
 
 
-def _add(name: str, columns: dict[str, str] | str, source: str, query: Query, where: str = "") -> None:
+def _add(name: str, columns: dict[str, str] | str, source: str, query: Query, where: str = "", chain: str = CHAIN) -> None:
     """columns: output -> 'plain' or the digits to which both sides round it; source: a table of the SQL chain."""
     shown = dict.fromkeys(columns.replace(",", " ").split(), "") if isinstance(columns, str) else columns
 
@@ -54,7 +59,7 @@ def _add(name: str, columns: dict[str, str] | str, source: str, query: Query, wh
         return df.select(*(F.round(F.col(c), int(d)).alias(c) if d else F.col(c) for c, d in shown.items()))
 
     QUERIES[name] = run
-    ORACLES[name] = f"{CHAIN} SELECT {', '.join(f'round({c}, {d}) AS {c}' if d else c for c, d in shown.items())} FROM {source}{f' WHERE {where}' if where else ''}"
+    ORACLES[name] = f"{chain} SELECT {', '.join(f'round({c}, {d}) AS {c}' if d else c for c, d in shown.items())} FROM {source}{f' WHERE {where}' if where else ''}"
 
 
 def _plain(text: str, **digits: str) -> dict[str, str]:
@@ -86,7 +91,7 @@ _add(
     "years",
     lambda s, d: _climate(s, d).years,
 )
-_add("exclusion", _plain("station file_year excluded_kind excluded_criterion", excluded_value="9"), "years", lambda s, d: _climate(s, d).years)
+_add("exclusion", _plain("station file_year excluded_kind excluded_criterion", excluded_value="9"), "years", lambda s, d: _patchy(s, d).years, chain=PATCHY_CHAIN)
 _add("monthly_table", _plain("station file_year month days perfect indoor temp_n dew_n cloud_n wind_n precip_n wet_n gloomy", temp_sum="5", dew_sum="5", cloud_sum="5", wind_sum="5"), "months", lambda s, d: _climate(s, d).months)
 _YEAR = {f"year_{c}": "6" for c in ("score", "perfect_days", "indoor_days", "precip_mm", "gloomy_days", "bad_days", "gloom_streaks", "perfect_streaks")}
 _add("year_scores", _plain("station file_year step", valid_day_fraction="9", **_YEAR), "year_scores", lambda s, d: days.year_scores(_climate(s, d).years))
@@ -96,7 +101,7 @@ _add("station_aggregate", _plain("station years_included step samples gloom_long
 
 
 def _counted(found: Climate) -> DataFrame:
-    return found.months.join(days.year_scores(found.years).select(*KEYS), list(KEYS), "left_semi")
+    return compose.matched(found.months, days.year_scores(found.years), list(KEYS))
 
 
 _PROFILE = ("temp", "dew", "cloud", "wind")
@@ -107,8 +112,48 @@ _add(
       CASE WHEN sum(precip_n) > 0 THEN 100::DOUBLE * sum(wet_n) / sum(precip_n) END AS rain, {', '.join(f'100::DOUBLE * sum({c}) / sum(days) AS {n}' for n, c in (('perfect_rate', 'perfect'), ('indoor_rate', 'indoor'), ('gloom_rate', 'gloomy')))} FROM counted GROUP BY station, month)""",
     lambda s, d: days.monthly_profile(_counted(_climate(s, d))),
 )
-_add("station_exclusions", "station reason", """(SELECT station, CASE WHEN count(*) FILTER (WHERE excluded_kind IS NULL) > 0 THEN 'fewer than 3 valid years'
-  ELSE coalesce(arg_max(reason, k), 'no data') END AS reason FROM (SELECT station, excluded_kind, NULL AS reason, NULL AS k FROM years) GROUP BY station HAVING count(*) FILTER (WHERE excluded_kind IS NULL) < 3)""", lambda s, d: days.exclusions(_climate(s, d).years))
+_PASSED = "(SELECT station, count(*) FILTER (WHERE excluded_kind IS NULL) AS passed FROM years GROUP BY station)"
+
+
+def _mode(few_days: str) -> str:
+    """SQL: station and its most common reason, of equal ones the first."""
+    return f"""(SELECT station, reason, row_number() OVER (PARTITION BY station ORDER BY count(*) DESC, min(file_year)) AS place
+      FROM (SELECT station, file_year, coalesce(excluded_criterion, '{few_days}') AS reason FROM years WHERE excluded_kind IS NOT NULL) GROUP BY station, reason)"""
+
+
+_add(
+    "station_exclusions",
+    "station reason",
+    f"(SELECT p.station, CASE WHEN passed > 0 THEN 'fewer than 3 valid years' ELSE coalesce(m.reason, 'no data') END AS reason FROM {_PASSED} p LEFT JOIN (SELECT * FROM {_mode(days.TOO_FEW_DAYS)} WHERE place = 1) m ON m.station = p.station WHERE passed < 3)",
+    lambda s, d: days.exclusions(_patchy(s, d).years),
+    chain=PATCHY_CHAIN,
+)
+_MEAN = {f"mean_{c}": "" for c in CRITERIA}
+_add(
+    "explain_years",
+    {"station": "", "name": "", "reason": "", "years": "", "last_step": "", **_MEAN},
+    f"""(SELECT p.station, coalesce(name, '?') AS name, CASE WHEN passed > 0 THEN 'few years' ELSE coalesce(m.reason, 'ok') END AS reason, years, last_step, {', '.join(_MEAN)}
+      FROM {_PASSED} p JOIN (SELECT station, count(*) AS years, arg_max(step, file_year) AS last_step, {', '.join(f'round_even(avg(coverage_{c}) * 100, 0)::INT AS mean_{c}' for c in CRITERIA)} FROM years GROUP BY station) y ON y.station = p.station
+      LEFT JOIN (SELECT * FROM {_mode('valid days')} WHERE place = 1) m ON m.station = p.station LEFT JOIN (SELECT station, name FROM places WHERE station <> 1) n ON n.station = p.station WHERE passed < 3)""",
+    lambda s, d: compose.explained(_patchy(s, d).years, places(s, d).where("station <> 1").select("station", "name")),
+    chain=PATCHY_CHAIN,
+)
+_add(
+    "explain_filtered",
+    "station reason",
+    f"(SELECT p.station, m.reason FROM {_PASSED} p JOIN (SELECT * FROM {_mode('valid days')} WHERE place = 1) m ON m.station = p.station WHERE passed = 0 AND m.reason IN ('valid days', 'temp_c'))",
+    lambda s, d: compose.explained(_patchy(s, d).years, places(s, d).select("station", "name"), ["valid days", "temp_c"]),
+    chain=PATCHY_CHAIN,
+)
+_RESULTS = {"score": "3", "perfect": "1", "indoor": "1", "gloom": "1", "pstreak": "1"}
+_add(
+    "year_details",
+    {"station": "", "year": "", "obs": "", "step": "", "kind": "", "criterion": "", **dict.fromkeys(("valid_days", "value", "cover_temp", "cover_cloud"), ""), **dict.fromkeys(_RESULTS, "")},
+    f"""(SELECT station, file_year AS year, obs, step, excluded_kind AS kind, excluded_criterion AS criterion, round(valid_days / days_in_year, 3) AS valid_days, round(excluded_value, 3) AS value,
+      round(coverage_temp_c, 3) AS cover_temp, round(coverage_cloud_pct, 3) AS cover_cloud, {', '.join(f'CASE WHEN excluded_kind IS NULL THEN round({c}, {_RESULTS[n]}) END AS {n}' for n, c in (('score', 'score_sum / valid_days'), *((n, f'{c} * (365::DOUBLE / valid_days)') for n, c in (('perfect', 'perfect_count'), ('indoor', 'indoor_count'), ('gloom', 'gloom_weighted'), ('pstreak', 'pstreak_weighted')))))} FROM years)""",
+    lambda s, d: days.year_details(_patchy(s, d).years).select("*", "excluded.kind", "excluded.criterion", "excluded.value", F.col("coverage.temp_c").alias("cover_temp"), F.col("coverage.cloud_pct").alias("cover_cloud")),
+    chain=PATCHY_CHAIN,
+)
 
 
 def _with_vegetation(s: SparkSession, d: str) -> DataFrame:
@@ -129,9 +174,6 @@ _add("details_notes", "station counted all_years usual_step weak rough usable",
   CASE WHEN mean_valid < 0.95::DOUBLE THEN floor(mean_valid * 100 + 0.5)::INT || '%' END AS usable FROM (SELECT station, count(*) AS counted, {', '.join(f'avg(coverage_{c}) AS {c}' for c in CRITERIA)}, avg(valid_days / days_in_year) AS mean_valid FROM year_scores GROUP BY station)
   JOIN (SELECT station, count(*) AS all_years FROM years GROUP BY station) USING (station)
   JOIN (SELECT station, step AS usual_step, row_number() OVER (PARTITION BY station ORDER BY count(*) DESC, max(file_year) DESC) AS r FROM year_scores GROUP BY station, step) u USING (station) WHERE u.r = 1)""", lambda s, d: compose.notes(_climate(s, d).years))
-_add("explain_years", {"station": "", "years": "", "last_step": "", "name": "", **{f"mean_{c}": "9" for c in CRITERIA}}, f"""(SELECT station, years, last_step, name, {', '.join(f'mean_{c}' for c in CRITERIA)} FROM (SELECT station, count(*) AS years, arg_max(step, file_year) AS last_step,
-  {', '.join(f'avg(coverage_{c}) AS mean_{c}' for c in CRITERIA)}, bool_or(excluded_kind IS NOT NULL) AS has FROM years GROUP BY station) JOIN places USING (station) WHERE has)""", lambda s, d: compose.explained(_climate(s, d).years, places(s, d).select("station", "name")))
-
 for module in (raw, geography, display):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

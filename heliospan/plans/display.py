@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.functions import scalar
-from heliospan.operators import compose, spatial
+from heliospan.operators import compose, hours, spatial
 from heliospan.plans.synthetic import read
 
 QUERIES, ORACLES = {}, {}
@@ -74,8 +74,29 @@ def _stations(s: SparkSession, d: str) -> DataFrame:
 _sql("station_backfill", lambda s, d: compose.backfilled(_stations(s, d)).select("id", "avg_gloom_streaks", "avg_perfect_streaks", "avg_net_days", "avg_perfect_minus_gloom", F.round("perfect_indoor_ratio", 9).alias("perfect_indoor_ratio"), "seasonal_concentration"), """
 SELECT id, g AS avg_gloom_streaks, 0::DOUBLE AS avg_perfect_streaks, p - i AS avg_net_days, p - g AS avg_perfect_minus_gloom, round(CASE WHEN p + i = 0 THEN 0 ELSE (p - i) / (p + i) END, 9) AS perfect_indoor_ratio, NULL::DOUBLE AS seasonal_concentration
 FROM (SELECT s_suppkey AS id, (s_suppkey % 90)::DOUBLE AS p, (s_suppkey % 40)::DOUBLE AS i, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey % 20)::DOUBLE ELSE 0 END AS g FROM supplier)""")
-_sql("net_days", lambda s, d: compose.published(compose.backfilled(_stations(s, d)).drop("avg_net_days"), {"avg_net_days": 1}).select("id", "avg_net_days"), "SELECT s_suppkey AS id, (s_suppkey % 90 - s_suppkey % 40)::DOUBLE AS avg_net_days FROM supplier")
+
+
+def _net(s: SparkSession, d: str) -> DataFrame:
+    """Fractional days, so that the digits show."""
+    k = F.col("s_suppkey")
+    rows = read(s, d, "supplier").select(k.alias("id"), (k * 37 % 9000 / 64.0).alias("avg_perfect_days"), (k * 53 % 7000 / 64.0).alias("avg_indoor_days"), (k * 11 % 500 / 64.0).alias("avg_gloom_streaks"), F.when(k % 3 != 0, k * 7 % 40000 / 8.0).alias("elevation"))
+    return compose.published(rows).select("id", "avg_net_days", "avg_perfect_minus_gloom", "avg_perfect_days", "elevation")
+
+
+_EVEN = "(CASE WHEN abs({0} * {1} - floor({0} * {1})) = 0.5::DOUBLE THEN round_even({0} * {1}, 0) ELSE floor({0} * {1} + 0.5::DOUBLE) END / {1})"
+_sql("net_days", _net, f"""SELECT id, {_EVEN.format('(p - i)', 100)} AS avg_net_days, {_EVEN.format('(p - g)', 100)} AS avg_perfect_minus_gloom, {_EVEN.format('p', 100)} AS avg_perfect_days, {_EVEN.format('e', 1)}::BIGINT AS elevation
+FROM (SELECT s_suppkey AS id, (s_suppkey * 37 % 9000) / 64.0::DOUBLE AS p, (s_suppkey * 53 % 7000) / 64.0::DOUBLE AS i, (s_suppkey * 11 % 500) / 64.0::DOUBLE AS g, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey * 7 % 40000) / 8.0::DOUBLE END AS e FROM supplier)""")
 _sql("streak_weight", lambda s, d: read(s, d, "nation").select("n_nationkey", scalar.streak_weight(F.col("n_nationkey")).alias("w")), "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 0 ELSE floor((n_nationkey + 2) / 3)::BIGINT END AS w FROM nation")
 _sql("days_in_year", lambda s, d: read(s, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().select("y", scalar.days_in_year(F.col("y")).alias("n")), "SELECT DISTINCT year(o_orderdate)::INT AS y, dayofyear(make_date(year(o_orderdate), 12, 31))::INT AS n FROM orders")
 _sql("colour_bins", lambda s, d: spatial.binned(read(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", -1000.0, 10000.0).select("c_custkey", "bin"), "SELECT c_custkey, greatest(0, least(255, floor((c_acctbal + 1000) / 11000 * 255 + 0.5::DOUBLE)::INT)) AS bin FROM customer")
-_sql("gap_mask", lambda s, d: read(s, d, "events").where((F.hour("ts") >= 6) & (F.hour("ts") < 22)).select("event_id", F.hour("ts").alias("h")), "SELECT event_id, hour(ts)::INT AS h FROM events WHERE hour(ts) >= 6 AND hour(ts) < 22")
+
+
+def _gaps(s: SparkSession, d: str, share: float, opens: int = 0, closes: int = 24) -> DataFrame:
+    rows = read(s, d, "events").select("event_id", F.col("user_id").alias("station"), F.year("ts").alias("file_year"), F.hour("ts").alias("local_hour"), F.col("event_id").alias("abs_hour"))
+    return hours.masked(rows, share, opens, closes).select("event_id", F.col("local_hour").alias("h"))
+
+
+_DRAW = "(('0x' || substr(md5(user_id || '|' || year(ts) || '|' || event_id || '|0'), 1, 13))::BIGINT)::DOUBLE / 4503599627370496::DOUBLE"
+_sql("gap_mask", lambda s, d: _gaps(s, d, 1.0, 6, 22), "SELECT event_id, hour(ts)::INT AS h FROM events WHERE hour(ts) >= 6 AND hour(ts) < 22")
+for _share in (75, 50):
+    _sql(f"gap_mask_{_share}", lambda s, d, share=_share / 100: _gaps(s, d, share), f"SELECT event_id, hour(ts)::INT AS h FROM events WHERE {_DRAW} < {_share / 100}::DOUBLE")

@@ -97,15 +97,15 @@ SELECT s_suppkey FROM p, v WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1)::D
 
 def _climatology(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    cells = read(s, d, "part").select((2000 + k % 3).alias("year"), (1 + k % 11).cast("int").alias("month"), (k * 7 % 40).alias("row"), (k * 3 % 80).alias("col"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") / 50.0).alias("value"))
+    cells = read(s, d, "part").select((2000 + k % 3).alias("year"), (1 + k % 11).cast("int").alias("month"), (k * 7 % 40).alias("row"), (k * 3 % 80).alias("col"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") / 64.0).alias("value"))
     return spatial.climatology(cells, 10).select("row", "col", F.array_join(F.transform("m", lambda v: v.cast("string")), ",").alias("codes"))
 
 
 _sql("ndvi_climatology", _climatology, """
-WITH c AS (SELECT 2000 + p_partkey % 3 AS y, 1 + p_partkey % 11 AS mo, floor((p_partkey * 7 % 40) / 10)::INT AS row, floor((p_partkey * 3 % 80) / 10)::INT AS col, CASE WHEN p_size % 4 <> 0 THEN p_size / 50.0::DOUBLE END AS v FROM part),
-b AS (SELECT y, mo, row, col, avg(v) AS v, count(v) / count(*) AS land FROM c GROUP BY ALL), m AS (SELECT row, col, mo, avg(v) AS v FROM b WHERE land > 0.02 GROUP BY ALL),
-f AS (SELECT row, col, avg(v) AS mean FROM m GROUP BY ALL)
-SELECT f.row, f.col, string_agg((1 + round_even(254 * greatest(0, least(1, coalesce(v, mean))), 0))::INT::VARCHAR, ',' ORDER BY t.mo) AS codes
+WITH c AS (SELECT 2000 + p_partkey % 3 AS y, 1 + p_partkey % 11 AS mo, floor((p_partkey * 7 % 40) / 10)::INT AS row, floor((p_partkey * 3 % 80) / 10)::INT AS col, CASE WHEN p_size % 4 <> 0 THEN p_size / 64.0::DOUBLE END AS v FROM part),
+b AS (SELECT mo, row, col, avg(CASE WHEN v IS NOT NULL THEN greatest(0, least(1, v)) END) AS v, count(v) / count(*) AS land FROM c GROUP BY ALL), m AS (SELECT row, col, mo, (1 + round_even(254 * v, 0))::INT AS code FROM b WHERE land > 0.02),
+f AS (SELECT row, col, round_even(avg(code), 0)::INT AS mean FROM m GROUP BY ALL)
+SELECT f.row, f.col, string_agg(coalesce(code, mean)::VARCHAR, ',' ORDER BY t.mo) AS codes
 FROM f CROSS JOIN (SELECT unnest(range(1, 13)) AS mo) t LEFT JOIN m ON m.row = f.row AND m.col = f.col AND m.mo = t.mo GROUP BY f.row, f.col""")
 
 

@@ -94,25 +94,25 @@ def _from(make, columns: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         kept = lines(s, d).where(F.length("line") >= reports.MANDATORY)
         kept = kept.where(~F.trim(reports.field(F.col("line"), 41, 46)).isin(*reports.SUMMARIES))
-        return kept.withColumns(make(F.col("line"))).select(*_KEY, *names)
+        return make(kept).select(*_KEY, *names)
 
     return run
 
 
-def _remarks(line: F.Column) -> dict[str, F.Column]:
-    body = reports.metar_body(reports.sections(line)[1])
-    return {"body": body, "wet": reports.metar_wet(body), "metar_cloud": reports.metar_cloud(body)}
+def _parts(**made):
+    """Columns over the sections of a line."""
+    return lambda df: reports.with_sections(df).withColumns({n: f(F.col(f"__{c}")) for n, (c, f) in made.items()}).withColumnsRenamed({f"__{c}": c for c in ("body", "codes", "wet")})
 
 
 for _name, _make, _columns in (
     ("parse_lines", reports.parsed, "utc_date utc_hour report_type wind_mps temp_c dew_c precip_mm acc_period acc_depth cloud_pct wx_wet"),
-    ("parse_mandatory", reports.mandatory, "utc_date utc_hour report_type wind_mps temp_c dew_c"),
-    ("parse_precip_groups", lambda x: reports.precipitation(reports.sections(x)[0]), "precip_mm acc_period acc_depth"),
-    ("parse_cloud_groups", lambda x: {"ga_cloud": reports.cloud_groups(reports.sections(x)[0])}, "ga_cloud"),
-    ("present_weather", lambda x: {"codes": reports.weather_codes(reports.sections(x)[0])}, "codes"),
-    ("metar_body", _remarks, "body"),
-    ("wet_tokens", _remarks, "wet"),
-    ("metar_cloud", _remarks, "metar_cloud"),
+    ("parse_mandatory", lambda df: df.withColumns(reports.mandatory(F.col("line"))), "utc_date utc_hour report_type wind_mps temp_c dew_c"),
+    ("parse_precip_groups", lambda df: reports.with_sections(df).withColumns(reports.precipitation(F.col("__groups"))), "precip_mm acc_period acc_depth"),
+    ("parse_cloud_groups", _parts(ga_cloud=("groups", reports.cloud_groups)), "ga_cloud"),
+    ("present_weather", _parts(), "codes"),
+    ("metar_body", _parts(), "body"),
+    ("wet_tokens", _parts(), "wet"),
+    ("metar_cloud", _parts(metar_cloud=("body", reports.metar_cloud)), "metar_cloud"),
 ):
     QUERIES[_name] = _from(_make, _columns)
     ORACLES[_name] = f"{LINES_SQL} SELECT no, sub, part, supp, {', '.join(_columns.split())} FROM parsed"
@@ -170,10 +170,41 @@ _sql("cadence_by_user", lambda s, d: hours.cadence(read(s, d, "events").select(F
      "SELECT event_type AS station, count(*) AS lines, 366::BIGINT AS days, round(count(*) / 366.0::DOUBLE, 9) AS obs_per_day, count(*) / 366.0::DOUBLE >= 7 AS accepted FROM events GROUP BY event_type")
 _sql("incremental_anti", lambda s, d: outputs.to_process(read(s, d, "orders").select(F.col("o_custkey").alias("station"), F.year("o_orderdate").alias("file_year")).distinct(), read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("station"), F.year("o_orderdate").alias("file_year"))),
      "SELECT DISTINCT o_custkey AS station, year(o_orderdate)::INT AS file_year FROM orders EXCEPT SELECT o_custkey, year(o_orderdate)::INT FROM orders WHERE o_orderstatus = 'F'")
-_sql("excluded_anti", lambda s, d: compose.without(read(s, d, "customer").select("c_custkey", "c_name"), read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-_sql("published_semi", lambda s, d: read(s, d, "customer").join(read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_nationkey"), "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
-_sql("union_years", lambda s, d: read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("station"), F.year("o_orderdate").alias("y")).unionByName(read(s, d, "orders").where("o_orderstatus = 'O'").select(F.year("o_orderdate").alias("y"), F.col("o_custkey").alias("station"))).distinct(), "SELECT DISTINCT o_custkey AS station, year(o_orderdate)::INT AS y FROM orders WHERE o_orderstatus IN ('F', 'O')")
+_sql("excluded_anti", lambda s, d: compose.without(read(s, d, "customer").select("c_custkey", "c_name"), read(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+_sql("published_semi", lambda s, d: compose.matched(read(s, d, "customer"), read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_nationkey"), "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+_sql("union_years", lambda s, d: compose.merged_years(*(read(s, d, "orders").where(F.col("o_orderstatus") == x).select(F.col("o_custkey").alias("station"), F.year("o_orderdate").alias("y")) for x in ("F", "O"))), "SELECT DISTINCT o_custkey AS station, year(o_orderdate)::INT AS y FROM orders WHERE o_orderstatus IN ('F', 'O')")
 _sql("run_counters", lambda s, d: compose.counters(read(s, d, "orders"), "o_orderstatus", "o_orderpriority"), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 _sql("seeded_sample", lambda s, d: compose.sample(read(s, d, "customer").select("c_custkey"), "c_custkey", 50), "SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY md5(c_custkey::VARCHAR || '|42'), c_custkey LIMIT 50)")
 _sql("line_estimate", lambda s, d: read(s, d, "part").select("p_partkey", files.line_estimate((F.col("p_partkey") % 7).cast("double"), (F.col("p_size") % 5).cast("double"), F.col("p_retailprice")).alias("lines")), "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 OR p_size % 5 = 0 THEN 0 ELSE (p_size % 5)::DOUBLE / (p_partkey % 7) * p_retailprice END AS lines FROM part")
 _sql("malformed_lines", lambda s, d: files.malformed(lines(s, d).withColumn("line", F.when(F.col("no") % 50 == 0, F.concat(F.substring("line", 1, 87), F.lit("+0x12"), F.substr("line", F.lit(93)))).otherwise(F.col("line")))).select("no", "sub", "part", "supp"), f"{LINES_SQL} SELECT no, sub, part, supp FROM lines WHERE length(line) >= 105 AND no % 50 = 0")
+
+
+def _ndvi_names(s: SparkSession, d: str) -> DataFrame:
+    """Names of made-up vegetation files; some do not match."""
+    k = F.col("p_partkey")
+    stamp = F.concat((1981 + k % 40).cast("string"), F.lpad((1 + k % 12).cast("string"), 2, "0"), F.lit("01"))
+    return read(s, d, "part").select(F.concat(F.when(k % 7 == 0, "x").otherwise(""), F.lit("veg_ndvi_avhrr.mod09ga_p90_5km_s0..0cm_"), stamp, F.lit(".."), stamp, F.lit("_v1.0.tif")).alias("name")).distinct()
+
+
+_sql("ndvi_files", lambda s, d: files.ndvi_files(_ndvi_names(s, d), range(1990, 2011), range(4, 10)), """
+SELECT DISTINCT 'veg_ndvi_avhrr.mod09ga_p90_5km_s0..0cm_' || t || '..' || t || '_v1.0.tif' AS name, y::INT AS year, m::INT AS month
+FROM (SELECT *, y || lpad(m::VARCHAR, 2, '0') || '01' AS t FROM (SELECT 1981 + p_partkey % 40 AS y, 1 + p_partkey % 12 AS m FROM part WHERE p_partkey % 7 <> 0)) WHERE y BETWEEN 1990 AND 2010 AND m BETWEEN 4 AND 9""")
+
+
+def _with_files(s: SparkSession, d: str) -> DataFrame:
+    index = files.station_index(read(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("station"), F.year("o_orderdate").alias("file_year"), F.lit("x").alias("path")).distinct())
+    return files.with_files(read(s, d, "customer").select(F.col("c_custkey").alias("station")), index).select("station", F.size("files").alias("n"))
+
+
+_sql("ids_with_files", _with_files, "SELECT c_custkey AS station, coalesce(n, 0)::INT AS n FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) o ON o_custkey = c_custkey")
+
+
+def _misses(s: SparkSession, d: str) -> DataFrame:
+    ids = read(s, d, "customer").select(F.col("c_custkey").alias("station"))
+    derived = read(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("station"))
+    return outputs.publish_misses(ids, derived, read(s, d, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
+_sql("publish_misses", _misses, """
+SELECT CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'without derived data' WHEN c_custkey NOT IN (SELECT s_suppkey FROM supplier) THEN 'without manifest match' ELSE 'published' END AS outcome, count(*) AS n
+FROM customer GROUP BY 1""")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.functions import scalar
-from heliospan.functions.rules import RULES, Rules
+from heliospan.functions.rules import CRITERIA, RULES, Rules
 from heliospan.operators import compose, days, hours, spatial
 from heliospan.operators.hours import KEYS
-from heliospan.sources import files
+from heliospan.sources import files, outputs
 
 
 class Climate(NamedTuple):
@@ -33,11 +33,12 @@ def scored_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES) -> t
     return effective, days.day_scores(stepped, rules=rules)
 
 
-def climate(reports: DataFrame, places: DataFrame, line: tuple[str, ...] = ("line_no",), rules: Rules = RULES) -> Climate:
-    """reports: parsed lines; places: station, lat, lon."""
-    merged = hours.merge_hours(reports, line)
-    effective, by_day = scored_days(merged, places, rules)
-    years = days.year_stats(by_day, rules=rules)
+def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES) -> Climate:
+    """merged: hours; places: station, lat, lon. The days are written once: years, months and stations read them, not the hours."""
+    effective, scored = scored_days(merged, places, rules)
+    by_day = outputs.stored(scored, "days")
+    # its rows are few (one for each station and year), and three tables are made of them
+    years = outputs.stored(days.year_stats(by_day, rules=rules), "years")
     months = days.monthly(by_day)
     return Climate(merged, effective, by_day, years, months, days.stations(days.year_scores(years, rules), months, rules=rules))
 
@@ -50,7 +51,7 @@ def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: Dat
     if ndvi is None:
         placed = placed.withColumns({"avg_vegetation": rain, "avg_ndvi": F.lit(None).cast("double"), "vegetation_lush_months": F.lit(None).cast("int"), "vegetation_source": F.lit("rain")})
     else:
-        temps = days.profile_arrays(days.monthly_profile(found.months.join(days.year_scores(found.years, rules).select(*KEYS), list(KEYS), "left_semi"))).select(F.col("station").alias("id"), F.col("temp").alias("__temp"))
+        temps = days.profile_arrays(days.monthly_profile(compose.matched(found.months, days.year_scores(found.years, rules), list(KEYS)))).select(F.col("station").alias("id"), F.col("temp").alias("__temp"))
         cells = spatial.nearest_ring(placed.select("id", "lat", "lon"), ndvi, "id", degrees, rows, columns).select("id", F.col("ndvi").alias("__ndvi"))
         placed = placed.join(cells, "id", "left").join(temps, "id", "left")
         green = scalar.vegetation(F.col("__ndvi"), F.col("__temp"), rules)
@@ -63,12 +64,65 @@ def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: Dat
                 "vegetation_source": F.when(seen, "ndvi").otherwise("rain"),
             }
         ).drop("__ndvi", "__temp")
-    return compose.composite(compose.published(placed, compose.DIGITS), rules)
+    return compose.composite(compose.published(placed), rules).select(*compose.PUBLISHED)
 
 
-def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES) -> Climate:
-    """Files of stations whose cadence is enough, parsed and scored."""
-    parsed = files.parse(files.report_lines(spark, f"{root}/*/{files.GLOB}"), strict)
-    accepted = hours.cadence(parsed, rules=rules).where("accepted").select("station")
+def details(found: Climate, rules: Rules = RULES) -> DataFrame:
+    """``days.details`` of the stations that have enough years."""
+    counted = compose.matched(found.months, days.year_scores(found.years, rules), list(KEYS))
+    return days.details(found.years, days.profile_arrays(days.monthly_profile(counted)), found.stations, rules)
+
+
+def archive_hours(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
+    """Merged hours of raw files, with ``lines``: how many lines of the file fell to each. Lines that are no reports are a row
+    without date and hour, so that one pass over the files gives both the hours and the number of all lines."""
+    rows = files.parse(files.report_lines(spark, paths), strict, keep_dropped=True)
+    return hours.merge_hours(rows, extra=[F.count("*").alias("lines")])
+
+
+def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES, cache: str | None = None, station: str | None = None) -> Climate:
+    """Files of stations whose cadence is enough, parsed and scored. station: that one alone; its files alone are read.
+
+    cache: a folder of merged hours. Files that it holds in this version, with the same size and time, are not read again; the
+    others are added. Without one, the hours are written once for this run.
+    """
+    glob = f"{root}/*/{files.GLOB if station is None else f'{station}-[0-9][0-9][0-9][0-9].gz'}"
+    if cache is None:
+        held = outputs.stored(archive_hours(spark, glob, strict), "hours")
+    else:
+        held = cached_hours(spark, root, cache, strict)
+        held = held if station is None else held.where(F.col("station") == station)
+    lines = held.groupBy(*KEYS).agg(F.sum("lines").alias("lines"))
+    accepted = hours.cadence_of(lines, rules=rules).where("accepted").select("station")
     places = files.manifest_file(spark, manifest_path, drop_origin=False).select(F.col("id").alias("station"), "lat", "lon")
-    return climate(parsed.join(accepted, "station", "left_semi"), places, rules=rules)
+    used = held.where(F.col("utc_date").isNotNull() & F.col("utc_hour").isNotNull())
+    return climate(compose.matched(used, accepted, ["station"]).drop("lines"), places, rules=rules)
+
+
+#: Raised when the hours of a file would come out otherwise.
+PARSE_VERSION = 1
+
+
+def cached_hours(spark: SparkSession, root: str, cache: str, strict: bool = False) -> DataFrame:
+    """The hours of all files of the archive from the cache, after what is new or changed was added to it."""
+    known = outputs.read_versioned(spark, cache, PARSE_VERSION)
+    listed = files.station_files(spark, root)
+    signed = [*KEYS, "size", "modified"]
+    paths = [r["path"] for r in outputs.to_process(listed, known, signed).select("path").collect()]  # names only
+    if paths:
+        made = archive_hours(spark, paths, strict).join(listed.select(*signed), list(KEYS))
+        made.withColumn("version", F.lit(PARSE_VERSION)).repartition("file_year").write.mode("append").partitionBy("file_year").parquet(cache)
+        known = outputs.read_versioned(spark, cache, PARSE_VERSION)
+    return compose.matched(known, listed, signed).drop("size", "modified")
+
+
+def inspect(spark: SparkSession, root: str, manifest_path: str, station: str, rules: Rules = RULES) -> str:
+    """A text report of one station: what each year holds and why it counts or not, and the station's metrics."""
+    found = from_archive(spark, root, manifest_path, rules=rules, station=station)
+    share = lambda c: scalar.percent_text(F.col(c))
+    rows = found.years.withColumn("valid", scalar.percent_text(F.col("valid_days") / F.col("days_in_year"))).orderBy("file_year")
+    result = F.coalesce(F.concat(F.lit("EXCLUDED: "), "excluded_reason"), F.format_string("score=%.3f", F.col("score_sum") / F.col("valid_days")))
+    table = rows.select(F.col("file_year").alias("year"), "obs", "step", *(share(f"coverage_{c}").alias(c) for c in CRITERIA), "valid", result.alias("result"))
+    total = found.stations.drop("station")
+    text = outputs.report(total) if not total.isEmpty() else f"needs {rules.min_years} usable years: would not be published"
+    return f"{station}\n{outputs.report(table)}\n\n{text}"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +28,9 @@ def name_parts(path: Column) -> dict[str, Column]:
 
 
 def station_files(spark: SparkSession, root: str) -> DataFrame:
-    """station, file_year, path of the archive's files (root/<year>/<name>.gz), without reading them."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root).select("path")
+    """station, file_year, path, size, modified of the archive's files (root/<year>/<name>.gz), without reading them."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
+    listed = listed.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return listed.withColumns(name_parts(F.col("path"))).where("known").drop("known").where(F.col("file_year").between(*YEARS))
 
 
@@ -35,6 +39,12 @@ def station_index(files: DataFrame) -> DataFrame:
     return files.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("file_year", "path"))).alias("files"))
 
 
+def with_files(ids: DataFrame, index: DataFrame) -> DataFrame:
+    """ids with the files of the index; a station that it does not hold has an empty list."""
+    kind = dict(index.dtypes)["files"]
+    return ids.join(index, "station", "left").withColumn("files", F.coalesce("files", F.array().cast(kind)))
+
+
 def report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """station, file_year, line_no, line (ISO-8859-1, one character for each byte). Lines end at \\n; one \\r before it is dropped.
 
@@ -46,11 +56,15 @@ def report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return out.withColumns(name_parts(F.col("path"))).where("known").drop("known", "path")
 
 
-def parse(lines: DataFrame, strict: bool = False, line: str = "line") -> DataFrame:
-    """Reports of the lines: short lines and summaries dropped. Strict: a malformed number fails the query."""
-    kept = lines.where(F.length(line) >= reports.MANDATORY)
-    out = kept.withColumns(reports.parsed(F.col(line), strict)).drop(line)
-    return out.where(~F.col("report_type").isin(*reports.SUMMARIES)).withColumn("special", F.col("report_type") == reports.SPECIAL)
+def parse(lines: DataFrame, strict: bool = False, line: str = "line", keep_dropped: bool = False) -> DataFrame:
+    """Reports of the lines: short lines and summaries dropped. Strict: a malformed number fails the query.
+
+    keep_dropped: those lines stay as rows with no date, hour or value, for who counts lines.
+    """
+    at = F.col(line)
+    used = F.coalesce((F.length(at) >= reports.MANDATORY) & ~F.trim(reports.field(at, 41, 46)).isin(*reports.SUMMARIES), F.lit(False))
+    kept = lines.withColumn(line, F.when(used, at)) if keep_dropped else lines.where(used)
+    return reports.parsed(kept, line, strict).drop(line).withColumn("special", F.coalesce(F.col("report_type") == reports.SPECIAL, F.lit(False)))
 
 
 def malformed(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -68,6 +82,32 @@ def line_estimate(sample_bytes: Column, sample_newlines: Column, file_bytes: Col
     return F.when((sample_bytes == 0) | (sample_newlines == 0), 0.0).otherwise(sample_newlines / F.nullif(sample_bytes, F.lit(0)) * file_bytes)
 
 
+SAMPLE_BYTES = 64 << 10
+
+
+def estimated_lines(spark: SparkSession, root: str) -> DataFrame:
+    """station, file_year, path, lines: estimated from the first SAMPLE_BYTES of each gzip file and the length in its trailer
+    (modulo 2^32), so that the rest need not be unpacked; 0 where the sample holds no line end."""
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
+    ends = held.select("path", F.substring("content", 1, SAMPLE_BYTES).alias("head"), F.substring("content", -4, 4).alias("tail"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lines, whole = [], [], []
+            for head, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    sample = zlib.decompressobj(wbits=31).decompress(head)
+                except zlib.error:
+                    sample = b""
+                sizes.append(float(len(sample)))
+                lines.append(float(sample.count(b"\n")))
+                whole.append(float(int.from_bytes(tail, "little")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (sizes, lines, whole))], names=["path", "bytes", "newlines", "size"])
+
+    found = ends.mapInArrow(unpack, "path string, bytes double, newlines double, size double").withColumns(name_parts(F.col("path")))
+    return found.where("known").select("station", "file_year", "path", line_estimate(F.col("bytes"), F.col("newlines"), F.col("size")).alias("lines"))
+
+
 def manifest(rows: DataFrame, drop_origin: bool = True) -> DataFrame:
     """id, name, country, lat, lon, elevation from the text columns usaf, wban, name, ctry, lat, lon, elev and row_no.
 
@@ -104,10 +144,67 @@ def country_file(spark: SparkSession, path: str, header: int = 2) -> DataFrame:
 
 
 def raster(spark: SparkSession, path: str, rows: int, columns: int, months: int = 12) -> DataFrame:
-    """row, col, m (array of byte values by month) of a dense file of months x rows x columns bytes; land cells only."""
-    held = spark.read.format("binaryFile").load(path).where(F.col("length") == rows * columns * months)
+    """row, col, m (array of byte values by month) of a dense file of months x rows x columns bytes; land cells only.
+
+    A file of another size fails the query. Each month of each row is cut out once, so no task holds more than the file.
+    """
+    size = rows * columns * months
+    wrong = F.raise_error(F.concat(F.lit(f"a raster has {size} bytes, this one "), F.col("length").cast("string")))
+    held = spark.read.format("binaryFile").load(path).select(F.when(F.col("length") == size, F.col("content")).otherwise(wrong.cast("binary")).alias("content"))
     cells = held.select("content", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
     lines = cells.select("row", F.array(*(F.hex(F.substr(F.col("content"), F.lit(m * rows * columns + 1) + F.col("row") * columns, F.lit(columns))) for m in range(months))).alias("h"))
-    out = lines.select("row", "h", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("col"))
+    out = lines.repartition("row").select("row", "h", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("col"))
     values = F.transform("h", lambda h: F.conv(F.substr(h, F.col("col") * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     return out.select("row", "col", values.alias("m")).where(F.get("m", F.lit(0)) != 0)
+
+
+def class_image(spark: SparkSession, path: str) -> DataFrame:
+    """row, col, code of a PNG image of 8-bit grey levels (not interlaced); level 0 is no class and has no row."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                levels = grey_levels(content)
+                row, col = np.nonzero(levels)
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(levels[row, col].astype(np.int32))], names=["row", "col", "code"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "row int, col int, code int")
+
+
+def grey_levels(png: bytes) -> np.ndarray:
+    """(rows, columns): the bytes of an 8-bit grey PNG, its line filters undone."""
+    at, packed, shape = 8, b"", (0, 0)
+    while at < len(png):
+        size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        data = png[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            shape = (int.from_bytes(data[4:8], "big"), int.from_bytes(data[:4], "big"))
+            if data[8:] != bytes([8, 0, 0, 0, 0]):
+                raise ValueError("not an image of 8-bit grey levels without interlacing")
+        packed += data if kind == b"IDAT" else b""
+        at += 12 + size
+    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(shape[0], shape[1] + 1)
+    out = np.zeros((shape[0] + 1, shape[1] + 1), np.int32)  # a line and a column of zeros before the first
+    for i, line in enumerate(lines.astype(np.int32), 1):
+        kind, line = line[0], line[1:]
+        if kind in (0, 2):
+            out[i, 1:] = line + (out[i - 1, 1:] if kind == 2 else 0) & 255
+        elif kind == 1:
+            out[i, 1:] = np.cumsum(line) & 255
+        else:
+            for j in range(1, shape[1] + 1):
+                a, b, c = out[i, j - 1], out[i - 1, j], out[i - 1, j - 1]
+                near = (a + b) // 2 if kind == 3 else min((a, b, c), key=lambda v, p=a + b - c: abs(p - v))
+                out[i, j] = line[j - 1] + near & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+#: Names of the monthly vegetation files, with year and month.
+NDVI_NAME = r"^veg_ndvi_avhrr\.mod09ga_p90_5km_s0\.\.0cm_(\d{4})(\d{2})01\.\.\d{8}_v1\.0\.tif$"
+
+
+def ndvi_files(listed: DataFrame, years: Sequence[int], months: Sequence[int], name: str = "name") -> DataFrame:
+    """Of the listed files, those of the given years and months, with year and month, by name."""
+    part = lambda i: F.regexp_extract(F.col(name), NDVI_NAME, i).try_cast("int")
+    found = listed.where(F.col(name).rlike(NDVI_NAME)).withColumns({"year": part(1), "month": part(2)})
+    return found.where(F.col("year").isin(*years) & F.col("month").isin(*months)).orderBy(name)

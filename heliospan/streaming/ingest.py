@@ -11,8 +11,9 @@ from heliospan.sources import files
 
 
 def stream_hours(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Watches root/<year>/*.gz. A file is one station-year, so its hours never wait for another batch and no state is kept;
-    each batch replaces the partitions it writes, so a retried batch leaves no double rows."""
+    """Watches root/<year>/*.gz. A file is one station-year, so its hours never wait for another batch and no state is kept.
+    A batch has a folder of its own (``batch``, with a folder for each file year in it), so a retried one replaces what it
+    wrote, and the number of files grows with batches and years, not with stations."""
     lines = spark.readStream.schema("value string").option("lineSep", "\n").option("pathGlobFilter", files.GLOB).option("recursiveFileLookup", "true").format("text").load(root)
     lines = lines.select("value", F.col("_metadata.file_path").alias("path"))
 
@@ -20,7 +21,7 @@ def stream_hours(spark: SparkSession, root: str, out: str, checkpoint: str, once
         line = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\r$", "")
         named = batch.withColumn("line_no", F.monotonically_increasing_id()).withColumn("line", line).withColumns(files.name_parts(F.col("path"))).where("known").select("station", "file_year", "line_no", "line")
         hours = merge_hours(files.parse(named))
-        hours.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_year", "station").parquet(out)
+        hours.repartition("file_year").write.mode("overwrite").partitionBy("file_year").parquet(f"{out}/batch={number}")
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

@@ -2,12 +2,15 @@
 
 import datetime
 import gzip
+import json
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from heliospan.functions import reports, scalar
-from heliospan.operators import hours
+from heliospan.operators import compose, days, hours
 from heliospan.plans import weather
 from heliospan.sources import files, outputs
 from heliospan.streaming.ingest import stream_hours
@@ -88,6 +91,162 @@ def write_archive(root, station="123456-99999", years=(2021, 2022, 2023)):
             f.write("\r\n".join(text).encode("latin-1"))
 
 
+@pytest.mark.parametrize(
+    "rest,want",
+    [
+        ("AA199001091AA101999991AA101000391", {"precip_mm": 0.3}),
+        ("AA103999991AA206004091AA303002091", {"acc_period": 3, "acc_depth": 2.0}),
+        ("GA1091+003001061GA2111+003001061", {"cloud_pct": 137.5}),
+        ("MW1281", {"wx_wet": False}),
+        ("MW1291AW1281", {"wx_wet": False}),
+        ("MW1991", {"wx_wet": True}),
+        ("REMMET060METAR KXYZ XOVC010 OVC01 SCT020", {"cloud_pct": 50.0}),
+        ("REMMET060METAR KXYZ FEW010 BKN020TCU VV1", {"cloud_pct": 75.0}),
+        ("REMMET060METAR KXYZ CLRX -RAX RA- +-RA", {"cloud_pct": None, "wx_wet": False}),
+        ("REMMET060METAR KXYZ -SHTSRASN", {"wx_wet": True}),
+        ("REMMET060SPECI K METAR A RA RMK SN", {"wx_wet": True}),
+        ("REMMET060NOTHING RA", {"wx_wet": None, "cloud_pct": None}),
+    ],
+)
+def test_groups_by_pattern(spark, rest, want):
+    r = parse(spark, line(rest=rest))
+    assert {k: r[k] for k in want} == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_sorts_nothing(spark):
+    rows = files.parse(spark.createDataFrame([("s", 2024, 0, line())], "station string, file_year int, line_no long, line string"))
+    text = plan(hours.merge_hours(rows))
+    assert "SortAggregate" not in text and "Sort " not in text and "HashAggregate" in text
+
+
+def test_reads_raw_files_once(spark, tmp_path):
+    """The hours are cached by file with its size and time; a run reads what is new or changed, and stations read days, not hours."""
+    root = tmp_path / "isd"
+    write_archive(root, years=(2021, 2022))
+    (tmp_path / "m.csv").write_text("USAF,WBAN,STATION NAME,CTRY,LAT,LON,ELEV(M)\n123456,99999,HILL,US,10.0,15.0,7\n")
+    cache = str(tmp_path / "cache")
+    first = weather.from_archive(spark, str(root), str(tmp_path / "m.csv"), cache=cache)
+    assert "FileScan text" not in plan(first.hours) and plan(first.stations).count("FileScan") < 16 and "hours" not in plan(first.months)
+    assert spark.read.parquet(cache).select("file_year").distinct().count() == 2 and {r["valid_days"] for r in first.years.collect()} == {365}
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
+    write_archive(root, years=(2023,))
+    again = weather.from_archive(spark, str(root), str(tmp_path / "m.csv"), cache=cache)
+    assert {r["file_year"] for r in again.years.collect()} == {2021, 2022, 2023} and again.stations.count() == 1
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items())
+    assert spark.read.parquet(cache).where("utc_date is null").count() == 0  # no line was dropped here
+    text = weather.inspect(spark, str(root), str(tmp_path / "m.csv"), "123456-99999")
+    assert text.startswith("123456-99999\nyear") and "score=0." in text and "years_included" in text
+
+
+def test_cadence_counts_raw_lines(spark, tmp_path):
+    """Short lines and summaries are lines too: without them this station would have too few."""
+    (tmp_path / "2021").mkdir()
+    with gzip.open(tmp_path / "2021" / "123456-99999-2021.gz", "wb") as f:
+        f.write("\n".join([line("20210105", "12")] + ["short"] * 2000 + [line("20210105", "13", kind="SOD")] * 600).encode())
+    held = weather.archive_hours(spark, f"{tmp_path}/*/{files.GLOB}")
+    assert held.agg(F.sum("lines")).first()[0] == 2601 and held.where("utc_date is not null").count() == 1
+    found = hours.cadence_of(held.groupBy("station", "file_year").agg(F.sum("lines").alias("lines"))).first()
+    assert found["accepted"] and hours.cadence(files.report_lines(spark, f"{tmp_path}/*/{files.GLOB}")).first()["lines"] == 2601
+    guess = files.estimated_lines(spark, str(tmp_path)).first()
+    assert abs(guess["lines"] - 2600) <= 1 and (guess["station"], guess["file_year"]) == ("123456-99999", 2021)
+
+
+def year_rows(spark, rows):
+    """years: (station, year, excluded criterion, 'days' or None, coverage)."""
+    made = [(s, y, None if why is None else "days" if why == "days" else "coverage", None if why in (None, "days") else why, 0.2 if why else None, c, 1 + y % 2) for s, y, why, c in rows]
+    frame = spark.createDataFrame(made, "station string, file_year int, excluded_kind string, excluded_criterion string, excluded_value double, cover double, step int")
+    return frame.withColumns({f"coverage_{c}": F.col("cover") for c in ("temp_c", "dew_c", "precip_mm", "cloud_pct", "wind_mps")})
+
+
+def test_exclusions(spark):
+    """The reason is the criterion, whatever the percentages: two years without temperature beat one without dew."""
+    rows = [("a", 2010, "dew_c", 0.1), ("a", 2011, "temp_c", 0.2), ("a", 2012, "temp_c", 0.21), ("b", 2010, "days", 0.5), ("b", 2011, "cloud_pct", 0.3), ("c", 2010, None, 0.9), ("c", 2011, "days", 0.9), ("d", 2010, None, 0.9), ("d", 2011, None, 0.9), ("d", 2012, None, 0.9)]
+    years = year_rows(spark, rows)
+    got = {r["station"]: r["reason"] for r in days.exclusions(years).collect()}
+    assert got == {"a": "temp_c", "b": "too few valid days", "c": "fewer than 3 valid years"}
+    names = spark.createDataFrame([("a", "Hill")], "station string, name string")
+    shown = [(r["station"], r["reason"], r["name"], r["years"], r["last_step"], r["mean_temp_c"]) for r in compose.explained(years, names).collect()]
+    assert shown == [("c", "few years", "?", 2, 2, 90), ("a", "temp_c", "Hill", 3, 1, 17), ("b", "valid days", "?", 2, 2, 40)]
+    assert [r["station"] for r in compose.explained(years, names, ["valid days", "few years"]).collect()] == ["c", "b"]
+
+
+def test_published_files(spark, tmp_path):
+    root = tmp_path / "isd"
+    write_archive(root)
+    (tmp_path / "m.csv").write_text("USAF,WBAN,STATION NAME,CTRY,LAT,LON,ELEV(M)\n123456,99999,HILL,US,10.0,15.0,7.5\n")
+    found = weather.from_archive(spark, str(root), str(tmp_path / "m.csv"))
+    countries = spark.createDataFrame([("US", "United States")], "code string, country_name string")
+    green = spark.createDataFrame([(800, 1950, [128 + m for m in range(12)])], "row int, col int, m array<int>")
+    stations = weather.publish(found, files.manifest_file(spark, str(tmp_path / "m.csv")), countries, green)
+    outputs.write_stations(stations, str(tmp_path / "stations"))
+    text = "".join(p.read_text() for p in (tmp_path / "stations").glob("part-*"))
+    (row,) = json.loads(text)
+    assert tuple(row) == compose.PUBLISHED and row["elevation"] == 8 and row["vegetation_source"] == "ndvi" and row["id"] == "123456-99999"
+    s = found.stations.first()
+    for c, d in compose.DIGITS.items():
+        if c in s.asDict() and s[c] is not None:
+            assert row[c] == round(s[c], d)
+    assert row["avg_net_days"] == round(s["avg_perfect_days"] - s["avg_indoor_days"], 2) and row["avg_ndvi"] == round(sum((127 + m) / 254 for m in range(12)) / 12, 3)
+    folder = tmp_path / "details"
+    folder.mkdir()
+    (folder / "999999-00000.json").write_text("{}")
+    outputs.write_details(weather.details(found), str(folder))
+    assert [f.name for f in folder.iterdir() if f.suffix == ".json"] == ["123456-99999.json"]
+    detail = json.loads((folder / "123456-99999.json").read_text())
+    assert detail["min_data_fraction"] == 0.3333 and [y["year"] for y in detail["years"]] == [2021, 2022, 2023] and "excluded" not in detail["years"][0] and detail["years"][0]["valid_days"] == 1.0
+    assert set(detail["monthly"]) == {"temp", "dew", "cloud", "wind", "rain", "perfect", "indoor", "gloom"} and len(detail["monthly"]["temp"]) == 12
+    left_out = days.year_details(found.years.withColumns({"excluded_kind": F.lit("days"), "excluded_value": F.lit(0.28571)}))
+    gone = json.loads(outputs.details_json(left_out.groupBy(F.col("station").alias("id")).agg(F.collect_list(F.struct("year", "excluded", "score")).alias("years"))).first()["json"])
+    assert gone["years"][0]["excluded"] == {"kind": "days", "value": 0.286} and "score" not in gone["years"][0]
+
+
+def test_outcomes(spark):
+    signed = spark.createDataFrame([(s, f"v{s}") for s in "abc"], "station string, signature string")
+    derived, excluded = (spark.createDataFrame(x, f"station string, {c} string") for x, c in (([("a", "1")], "score"), ([("a", "old"), ("b", "no data")], "reason")))
+    kept, marks = outputs.outcomes(derived, excluded, signed, 3)
+    assert [tuple(r) for r in marks.select("station", "reason", "version").collect()] == [("b", "no data", 3)]
+    todo = lambda v, s=signed: sorted(r["station"] for r in outputs.to_derive(s, v, kept, marks, None).collect())
+    assert todo(3) == ["c"] and todo(4) == ["a", "b", "c"] and todo(3, signed.withColumn("signature", F.concat("signature", F.when(F.col("station") == "a", "x").otherwise("")))) == ["a", "c"]
+    listed = spark.createDataFrame([("a", 2010, 5, 1), ("a", 2011, 6, 1), ("b", 2010, 5, 1)], "station string, file_year int, size int, modified int")
+    one, two = (outputs.signatures(x).where("station = 'a'").first()["signature"] for x in (listed, listed.withColumn("size", F.col("size") + 1)))
+    assert one != two and one == outputs.signatures(listed.orderBy(F.desc("file_year"))).where("station = 'a'").first()["signature"]
+
+
+def png(levels, kind):
+    """An 8-bit grey image whose lines all have one filter."""
+    levels = np.array(levels, np.int32)
+    up = np.vstack([np.zeros_like(levels[:1]), levels[:-1]])
+    left, corner = (np.hstack([np.zeros((len(x), 1), np.int32), x[:, :-1]]) for x in (levels, up))
+    p = left + up - corner
+    paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+    body = (levels - [0, left, up, (left + up) // 2, paeth][kind]) % 256
+    data = b"".join(bytes([kind]) + bytes(r.astype(np.uint8)) for r in body)
+    chunk = lambda name, x: len(x).to_bytes(4, "big") + name + x + zlib.crc32(name + x).to_bytes(4, "big")
+    head = levels.shape[1].to_bytes(4, "big") + levels.shape[0].to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
+
+
+def test_rasters(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 31, (6, 9))
+    for kind in range(5):
+        (tmp_path / f"{kind}.png").write_bytes(png(levels, kind))
+        cells = {(r["row"], r["col"]): r["code"] for r in files.class_image(spark, str(tmp_path / f"{kind}.png")).collect()}
+        assert cells == {(i, j): int(levels[i, j]) for i in range(6) for j in range(9) if levels[i, j]}
+    held = rng.integers(0, 3, (12, 4, 5)).astype(np.uint8)
+    (tmp_path / "grid.u8").write_bytes(held.tobytes())
+    grid = files.raster(spark, str(tmp_path / "grid.u8"), 4, 5)
+    assert {(r["row"], r["col"]): r["m"] for r in grid.collect()} == {(i, j): held[:, i, j].tolist() for i in range(4) for j in range(5) if held[0, i, j]}
+    outputs.write_raster(grid, str(tmp_path / "grid"))
+    assert spark.read.parquet(str(tmp_path / "grid")).count() == grid.count()
+    with pytest.raises(Exception, match="a raster has 300 bytes"):
+        files.raster(spark, str(tmp_path / "grid.u8"), 5, 5).collect()
+
+
 def test_archive(spark, tmp_path):
     root = tmp_path / "isd"
     write_archive(root)
