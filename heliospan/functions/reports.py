@@ -60,21 +60,21 @@ def _date(stamp: Column, strict: bool) -> Column:
     return text.cast("date") if strict else text.try_cast("date")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """The first group of the first match, null if there is none."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def depths(groups: Column) -> dict[str, Column]:
+    """__a1, __a3 ...: the depth text of the last one-hour group, and of the first of each longer period; '' if there is none."""
+    pattern = r"AA\d{0:02d}(?!9999)(\d{{4}})\d\d"
+    has = F.contains(groups, F.lit("AA"))
+    last = {"__a1": F.regexp_extract(groups, "(?s).*" + pattern.format(1), 1)}
+    return {n: F.when(has, v).otherwise("") for n, v in (last | {f"__a{n}": F.regexp_extract(groups, pattern.format(n), 1) for n in PERIODS}).items()}
 
 
-def precipitation(groups: Column) -> dict[str, Column]:
-    """precip_mm of the last one-hour group; acc_period and acc_depth of the shortest longer one, the first of equals."""
-    has = F.contains(groups, F.lit("AA"))
-    depth = r"AA\d{0:02d}(?!9999)(\d{{4}})\d\d"
-    longer = {n: _found(groups, depth.format(n)) for n in PERIODS}
-    period = F.coalesce(*(F.when(v.isNotNull(), n) for n, v in longer.items()))
+def precipitation() -> dict[str, Column]:
+    """precip_mm of the last one-hour group; acc_period and acc_depth of the shortest longer one. From the columns of ``depths``."""
+    number = lambda n: F.nullif(F.col(f"__a{n}"), F.lit("")).cast("int") / 10.0
     return {
-        "precip_mm": F.when(has, _found(groups, "(?s).*" + depth.format(1)).cast("int") / 10.0),
-        "acc_period": F.when(has, period),
-        "acc_depth": F.when(has, F.coalesce(*longer.values()).cast("int") / 10.0),
+        "precip_mm": number(1),
+        "acc_period": F.coalesce(*(F.when(F.col(f"__a{n}") != "", n) for n in PERIODS)),
+        "acc_depth": F.coalesce(*map(number, PERIODS)),
     }
 
 
@@ -114,10 +114,10 @@ def metar_cloud(body: Column) -> Column:
 
 
 def with_sections(df: DataFrame, line: str = "line") -> DataFrame:
-    """df with __groups, __body, __codes and __wet. Projected step by step: each is read more than once later, so the optimizer keeps the steps apart."""
+    """df with __groups, __body, __codes, __wet and ``depths``. Projected step by step: each is read more than once later, so the optimizer keeps the steps apart."""
     groups, remarks = sections(F.col(line))
     out = df.withColumns({"__groups": groups, "__remarks": remarks}).withColumn("__body", metar_body(F.col("__remarks"))).drop("__remarks")
-    return out.withColumns({"__codes": weather_codes(F.col("__groups")), "__wet": metar_wet(F.col("__body"))})
+    return out.withColumns({"__codes": weather_codes(F.col("__groups")), "__wet": metar_wet(F.col("__body")), **depths(F.col("__groups"))})
 
 
 def parsed(df: DataFrame, line: str = "line", strict: bool = False) -> DataFrame:
@@ -127,8 +127,8 @@ def parsed(df: DataFrame, line: str = "line", strict: bool = False) -> DataFrame
     return held.withColumns(
         {
             **mandatory(F.col(line), strict),
-            **precipitation(F.col("__groups")),
+            **precipitation(),
             "cloud_pct": F.coalesce(cloud_groups(F.col("__groups")), metar_cloud(F.col("__body"))),
             "wx_wet": F.when(codes, True).when(wet, True).when(codes.isNotNull(), codes).when(wet.isNotNull(), False),
         }
-    ).drop("__groups", "__body", "__codes", "__wet")
+    ).drop("__groups", "__body", "__codes", "__wet", *(f"__a{n}" for n in (1, *PERIODS)))

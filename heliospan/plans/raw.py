@@ -107,7 +107,7 @@ def _parts(**made):
 for _name, _make, _columns in (
     ("parse_lines", reports.parsed, "utc_date utc_hour report_type wind_mps temp_c dew_c precip_mm acc_period acc_depth cloud_pct wx_wet"),
     ("parse_mandatory", lambda df: df.withColumns(reports.mandatory(F.col("line"))), "utc_date utc_hour report_type wind_mps temp_c dew_c"),
-    ("parse_precip_groups", lambda df: reports.with_sections(df).withColumns(reports.precipitation(F.col("__groups"))), "precip_mm acc_period acc_depth"),
+    ("parse_precip_groups", lambda df: reports.with_sections(df).withColumns(reports.precipitation()), "precip_mm acc_period acc_depth"),
     ("parse_cloud_groups", _parts(ga_cloud=("groups", reports.cloud_groups)), "ga_cloud"),
     ("present_weather", _parts(), "codes"),
     ("metar_body", _parts(), "body"),
