@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm.common import extended, saved, table
+from heliospan.llm.common import discard, extended, saved, table
 from heliospan.llm.texts import WORD_TABLE, pieces, words
 
 WINDOW = 10
@@ -167,13 +167,15 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """
     spark = docs.sparkSession
     out = docs.drop("hit_words", "hit_spans", "hit_items")
-    first = True
-    for shard in _shards(items, item_id, item_text, shard_words):
+    before: DataFrame | None = None
+    for i, shard in enumerate(_shards(items, item_id, item_text, shard_words)):
         held = spark.sparkContext.broadcast(Automaton(shard, window))
-        if not first:
+        if i:
             out = saved(out, "decontaminate")
-        out = _pass(out, text, held, first)
-        first = False
+            if before is not None:
+                discard(before)
+            before = out
+        out = _pass(out, text, held, not i)
     return out
 
 
