@@ -208,6 +208,13 @@ def cadence_label(step: Column) -> Column:
     return F.when(step == 1, "Hourly").otherwise(F.concat(step.cast("string"), F.lit("-hour")))
 
 
+def data_summary(step: Column, years: Column, samples: Column, coverage: Column) -> Column:
+    """What a station's numbers rest on, as shown; parts that are unknown are left out."""
+    spanned = F.concat(years.cast("string"), F.lit(" yrs"))
+    text = F.when(samples.isNull(), F.concat(spanned, F.lit(" of data"))).otherwise(F.concat(cadence_label(step), F.lit(" data points spanning "), spanned, F.lit(" ("), F.format_number(samples, 0), F.lit(" samples)")))
+    return F.when(coverage.isNull(), text).otherwise(F.concat(text, F.lit(" &middot; "), half_up(coverage * 100).cast("string"), F.lit("% of days usable")))
+
+
 def mercator(lat: Column, lon: Column, size: Column | float = 256.0) -> tuple[Column, Column]:
     """World pixel coordinates of the web map projection."""
     s = F.sin(F.radians(lat))

@@ -61,6 +61,16 @@ _sql("percent_text", lambda s, d: read(s, d, "lineitem").groupBy("l_suppkey").ag
 SELECT l_suppkey, floor(v * 100 + 0.5::DOUBLE)::INT || '%' AS whole, CASE WHEN v < 0.4::DOUBLE THEN floor(v * 100)::INT ELSE floor(v * 100 + 0.5::DOUBLE)::INT END || '%' AS cut, CASE WHEN v < 1 / 3 THEN 'lo' WHEN v < 0.667::DOUBLE THEN 'mid' ELSE 'hi' END AS level
 FROM (SELECT l_suppkey, round(avg(l_discount), 6) * 8 AS v FROM lineitem GROUP BY l_suppkey)""")
 _sql("cadence_label", lambda s, d: read(s, d, "nation").select("n_nationkey", scalar.cadence_label(F.col("n_nationkey") % 6 + 1).alias("label")), "SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN 'Hourly' ELSE (n_nationkey % 6 + 1) || '-hour' END AS label FROM nation")
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return read(s, d, "customer").select("c_custkey", scalar.data_summary((k % 6 + 1).cast("int"), (k % 16).cast("int"), F.when(k % 5 != 0, k * 977), F.when(k % 3 != 0, k % 64 / 64.0)).alias("text"))
+
+
+_SPAN = "(c_custkey % 16)::VARCHAR || ' yrs'"
+_sql("data_summary", _summary, f"""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN {_SPAN} || ' of data' ELSE CASE WHEN c_custkey % 6 = 0 THEN 'Hourly' ELSE (c_custkey % 6 + 1) || '-hour' END || ' data points spanning ' || {_SPAN} || ' (' || format('{{:,}}', c_custkey * 977) || ' samples)' END
+  || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' &middot; ' || floor((c_custkey % 64) / 64.0::DOUBLE * 100 + 0.5::DOUBLE)::INT || '% of days usable' END AS text FROM customer""")
 _sql("escape_html", lambda s, d: read(s, d, "customer").select("c_custkey", scalar.escaped(F.concat(F.lit("<b title=\"x\">"), "c_name", F.lit("&'</b>"))).alias("html")), "SELECT c_custkey, replace(replace(replace(replace(replace('<b title=\"x\">' || c_name || '&''</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM customer")
 _sql("unit_conversions", lambda s, d: read(s, d, "supplier").select("s_suppkey", *(F.round(f(F.col("s_acctbal")), 6).alias(n) for n, f in (("c", scalar.fahrenheit_to_celsius), ("f", scalar.celsius_to_fahrenheit), ("mps", scalar.mph_to_mps), ("mph", scalar.mps_to_mph), ("mm", scalar.inches_to_mm)))),
      "SELECT s_suppkey, round((s_acctbal - 32) * 5 / 9, 6) AS c, round(s_acctbal * 9 / 5 + 32, 6) AS f, round(s_acctbal * 0.44704::DOUBLE, 6) AS mps, round(s_acctbal * 2.23694::DOUBLE, 6) AS mph, round(s_acctbal * 25.4::DOUBLE, 6) AS mm FROM supplier")

@@ -124,22 +124,28 @@ def test_merge_sorts_nothing(spark):
 
 
 def test_reads_raw_files_once(spark, tmp_path):
-    """The hours are cached by file with its size and time; a run reads what is new or changed, and stations read days, not hours."""
+    """The hours are cached by file with its size and time; a run reads what is new or changed, and years and stations read days, not hours."""
     root = tmp_path / "isd"
     write_archive(root, years=(2021, 2022))
-    (tmp_path / "m.csv").write_text("USAF,WBAN,STATION NAME,CTRY,LAT,LON,ELEV(M)\n123456,99999,HILL,US,10.0,15.0,7\n")
     cache = str(tmp_path / "cache")
-    first = weather.from_archive(spark, str(root), str(tmp_path / "m.csv"), cache=cache)
-    assert "FileScan text" not in plan(first.hours) and plan(first.stations).count("FileScan") < 16 and "hours" not in plan(first.months)
-    assert spark.read.parquet(cache).select("file_year").distinct().count() == 2 and {r["valid_days"] for r in first.years.collect()} == {365}
+    first = weather.cached_hours(spark, str(root), cache)
+    assert "FileScan text" not in plan(first) and {r["n"] for r in first.groupBy("file_year").agg(F.count("*").alias("n")).collect()} == {8760}
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
     write_archive(root, years=(2023,))
+    (tmp_path / "m.csv").write_text("USAF,WBAN,STATION NAME,CTRY,LAT,LON,ELEV(M)\n123456,99999,HILL,US,10.0,15.0,7\n")
     again = weather.from_archive(spark, str(root), str(tmp_path / "m.csv"), cache=cache)
-    assert {r["file_year"] for r in again.years.collect()} == {2021, 2022, 2023} and again.stations.count() == 1
+    assert sorted(r["file_year"] for r in again.years.collect()) == [2021, 2022, 2023]
     assert all(f.stat().st_mtime_ns == t for f, t in before.items())
-    assert spark.read.parquet(cache).where("utc_date is null").count() == 0  # no line was dropped here
-    text = weather.inspect(spark, str(root), str(tmp_path / "m.csv"), "123456-99999")
-    assert text.startswith("123456-99999\nyear") and "score=0." in text and "years_included" in text
+    assert "text" not in plan(again.hours) and "utc_hour" not in plan(again.stations) and "utc_hour" not in plan(again.months)
+    write_archive(root, years=(2023,))  # written again: only its newest hours count
+    assert weather.cached_hours(spark, str(root), cache).count() == 3 * 8760
+
+
+def test_inspect(spark, tmp_path):
+    write_archive(tmp_path / "isd", years=(2021,))
+    (tmp_path / "m.csv").write_text("USAF,WBAN,STATION NAME,CTRY,LAT,LON,ELEV(M)\n123456,99999,HILL,US,10.0,15.0,7\n")
+    text = weather.inspect(spark, str(tmp_path / "isd"), str(tmp_path / "m.csv"), "123456-99999")
+    assert text.startswith("123456-99999\nyear") and "score=0." in text and "needs 3 usable years" in text
 
 
 def test_cadence_counts_raw_lines(spark, tmp_path):
