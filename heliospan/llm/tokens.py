@@ -5,6 +5,9 @@ The vocabulary is a trie whose nodes carry a failure link and the number of toke
 in one pass, without building the pieces. Texts are lower-cased (A-Z) and split into runs of word bytes and runs of
 other bytes that are no blanks; blanks are dropped.
 
+Where a vocabulary marks the ends of words, END closes each word that is read: a token with the mark matches at the end of a
+word only, one without it anywhere. Counts are those of the greedy longest match over these tokens, not of the merges of BPE.
+
 The vocabulary is read on the driver, refused above MAX_VOCABULARY_BYTES, and broadcast. Counting is map-only. Defined
 results: a null or empty text has 0 tokens; rows are independent, so repeats and clashing extra columns do not matter.
 """
@@ -32,18 +35,20 @@ PART_BYTES = 1 << 20
 _BLANK = re.compile(rb"[\x09-\x0d\x20]")
 _LOWER = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in range(256))
 _SPLIT = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x09-\x0d\x20]+")
+#: Closes a word, as a blank is in none.
+END = b" "
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 class Automaton:
-    """initial: tokens that may start a word; inner: those that may follow (the same by default)."""
+    """initial: tokens that may start a word; inner: those that may follow (the same by default); end: what closes each word."""
 
-    def __init__(self, initial: Iterable[bytes], inner: Iterable[bytes] | None = None, unknown: int = 1):
+    def __init__(self, initial: Iterable[bytes], inner: Iterable[bytes] | None = None, unknown: int = 1, end: bytes = b""):
         initial = sorted({x for x in initial if x})
         inner = initial if inner is None else sorted({x for x in inner if x})
         if sum(map(len, initial)) + sum(map(len, inner)) > MAX_VOCABULARY_BYTES:
             raise ValueError(f"the vocabulary has over {MAX_VOCABULARY_BYTES} bytes")
-        self.unknown = unknown
+        self.unknown, self.end = unknown, end
         self.go: dict[int, int] = {}
         parent, ends = [(-1, -1), (-1, -1)], set()
         for root, tokens in ((0, initial), (1, inner)):
@@ -79,7 +84,7 @@ class Automaton:
     def count(self, word: bytes) -> int:
         go, fail, pops = self.go, self.fail, self.pops
         state = n = 0
-        for byte in word:
+        for byte in word + self.end:
             to = go.get(state << 8 | byte)
             while to is None:
                 n += pops[state]
@@ -132,15 +137,20 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def vocabulary(path: str = DEFAULT_VOCABULARY) -> set[bytes]:
-    """Tokens of a tokenizers JSON file of byte-level symbols, without word-end marks; every byte is among them."""
+def vocabulary(path: str = DEFAULT_VOCABULARY) -> tuple[set[bytes], bytes]:
+    """Tokens of a tokenizers JSON file of byte-level symbols, every byte among them, and what closes a word (b"" without word ends)."""
     if os.path.getsize(path) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} has over {MAX_VOCABULARY_BYTES} bytes")
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
-    symbols, end = byte_symbols(), model.get("end_of_word_suffix") or ""
-    names = (t.removesuffix(end) if end else t for t in model["vocab"])
-    return {bytes(symbols[c] for c in t) for t in names if t and all(c in symbols for c in t)} | {bytes([b]) for b in range(256)}
+    symbols, mark = byte_symbols(), model.get("end_of_word_suffix") or ""
+    anywhere, last = {bytes([b]) for b in range(256)}, set()
+    for name in model["vocab"]:
+        final = bool(mark) and name.endswith(mark)
+        stem = name.removesuffix(mark) if final else name
+        if stem and all(c in symbols for c in stem):
+            (last if final else anywhere).add(bytes(symbols[c] for c in stem))
+    return (anywhere | {t + END for t in anywhere | last}, END) if mark else (anywhere, b"")
 
 
 def count_tokens(docs: DataFrame, automaton: Automaton, text: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -165,5 +175,6 @@ def count_tokens(docs: DataFrame, automaton: Automaton, text: str = "text", out:
 def op5_token_counts(spark: SparkSession, sf_dir: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Tokens of every whole document."""
     docs = binary_text(table(spark, sf_dir, "documents"), "doc_id")
-    found = count_tokens(docs, Automaton(vocabulary(path)), text="__text")
+    known, end = vocabulary(path)
+    found = count_tokens(docs, Automaton(known, end=end), text="__text")
     return found.select("doc_id", "n_tokens", F.octet_length("__text").cast("long").alias("n_bytes"))

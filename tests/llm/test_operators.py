@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import json
 import re
 import zlib
 
@@ -260,6 +262,28 @@ def test_tokens(spark, texts):
     assert tokens.count_tokens(docs.limit(0), automaton).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "</w>"])
+def test_tokens_of_a_vocabulary_file(tmp_path, mark):
+    """Against brute force over the names of the file: marked ones match at the end of a word only."""
+    names = ["w1", "w12", "3" + mark, "12" + mark, "w" + mark, "Ã©", "<|end|> ", "é", "23"]
+    (tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": {n: i for i, n in enumerate(names)}, **({"end_of_word_suffix": mark} if mark else {})}}))
+    known, end = tokens.vocabulary(str(tmp_path / "v.json"))
+    final = {n.removesuffix(mark) for n in names if mark and n.endswith(mark)}
+    inner = {n for n in names if n not in {f + mark for f in final}} if mark else set(names)
+    back = {v: k for k, v in tokens.byte_symbols().items()}
+
+    def brute(word):
+        shown, i, n = "".join(back[b] for b in word), 0, 0
+        while i < len(shown):
+            fits = [j for j in range(i + 1, len(shown) + 1) if j == i + 1 or shown[i:j] in inner or (j == len(shown) and shown[i:j] in final)]
+            i, n = fits[-1], n + 1
+        return n
+
+    automaton = tokens.Automaton(known, end=end)
+    tried = [bytes(x) for n in range(1, 6) for x in itertools.product(b"w123", repeat=n)] + ["é".encode(), "wé12".encode()]
+    assert [automaton.count(w) for w in tried] == [brute(w) for w in tried]
+
+
 @pytest.mark.parametrize("sizes", [None, (150, 400)])
 def test_cross_entropy_counts_all_pairs(spark, texts, sizes, tmp_path):
     """Against brute force over every word and pair; most words here have a rank over CORE."""
@@ -540,7 +564,8 @@ def test_queries_keep_their_contracts(spark, folder):
     out = rows("op4_repeats", {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"})
     for (i, d), (kept, gone) in zip(docs.items(), brute_repeats([(d["text"] or "").encode() for d in docs.values()], 200), strict=True):
         assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["kept_sha256"]) == (len((d["text"] or "").encode()), gone, hashlib.sha256(kept).hexdigest())
-    automaton = tokens.Memo(tokens.Automaton(tokens.vocabulary()))
+    known, end = tokens.vocabulary()
+    automaton = tokens.Memo(tokens.Automaton(known, end=end))
     out = rows("op5_token_counts", {"doc_id": "bigint", "n_tokens": "bigint"})
     assert all(out[i]["n_tokens"] == sum(map(automaton.automaton.count, split_words((d["text"] or "").encode()))) for i, d in docs.items())
     out = rows("op6_cross_entropy", {"doc_id": "bigint", "n_tokens": "bigint", "difference": "double"})
