@@ -111,7 +111,7 @@ def cached_hours(spark: SparkSession, root: str, cache: str, strict: bool = Fals
     paths = [r["path"] for r in outputs.to_process(listed, known, signed).select("path").collect()]  # names only
     if paths:
         made = archive_hours(spark, paths, strict).join(listed.select(*signed), list(KEYS))
-        made.withColumn("version", F.lit(PARSE_VERSION)).repartition("file_year").write.mode("append").partitionBy("file_year").parquet(cache)
+        outputs.by_year(made.withColumn("version", F.lit(PARSE_VERSION))).write.mode("append").partitionBy("file_year").parquet(cache)
         known = outputs.read_versioned(spark, cache, PARSE_VERSION)
     return compose.matched(known, listed, signed).drop("size", "modified")
 

@@ -26,9 +26,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_year(hours: DataFrame) -> DataFrame:
+    """Ranges of years and stations: a year is written by as many tasks as its share of the rows needs, and a task writes few years."""
+    return hours.repartitionByRange("file_year", "station")
+
+
 def write_hours(hours: DataFrame, path: str) -> None:
     """Merged hours, one folder for each file year, so that a year is read alone."""
-    hours.repartition("file_year", "station").write.mode("overwrite").partitionBy("file_year").parquet(path)
+    by_year(hours).write.mode("overwrite").partitionBy("file_year").parquet(path)
 
 
 def write_index(index: DataFrame, path: str) -> None:

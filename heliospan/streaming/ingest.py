@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from heliospan.operators.hours import merge_hours
 from heliospan.sources import files
+from heliospan.sources.outputs import by_year
 
 
 def stream_hours(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -21,7 +22,7 @@ def stream_hours(spark: SparkSession, root: str, out: str, checkpoint: str, once
         line = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\r$", "")
         named = batch.withColumn("line_no", F.monotonically_increasing_id()).withColumn("line", line).withColumns(files.name_parts(F.col("path"))).where("known").select("station", "file_year", "line_no", "line")
         hours = merge_hours(files.parse(named))
-        hours.repartition("file_year").write.mode("overwrite").partitionBy("file_year").parquet(f"{out}/batch={number}")
+        by_year(hours).write.mode("overwrite").partitionBy("file_year").parquet(f"{out}/batch={number}")
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
