@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from heliospan.llm import crossentropy, decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
+from heliospan.llm import crossentropy, decontaminate, divergence, jaccard, language, lines, manifest, mixing, repeats, sharding, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,10 +13,16 @@ QUERIES = {
     "op8_vectors": vectors.op8_vectors,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mixing": mixing.op10_mixing,
+    "op11_line_dedup": lines.op11_line_dedup,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_merkle": manifest.op13_merkle,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
     "op8_vectors": vectors.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_line_dedup": lines.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_merkle": manifest.SQL,
 }
