@@ -131,7 +131,8 @@ WITH base AS (
     unnest(range(abs_hour - acc_period + 1, abs_hour + 1)) AS abs_hour FROM localised WHERE acc_period <= 6 OR acc_depth = 0),
   slots AS (SELECT {K}, abs_hour, arg_min(fill, r) AS fill FROM (SELECT *, row_number() OVER (PARTITION BY {K}, abs_hour ORDER BY end_hour, period, depth) AS r FROM covered) GROUP BY {K}, abs_hour),
   lit AS (SELECT *, {_START} AS day_start, {_END} AS day_end FROM localised),
-  effective AS (
+  -- materialised, as a limit on it would else turn its joins into a loop over all rows
+  effective AS MATERIALIZED (
   SELECT {K}, lat, local_date, local_hour, abs_hour, day_start, day_end, temp_c, dew_c,
     coalesce(precip_mm, CASE WHEN wx_wet THEN {_d(RULES.wet_mm)} WHEN NOT wx_wet AND evidence >= {RULES.evidence_hours} THEN 0 END, fill) AS precip_mm, cloud_pct, wind_mps
   FROM lit JOIN evidence USING ({K}) LEFT JOIN slots USING ({K}, abs_hour) WHERE local_hour >= day_start AND local_hour < day_end),
