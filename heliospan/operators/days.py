@@ -10,45 +10,45 @@ from pyspark.sql import functions as F
 
 from heliospan.functions import scalar
 from heliospan.functions.rules import CRITERIA, RULES, Rules
-from heliospan.operators.hours import KEYS
+from heliospan.operators.hours import KEYS, hour_mask
 
 
-def good_runs(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Longest run of good hours of each day: a run goes on to the next record if that is good and at most a step later."""
-    marked = _with_runs(hours, keys)
-    sizes = marked.groupBy(*keys, "local_date", "run").agg(F.count_if("good").alias("n"))
-    return sizes.groupBy(*keys, "local_date").agg(F.max("n").alias("best_run"))
+def longest_run(seen: Column, good: Column, step: Column) -> Column:
+    """The longest run of good hours in a day's masks: a run goes on to the next record if that is good and at most a step later."""
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(-24).alias("last"))
+
+    def follow(state: Column, hour: Column) -> Column:
+        on = lambda mask: F.getbit(mask.cast("long"), hour) == 1
+        run = F.when(on(good), F.when(hour - state["last"] <= step, state["run"]).otherwise(0) + 1).otherwise(0)
+        return F.when(on(seen), F.struct(run.alias("run"), F.greatest(state["best"], run).alias("best"), hour.alias("last"))).otherwise(state)
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(23)), start, follow, lambda state: state["best"]).cast("long")
 
-def _with_runs(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """hours with the number of their run in the day; a record that is not good is a run of none."""
-    day = W.partitionBy(*keys, "local_date").orderBy("local_hour")
-    goes_on = F.col("good") & F.lag("good").over(day) & (F.col("local_hour") - F.lag("local_hour").over(day) <= F.col("step"))
-    marked = hours.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    return marked.withColumn("run", F.sum((~F.col("goes_on")).cast("int")).over(day))
+
+def good_runs(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Longest run of good hours of each day. hours: with good and step."""
+    masks = hours.groupBy(*keys, "local_date").agg(hour_mask().alias("seen"), hour_mask(F.col("good")).alias("fine"), F.max("step").alias("step"))
+    return masks.select(*keys, "local_date", longest_run(F.col("seen"), F.col("fine"), F.col("step")).alias("best_run"))
 
 
 def _bad(rules: Rules) -> Column:
     return F.coalesce(F.col("max_temp") < rules.indoor_cold, F.lit(False)) | F.coalesce(F.col("max_temp") > rules.indoor_hot, F.lit(False)) | F.coalesce(F.col("max_dew") > rules.indoor_dew, F.lit(False)) | F.coalesce((F.col("max_cloud") > rules.indoor_cloud) & (F.col("sum_precip") > rules.indoor_precip), F.lit(False)) | F.coalesce(F.col("max_wind") > rules.indoor_wind, F.lit(False))
 
 
-def day_scores(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
-    """One row for each day: counts, score of its best hours, indoor, gloomy, perfect and valid.
+def day_rows(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
+    """The sums of each day: counts, extremes, masks of its hours, and its complete hours' scores by hour. hours: scored hours.
 
-    hours: scored hours with step, day_start and day_end. One aggregation and one window over the same day keys.
+    All of them combine in any order and have a fixed width, so one hash aggregate makes them and nothing is sorted.
     """
-    day = [*keys, "local_date"]
-    top = F.ceil(F.lit(float(rules.top_hours)) / F.col("step")).cast("int")
-    best = F.sort_array(F.collect_list(F.when(F.col("complete"), F.col("hour_score"))), False)
-    runs = _with_runs(hours, keys).withColumn("run_size", F.count_if("good").over(W.partitionBy(*day, "run")))
-    out = runs.groupBy(*day).agg(
-        F.max("run_size").alias("best_run"),
-        F.first("step").alias("step"),
-        (F.first("day_end") - F.first("day_start")).alias("day_len"),
+    held = {h: F.max(F.when(F.col("complete") & (F.col("local_hour") == h), F.col("hour_score"))) for h in range(rules.day_start, rules.day_end)}
+    out = hours.groupBy(*keys, "local_date").agg(
+        hour_mask().alias("seen"),
+        hour_mask(F.col("good")).alias("fine"),
+        F.max(F.col("day_end") - F.col("day_start")).alias("day_len"),
         F.count("*").alias("obs"),
         F.count_if("complete").alias("complete"),
         *(F.count(c).alias(f"n_{c}") for c in CRITERIA),
-        best.alias("best"),
+        *(v.alias(f"score_{h}") for h, v in held.items()),
         F.max("temp_c").alias("max_temp"),
         F.max("dew_c").alias("max_dew"),
         F.max("cloud_pct").alias("max_cloud"),
@@ -58,35 +58,70 @@ def day_scores(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULE
         *(F.sum(c).alias(f"sum_{c}") for c in ("temp_c", "dew_c", "cloud_pct", "wind_mps")),
         F.count_if(F.col("precip_mm") > 0).alias("n_wet"),
     )
+    best = F.sort_array(F.array_compact(F.array(*(F.col(f"score_{h}") for h in held))), False)
+    return out.withColumn("best", best).drop(*(f"score_{h}" for h in held))
+
+
+def day_scores(hours: DataFrame, steps: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
+    """One row for each day: counts, score of its best hours, indoor, gloomy, perfect and valid.
+
+    hours: scored hours; steps: ``reporting_step`` of them, a row for each file. Where both are clustered by keys, so is the
+    result, and nothing is exchanged.
+    """
+    out = day_rows(hours, keys, rules).join(steps.hint("shuffle_hash"), list(keys))
+    top = F.ceil(F.lit(float(rules.top_hours)) / F.col("step")).cast("int")
+    out = out.withColumn("best_run", longest_run(F.col("seen"), F.col("fine"), F.col("step")))
     need = F.when(F.col("step") == 1, rules.perfect_hours).otherwise(F.greatest(F.lit(2), F.ceil(F.lit(float(rules.perfect_hours)) / F.col("step")).cast("int")))
     score = F.when(F.col("complete") >= top, F.aggregate(F.slice("best", F.lit(1), top), F.lit(0.0), lambda a, v: a + v) / (top * 4))
     out = out.withColumn("day_score", score).withColumn("perfect", F.col("best_run") >= need).withColumn("indoor", _bad(rules)).withColumn("gloomy", F.col("cloudy") >= rules.gloom_records)
     enough = (F.col("day_len") > 0) & (F.col("complete") * F.col("step") >= F.col("day_len") * rules.min_fill)
-    return out.withColumn("bad", F.col("indoor") | F.col("gloomy")).withColumn("valid", enough & F.col("day_score").isNotNull()).drop("best")
+    return out.withColumn("bad", F.col("indoor") | F.col("gloomy")).withColumn("valid", enough & F.col("day_score").isNotNull()).drop("best", "seen", "fine")
 
 
-def streaks(days: DataFrame, flag: str, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
-    """Runs of consecutive flagged days of at least the least length: one row for each. days: valid days only."""
-    order = W.partitionBy(*keys).orderBy("local_date")
-    islands = days.where(F.col(flag)).select(*keys, "local_date", (F.unix_date("local_date") - F.row_number().over(order)).alias("island"))
-    runs = islands.groupBy(*keys, "island").agg(F.min("local_date").alias("first_day"), F.count("*").alias("days"))
-    return runs.where(F.col("days") >= rules.streak_days).withColumn("weight", scalar.streak_weight(F.col("days"), rules)).drop("island")
+#: Days of a year in one number of a year's mask.
+MASK_DAYS = 62
 
 
-def _with_streaks(days: DataFrame, flag: str, name: str, keys: Sequence[str], rules: Rules) -> tuple[DataFrame, list[Column]]:
-    """days with the length of the streak that begins on each (null on others), and the year's sums over them.
+def day_mask(flag: Column, year: str) -> list[Column]:
+    """The flagged days of a year as the bits of six numbers, which combine by OR in any order (see ``hour_mask``)."""
+    day = F.date_diff("local_date", F.make_date(F.col(year), F.lit(1), F.lit(1)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(MASK_DAYS)))
+    return [F.coalesce(F.bit_or(F.when(flag & (F.floor(day / MASK_DAYS) == i), bit)), F.lit(0)) for i in range(6)]
 
-    By windows over the station-year, so that the year needs no second pass and no join.
-    """
-    shown = F.coalesce(F.col("valid") & F.col(flag), F.lit(False))
-    flagged = W.partitionBy(*keys, f"__{name}").orderBy("local_date")
-    out = days.withColumn(f"__{name}", shown).withColumn(f"__{name}_island", F.unix_date("local_date") - F.row_number().over(flagged))
-    island = W.partitionBy(*keys, f"__{name}", f"__{name}_island")
-    begins = F.col(f"__{name}") & (F.col("local_date") == F.min("local_date").over(island))
-    out = out.withColumn(f"__{name}_run", F.when(begins, F.count("*").over(island)))
-    run = F.when(F.col(f"__{name}_run") >= rules.streak_days, F.col(f"__{name}_run"))
-    sums = {"weighted": F.sum(scalar.streak_weight(run, rules)), "longest": F.max(run), "len_sum": F.sum(run), "len_count": F.count(run)}
-    return out, [F.coalesce(v, F.lit(0)).cast("long").alias(f"{name}_{k}") for k, v in sums.items()]
+
+def runs_of(mask: Column) -> Column:
+    """The runs of a year's mask (an array of numbers): an array of (begin, days), begin counted from January 1."""
+    empty = F.array().cast("array<struct<begin:int,days:int>>")
+    start = F.struct(F.lit(0).alias("run"), empty.alias("runs"))
+
+    def follow(state: Column, day: Column) -> Column:
+        on = F.getbit(F.get(mask, F.floor(day / MASK_DAYS).cast("int")), F.pmod(day, F.lit(MASK_DAYS))) == 1
+        ended = F.struct((day - state["run"]).alias("begin"), state["run"].alias("days"))
+        closed = F.when(state["run"] > 0, F.concat(state["runs"], F.array(ended))).otherwise(state["runs"])
+        return F.when(on, F.struct((state["run"] + 1).alias("run"), state["runs"].alias("runs"))).otherwise(F.struct(F.lit(0).alias("run"), closed.alias("runs")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(366)), start, follow, lambda state: state["runs"])
+
+
+def streaks(days: DataFrame, flag: str, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
+    """Runs of consecutive flagged days of at least the least length: one row for each. days: valid days of their file's own year."""
+    masks = days.groupBy(*keys).agg(F.array(*day_mask(F.col(flag), keys[1])).alias("mask"))
+    runs = masks.select(*keys, F.inline(runs_of(F.col("mask")))).where(F.col("days") >= rules.streak_days)
+    first = F.date_add(F.make_date(F.col(keys[1]), F.lit(1), F.lit(1)), F.col("begin"))
+    return runs.select(*keys, first.alias("first_day"), F.col("days").cast("long").alias("days")).withColumn("weight", scalar.streak_weight(F.col("days"), rules))
+
+
+def _streak_sums(mask: Column, name: str, rules: Rules) -> dict[str, Column]:
+    """A year's sums over the streaks of a mask."""
+    long = F.filter(runs_of(mask), lambda r: r["days"] >= rules.streak_days)
+    total = lambda of: F.aggregate(F.col(f"{name}_runs"), F.lit(0).cast("long"), of)
+    return {
+        f"{name}_runs": F.transform(long, lambda r: r["days"].cast("long")),
+        f"{name}_weighted": total(lambda a, n: a + scalar.streak_weight(n, rules)),
+        f"{name}_longest": total(lambda a, n: F.greatest(a, n)),
+        f"{name}_len_sum": total(lambda a, n: a + n),
+        f"{name}_len_count": F.size(f"{name}_runs").cast("long"),
+    }
 
 
 def in_file_year(days: DataFrame) -> DataFrame:
@@ -96,12 +131,12 @@ def in_file_year(days: DataFrame) -> DataFrame:
 
 def year_stats(days: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
     """One row for each station and year: coverage over all its days, sums over valid days, streaks."""
-    own, gloom = _with_streaks(in_file_year(days), "bad", "gloom", keys, rules)
-    own, perfect = _with_streaks(own, "perfect", "pstreak", keys, rules)
+    own = in_file_year(days)
     valid = F.col("valid")
+    flags = {"gloom": "bad", "pstreak": "perfect"}
     length = float(rules.day_end - rules.day_start)
     sums = own.groupBy(*keys).agg(
-        F.first("step").alias("step"),
+        F.max("step").alias("step"),
         F.sum("obs").alias("obs"),
         *(F.sum(f"n_{c}").alias(f"n_{c}") for c in CRITERIA),
         F.count_if(valid).alias("valid_days"),
@@ -109,9 +144,12 @@ def year_stats(days: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES
         *(F.count_if(valid & F.col(c)).alias(f"{c}_count") for c in ("perfect", "indoor", "gloomy", "bad")),
         F.coalesce(F.sum(F.when(valid, F.col("complete"))), F.lit(0)).alias("samples"),
         F.coalesce(F.sum(F.when(valid, F.col("sum_precip") * 24.0 / F.col("day_len"))), F.lit(0.0)).alias("precip_mm"),
-        *gloom,
-        *perfect,
+        *(F.array(*day_mask(valid & F.col(c), keys[1])).alias(f"{name}_mask") for name, c in flags.items()),
     )
+    for name in flags:
+        for made, value in _streak_sums(F.col(f"{name}_mask"), name, rules).items():
+            sums = sums.withColumn(made, value)
+        sums = sums.drop(f"{name}_mask", f"{name}_runs")
     sums = sums.withColumn("days_in_year", scalar.days_in_year(F.col(keys[1])))
     for c in CRITERIA:
         sums = sums.withColumn(f"coverage_{c}", F.col(f"n_{c}") / (F.col("days_in_year") * length / F.col("step"))).drop(f"n_{c}")

@@ -37,6 +37,15 @@ def merge_hours(reports: DataFrame, line: str = "line_no", keys: Sequence[str] =
     )
 
 
+#: Most stations that are broadcast, a few dozen bytes each; there are some 30,000.
+FEW_STATIONS = 1_000_000
+
+
+def in_place(stations: DataFrame) -> DataFrame:
+    """stations, to be broadcast if they are few: counted, as hours that are clustered would else be exchanged for them."""
+    return F.broadcast(stations) if stations.limit(FEW_STATIONS + 1).count() <= FEW_STATIONS else stations
+
+
 def localised(hours: DataFrame, stations: DataFrame, station: str = "station") -> DataFrame:
     """Adds lat, abs_hour, local_date and local_hour; unknown stations keep UTC and the civil window."""
     place = stations.select(station, F.col("lat").cast("double").alias("lat"), scalar.utc_offset(F.col("lon").cast("double")).alias("utc_offset"))
@@ -59,23 +68,52 @@ def _shows() -> Column:
     return F.col("precip_mm").isNotNull() | F.coalesce(F.col("wx_wet"), F.lit(False)) | F.col("acc_period").isNotNull()
 
 
+def _covers(rules: Rules) -> tuple[Column, Column, Column]:
+    """Whether an hour's accumulation is spread, the hours that it covers, and the rain of each."""
+    used = F.col("acc_period").isNotNull() & ((F.col("acc_period") <= 6) | (F.col("acc_depth") == 0))
+    fill = F.when(F.col("acc_depth") == 0, 0.0).otherwise(F.greatest(F.col("acc_depth") / F.col("acc_period"), F.lit(rules.wet_mm)))
+    return used, F.sequence(F.col("abs_hour") - F.col("acc_period") + 1, F.col("abs_hour")), fill
+
+
 def accumulation_slots(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
     """For each hour that an accumulation covers, the rain by the earliest-ending one. An interval join as an equi-join:
-    a period has at most 24 hours, so its slots are listed."""
-    used = hours.where(F.col("acc_period").isNotNull() & ((F.col("acc_period") <= 6) | (F.col("acc_depth") == 0)))
-    value = F.when(F.col("acc_depth") == 0, 0.0).otherwise(F.greatest(F.col("acc_depth") / F.col("acc_period"), F.lit(rules.wet_mm)))
-    slots = used.select(*keys, F.col("abs_hour").alias("end_hour"), F.col("acc_period").alias("period"), F.col("acc_depth").alias("depth"), value.alias("fill"), F.explode(F.sequence(F.col("abs_hour") - F.col("acc_period") + 1, F.col("abs_hour"))).alias("abs_hour"))
-    return slots.groupBy(*keys, "abs_hour").agg(F.min_by("fill", F.struct("end_hour", "period", "depth")).alias("fill"))
+    a period has at most 24 hours, so its slots are listed. Hours are merged, so one accumulation ends in each, and the
+    earliest is found by a number: the aggregate hashes and sorts nothing."""
+    used, covered, fill = _covers(rules)
+    slots = hours.where(used).select(*keys, F.col("abs_hour").alias("end_hour"), fill.alias("fill"), F.explode(covered).alias("abs_hour"))
+    return slots.groupBy(*keys, "abs_hour").agg(F.min_by("fill", "end_hour").alias("fill"))
+
+
+def daytime(hours: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """The hours within their day's daylight window."""
+    return with_daylight(hours, rules).where(_in_daylight())
+
+
+def _in_daylight() -> Column:
+    return (F.col("local_hour") >= F.col("day_start")) & (F.col("local_hour") < F.col("day_end"))
 
 
 def effective_hours(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
-    """Daytime hours with precipitation resolved: measured, wet, dry by evidence, accumulated, else unknown."""
-    # a window over the file, whose rows are together already, in place of a join with ``evidence``
-    lit_up = with_daylight(hours.withColumn("evidence", F.count_if(_shows()).over(W.partitionBy(*keys))), rules)
-    lit_up = lit_up.where((F.col("local_hour") >= F.col("day_start")) & (F.col("local_hour") < F.col("day_end")))
-    stated = F.coalesce(F.col("precip_mm"), F.when(F.col("wx_wet"), rules.wet_mm), F.when(~F.col("wx_wet") & (F.col("evidence") >= rules.evidence_hours), 0.0))
-    filled = lit_up.join(accumulation_slots(hours, keys, rules), [*keys, "abs_hour"], "left")
-    return filled.withColumn("precip_mm", F.coalesce(stated, "fill")).select(*keys, "lat", "local_date", "local_hour", "abs_hour", "day_start", "day_end", *CRITERIA)
+    """Daytime hours with precipitation resolved: measured, wet, dry by evidence, accumulated, else unknown.
+
+    Each hour goes to itself and to those that its accumulation covers, and one hash aggregate by hour brings both together.
+    Where hours are clustered by keys (a repartition or a bucketed table), that and the join with the evidence (a row for each
+    file, hashed) are made in place: no hours are exchanged or sorted.
+    """
+    lit_up = with_daylight(hours, rules)
+    used, covered, fill = _covers(rules)
+    one = lambda hour, own: F.struct(hour.alias("to"), F.lit(own).alias("own"))
+    none = F.array().cast("array<struct<to:bigint,own:boolean>>")
+    itself = F.when(_in_daylight(), F.array(one(F.col("abs_hour"), True))).otherwise(none)
+    spread = F.when(used, F.transform(covered, lambda h: one(h, False))).otherwise(none)
+    values = ("lat", "temp_c", "dew_c", "precip_mm", "cloud_pct", "wind_mps", "wx_wet", "day_start", "day_end")
+    given = lit_up.select(*keys, "abs_hour", *values, fill.alias("fill"), F.inline(F.concat(itself, spread)))
+    met = given.groupBy(*keys, "to").agg(F.bool_or("own").alias("own"), *(F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in values), F.min_by("fill", F.when(~F.col("own"), F.col("abs_hour"))).alias("fill"))
+    met = met.where("own").withColumnRenamed("to", "abs_hour").withColumn("local_date", scalar.local_day(F.col("abs_hour"))).withColumn("local_hour", scalar.local_hour(F.col("abs_hour")))
+    shown = evidence(hours, keys).where(F.col("evidence") >= rules.evidence_hours).select(*keys, F.lit(True).alias("reports_rain"))
+    met = met.join(shown.hint("shuffle_hash"), list(keys), "left")
+    stated = F.coalesce(F.col("precip_mm"), F.when(F.col("wx_wet"), rules.wet_mm), F.when(~F.col("wx_wet") & F.col("reports_rain"), 0.0))
+    return met.withColumn("precip_mm", F.coalesce(stated, "fill")).select(*keys, "lat", "local_date", "local_hour", "abs_hour", "day_start", "day_end", *CRITERIA)
 
 
 def scored(hours: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -93,23 +131,32 @@ def factor_names() -> tuple[str, ...]:
     return ("temp_score", "dew_score", "precip_score", "cloud_score")
 
 
+def hour_mask(flag: Column | None = None) -> Column:
+    """The local hours of a group of rows (those with the flag) as the bits of a number: masks of parts combine by OR, in any
+    order, so they are made by map-side aggregates and nothing is sorted."""
+    bit = F.call_function("shiftleft", F.lit(1), F.col("local_hour").cast("int"))
+    return F.coalesce(F.bit_or(bit if flag is None else F.when(flag, bit)), F.lit(0))
+
+
+def gaps(mask: Column) -> Column:
+    """The distances between neighbouring hours of a mask: an array of (gap, n, first), first being the hour after the first such gap."""
+    found, between = [], F.lit(0)
+    for gap in range(1, 24):
+        ends = mask.bitwiseAND(F.shiftleft(mask, gap)).bitwiseAND(F.bitwise_not(between))
+        first = F.bit_count(ends.bitwiseAND(-ends) - 1)
+        found.append(F.when(ends != 0, F.struct(F.lit(gap).alias("gap"), F.bit_count(ends).alias("n"), first.alias("first"))))
+        between = between.bitwiseOR(F.shiftleft(mask, gap))
+    return F.array_compact(F.array(*found))
+
+
 def reporting_step(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The most common gap between a day's hours, of equal ones that seen first, within 1 to 6; 1 where there is none."""
-    gap = F.col("local_hour") - F.lag("local_hour").over(W.partitionBy(*keys, "local_date").orderBy("local_hour"))
-    gaps = hours.select(*keys, "abs_hour", gap.alias("gap"))
-    counted = gaps.groupBy(*keys, "gap").agg(F.count("gap").alias("n"), F.min("abs_hour").alias("first"))
-    best = counted.groupBy(*keys).agg(F.max_by("gap", F.when(F.col("gap").isNotNull(), F.struct(F.col("n"), -F.col("first")))).alias("gap"))
-    return best.select(*keys, F.coalesce(F.greatest(F.lit(1), F.least(F.lit(6), F.col("gap"))), F.lit(1)).cast("int").alias("step"))
-
-
-def with_step(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """hours with the step of ``reporting_step``, by windows over the file in place of a join."""
-    gap = F.col("local_hour") - F.lag("local_hour").over(W.partitionBy(*keys, "local_date").orderBy("local_hour"))
-    same, whole = W.partitionBy(*keys, "__gap"), W.partitionBy(*keys)
-    out = hours.withColumn("__gap", gap)
-    out = out.withColumn("__rank", F.when(F.col("__gap").isNotNull(), F.struct(F.count("__gap").over(same).alias("n"), (-F.min("abs_hour").over(same)).alias("first"))))
-    step = F.greatest(F.lit(1), F.least(F.lit(6), F.max_by("__gap", "__rank").over(whole)))
-    return out.withColumn("step", F.coalesce(step, F.lit(1)).cast("int")).drop("__gap", "__rank")
+    by_day = hours.groupBy(*keys, "local_date").agg(hour_mask().cast("int").alias("mask"))
+    each = by_day.select(*keys, "local_date", F.inline_outer(gaps(F.col("mask"))))
+    counted = each.groupBy(*keys, "gap").agg(F.sum("n").alias("n"), F.min(F.unix_date("local_date").cast("long") * 24 + F.col("first")).alias("first"))
+    best = counted.groupBy(*keys).agg(F.max_by("gap", F.when(F.col("gap").isNotNull(), F.shiftleft(F.col("n"), 32) - F.col("first"))).alias("gap"))
+    within = F.when(F.col("gap").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(6), F.col("gap")))).otherwise(1)  # greatest and least skip nulls
+    return best.select(*keys, within.cast("int").alias("step"))
 
 
 def masked(hours: DataFrame, share: float = 1.0, opens: int = 0, closes: int = 24, keys: Sequence[str] = KEYS, seed: int = 0) -> DataFrame:

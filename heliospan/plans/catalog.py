@@ -38,7 +38,7 @@ def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hours.effective_hours(_local(spark, sf_dir))
+    return hours.effective_hours(_local(spark, sf_dir).repartition(*KEYS))
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ _add("accumulation_fill", "station file_year abs_hour fill", "slots", lambda s,
 _add("effective_hours", "station file_year local_date local_hour temp_c dew_c precip_mm cloud_pct wind_mps", "effective", _effective)
 _add("factor_scores", _plain("station file_year abs_hour", temp_score="9", dew_score="9", precip_score="9", cloud_score="9"), "factors", lambda s, d: hours.scored(_effective(s, d)))
 _add("hour_flags", "station file_year abs_hour complete good", "scored", lambda s, d: hours.scored(_effective(s, d)))
-_add("reporting_step", "station file_year step", "steps", lambda s, d: hours.reporting_step(_effective(s, d)))
+_add("reporting_step", "station file_year step", "steps", lambda s, d: hours.reporting_step(hours.daytime(_local(s, d))))
 _add("daily_score_topk", _plain("station file_year local_date complete", day_score="8"), "days", _days)
 _add("perfect_day_runs", "station file_year local_date best_run perfect", "days", _days)
 _add("indoor_day", _plain("station file_year local_date max_temp max_dew max_cloud max_wind indoor", sum_precip="6"), "days", _days)

@@ -140,7 +140,7 @@ WITH base AS (
   gaps AS (SELECT *, local_hour - lag(local_hour) OVER (PARTITION BY {K}, local_date ORDER BY local_hour) AS gap FROM effective),
   gap_counts AS (SELECT {K}, gap, count(*) AS n, min(abs_hour) AS first FROM gaps WHERE gap IS NOT NULL GROUP BY {K}, gap),
   gap_best AS (SELECT {K}, gap, row_number() OVER (PARTITION BY {K} ORDER BY n DESC, first) AS r FROM gap_counts),
-  steps AS (SELECT f.station, f.file_year, coalesce(greatest(1, least(6, gap)), 1)::INT AS step FROM (SELECT DISTINCT {K} FROM effective) f LEFT JOIN (SELECT * FROM gap_best WHERE r = 1) g USING ({K})),
+  steps AS (SELECT f.station, f.file_year, (CASE WHEN gap IS NULL THEN 1 ELSE greatest(1, least(6, gap)) END)::INT AS step FROM (SELECT DISTINCT {K} FROM effective) f LEFT JOIN (SELECT * FROM gap_best WHERE r = 1) g USING ({K})),
   scored AS (SELECT *, temp_score + dew_score + precip_score + cloud_score AS hour_score,
     temp_score IS NOT NULL AND dew_score IS NOT NULL AND precip_score IS NOT NULL AND cloud_score IS NOT NULL AS complete,
     coalesce(temp_score > 0 AND dew_score > 0 AND precip_score > 0 AND cloud_score > 0, false) AS good FROM factors JOIN steps USING ({K})),

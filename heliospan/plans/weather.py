@@ -6,12 +6,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliospan.functions import scalar
 from heliospan.functions.rules import CRITERIA, RULES, Rules
 from heliospan.operators import compose, days, hours, spatial
 from heliospan.operators.hours import KEYS
-from heliospan.sources import files, outputs
+from heliospan.sources import files, outputs, snapshots
 
 
 class Climate(NamedTuple):
@@ -25,17 +26,21 @@ class Climate(NamedTuple):
     stations: DataFrame
 
 
-def scored_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES) -> tuple[DataFrame, DataFrame]:
-    """Effective hours and day scores. Partitioned once by station and year, which all later groups and windows contain."""
-    local = hours.localised(merged, places).repartition(*KEYS)
+def scored_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Effective hours and day scores. Partitioned once by station and year, which all later groups and joins contain.
+
+    clustered: merged is so already (``outputs.bucketed``), and nothing at all is exchanged.
+    """
+    local = hours.localised(merged, hours.in_place(places) if clustered else places)
+    local = local if clustered else local.repartition(*KEYS)
     effective = hours.effective_hours(local, rules=rules)
-    stepped = hours.with_step(hours.scored(effective, rules))
-    return effective, days.day_scores(stepped, rules=rules)
+    steps = hours.reporting_step(hours.daytime(local, rules))  # of the same hours, without their values
+    return effective, days.day_scores(hours.scored(effective, rules), steps, rules=rules)
 
 
-def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES) -> Climate:
+def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> Climate:
     """merged: hours; places: station, lat, lon. The days are written once: years, months and stations read them, not the hours."""
-    effective, scored = scored_days(merged, places, rules)
+    effective, scored = scored_days(merged, places, rules, clustered)
     by_day = outputs.stored(scored, "days")
     # its rows are few (one for each station and year), and three tables are made of them
     years = outputs.stored(days.year_stats(by_day, rules=rules), "years")
@@ -80,23 +85,72 @@ def archive_hours(spark: SparkSession, paths: str | list[str], strict: bool = Fa
     return hours.merge_hours(rows, extra=[F.count("*").alias("lines")])
 
 
-def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES, cache: str | None = None, station: str | None = None) -> Climate:
+def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES, cache: str | None = None, station: str | None = None, derived: str | None = None) -> Climate:
     """Files of stations whose cadence is enough, parsed and scored. station: that one alone; its files alone are read.
 
     cache: a folder of merged hours. Files that it holds in this version, with the same size and time, are not read again; the
     others are added. Without one, the hours are written once for this run.
+    derived: a folder of results (``snapshots``). Stations whose files are as they were keep theirs; the others alone are derived, and
+    all tables of the run become current together. Hours, effective hours and days are then those of the stations derived now.
     """
+    if derived is not None:
+        if station is not None:
+            raise ValueError("derived results are those of the whole archive")
+        return _derived(spark, root, manifest_path, strict, rules, cache, derived)
     glob = f"{root}/*/{files.GLOB if station is None else f'{station}-[0-9][0-9][0-9][0-9].gz'}"
     if cache is None:
         held = outputs.stored(archive_hours(spark, glob, strict), "hours")
     else:
         held = cached_hours(spark, root, cache, strict)
         held = held if station is None else held.where(F.col("station") == station)
-    lines = held.groupBy(*KEYS).agg(F.sum("lines").alias("lines"))
-    accepted = hours.cadence_of(lines, rules=rules).where("accepted").select("station")
+    return _accepted(spark, held, manifest_path, rules)[0]
+
+
+def _accepted(spark: SparkSession, held: DataFrame, manifest_path: str, rules: Rules) -> tuple[Climate, DataFrame]:
+    """The climate of the stations whose cadence is enough, and the cadence of all. held: ``archive_hours``."""
+    cadence = hours.cadence_of(held.groupBy(*KEYS).agg(F.sum("lines").alias("lines")), rules=rules)
     places = files.manifest_file(spark, manifest_path, drop_origin=False).select(F.col("id").alias("station"), "lat", "lon")
     used = held.where(F.col("utc_date").isNotNull() & F.col("utc_hour").isNotNull())
-    return climate(compose.matched(used, accepted, ["station"]).drop("lines"), places, rules=rules)
+    return climate(compose.matched(used, cadence.where("accepted").select("station"), ["station"]).drop("lines"), places, rules=rules), cadence
+
+
+#: Raised when a station's result would come out otherwise.
+DERIVE_VERSION = 1
+#: Fixed value: why stations whose cadence is not enough are left out.
+FEW_REPORTS = "too few reports a day"
+
+
+def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, rules: Rules, cache: str | None, folder: str) -> Climate:
+    listed = files.station_files(spark, root)
+    signed = outputs.stored(outputs.signatures(listed), "signatures")  # a row for each station
+    known = snapshots.current(spark, folder)
+    old = known.tables if known else {}
+    todo = outputs.stored(outputs.to_derive(signed, DERIVE_VERSION, old.get("stations"), old.get("excluded")), "to-derive")
+    count, stations = todo.count(), signed.count()
+    if known and not count:  # at most, stations are gone
+        here = {n: compose.matched(old[n], signed, ["station"]) for n in old}
+        if known.notes["listed"] != stations:
+            here = snapshots.commit(spark, folder, here, {"listed": stations, "recomputed": 0}, known.number).tables
+        nothing = spark.createDataFrame([], T.StructType())
+        return Climate(nothing, nothing, nothing, *(here[n] for n in ("years", "months", "stations")))
+
+    if cache is not None:
+        held = compose.matched(cached_hours(spark, root, cache, strict), todo, ["station"])
+    else:
+        paths = [r["path"] for r in compose.matched(listed, todo, ["station"]).select("path").collect()]  # names only
+        held = outputs.stored(archive_hours(spark, paths, strict), "hours")
+    fresh, cadence = _accepted(spark, held, manifest_path, rules)
+    few = cadence.where("not accepted").select("station", F.lit(FEW_REPORTS).alias("reason"))
+    reasons = days.exclusions(fresh.years, rules=rules).union(few)
+    silent = todo.select("station").join(fresh.years.select("station").union(few.select("station")).distinct(), "station", "left_anti")
+    reasons = reasons.union(silent.select("station", F.lit(days.NO_DATA).alias("reason")))
+    made, marked = outputs.outcomes(fresh.stations, reasons, todo, DERIVE_VERSION)
+    tables = {"stations": made, "excluded": marked, "years": fresh.years, "months": fresh.months}
+    # a station whose files are as they were keeps its rows; one that is gone, or was derived now, loses them
+    same = signed.join(todo.select("station"), "station", "left_anti").select("station")
+    tables = {n: df.unionByName(compose.matched(old[n], same, ["station"])) if known else df for n, df in tables.items()}
+    now = snapshots.commit(spark, folder, tables, {"listed": stations, "recomputed": count}, known.number if known else 0).tables
+    return Climate(held, fresh.effective, fresh.days, now["years"], now["months"], now["stations"])
 
 
 #: Raised when the hours of a file would come out otherwise.

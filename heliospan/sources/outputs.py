@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,25 @@ def write_hours(hours: DataFrame, path: str) -> None:
     by_year(hours).write.mode("overwrite").partitionBy("file_year").parquet(path)
 
 
+BUCKETED = ("station", "file_year")
+
+
+def write_bucketed(hours: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Merged hours as a table whose files are clustered by station and year and sorted by hour within, so that everything by
+    station and year is computed where its rows lie: a plan from it to days has no exchange."""
+    writer = hours.repartition(buckets, *BUCKETED).write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *BUCKETED).sortBy(*BUCKETED, "utc_date", "utc_hour").saveAsTable(table)
+
+
+def bucketed(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
+    """The table of ``write_bucketed``, declared anew from its files where this session's catalog does not know it."""
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        by, order = ", ".join(BUCKETED), ", ".join((*BUCKETED, "utc_date", "utc_hour"))
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """A JSON object for each station with its files by year (``files.station_index``)."""
     index.orderBy("station").write.mode("overwrite").json(path)
@@ -56,11 +76,13 @@ def stations_json(stations: DataFrame) -> DataFrame:
 
 
 def write_stations(stations: DataFrame, path: str) -> None:
-    """One file with all stations as one JSON array, by id. Stations are thousands at most; their lines stream through one task."""
-    ends = stations.agg(F.min("id").alias("__first"), F.max("id").alias("__last"))
-    lines = stations_json(stations).crossJoin(F.broadcast(ends)).orderBy("id")
-    text = F.concat(F.when(F.col("id") == F.col("__first"), "[").otherwise(""), "json", F.when(F.col("id") == F.col("__last"), "]").otherwise(","))
-    lines.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One file with all stations as one JSON array, by id; an empty array for none. Stations are thousands at most; their
+    lines stream through one task."""
+    before = F.when(F.row_number().over(W.orderBy("id")) == 1, "[").otherwise(",")
+    lines = stations_json(stations).select(F.lit(1).alias("part"), "id", F.concat(before, "json").alias("value"))
+    # the bracket that ends it, and that which begins an empty one
+    end = stations.agg(F.count("*").alias("n")).select(F.lit(2).alias("part"), F.lit(None).cast(dict(stations.dtypes)["id"]).alias("id"), F.when(F.col("n") == 0, "[]").otherwise("]").alias("value"))
+    lines.union(end).coalesce(1).sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(path)
 
 
 def details_json(details: DataFrame) -> DataFrame:
