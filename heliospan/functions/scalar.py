@@ -66,11 +66,16 @@ def local_hour(hours: Column) -> Column:
     return F.pmod(hours, F.lit(24)).cast("int")
 
 
-def daylight(lat: Column, day_of_year: Column, rules: Rules = RULES) -> tuple[Column, Column]:
-    """First whole hour and end hour of daylight inside the civil window; the window itself where the latitude is unknown."""
+def half_day(lat: Column, day_of_year: Column, rules: Rules = RULES) -> Column:
+    """Hours from sunrise to noon, 0 to 12; null where the latitude is unknown."""
     tilt = F.lit(math.radians(rules.tilt)) * F.sin(F.lit(2 * math.pi / 365.0) * (day_of_year - rules.equinox))
-    c = -F.tan(F.radians(lat)) * F.tan(tilt)
-    half = F.when(c <= -1.0, 12.0).when(c >= 1.0, 0.0).when(c.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))) / 15.0)
+    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.tan(F.radians(lat)) * F.tan(tilt)))
+    return F.when(lat.isNotNull() & day_of_year.isNotNull(), F.degrees(F.acos(c)) / 15.0)
+
+
+def daylight(half: Column, rules: Rules = RULES) -> tuple[Column, Column]:
+    """First whole hour and end hour of daylight inside the civil window; the window itself where the latitude is unknown.
+    half: ``half_day``, as a column of its own, as it is used twice."""
     start = F.coalesce(F.greatest(F.lit(rules.day_start), F.ceil(12 - half).cast("int")), F.lit(rules.day_start))
     return start, F.coalesce(F.least(F.lit(rules.day_end), F.floor(12 + half).cast("int")), F.lit(rules.day_end))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heliospan.functions import scalar
 from heliospan.functions.rules import CRITERIA, RULES, Rules
-from heliospan.operators.hours import KEYS, hour_mask
+from heliospan.operators.hours import KEYS, hour_mask, step_of_days
 
 
 def longest_run(seen: Column, good: Column, step: Column) -> Column:
@@ -62,13 +62,10 @@ def day_rows(hours: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES)
     return out.withColumn("best", best).drop(*(f"score_{h}" for h in held))
 
 
-def day_scores(hours: DataFrame, steps: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
-    """One row for each day: counts, score of its best hours, indoor, gloomy, perfect and valid.
-
-    hours: scored hours; steps: ``reporting_step`` of them, a row for each file. Where both are clustered by keys, so is the
-    result, and nothing is exchanged.
-    """
-    out = day_rows(hours, keys, rules).join(steps.hint("shuffle_hash"), list(keys))
+def day_scores(rows: DataFrame, keys: Sequence[str] = KEYS, rules: Rules = RULES) -> DataFrame:
+    """One row for each day: counts, score of its best hours, indoor, gloomy, perfect and valid. rows: ``day_rows``, written,
+    as they are read twice: for the file's reporting step, and with it."""
+    out = rows.join(step_of_days(rows, keys), list(keys))
     top = F.ceil(F.lit(float(rules.top_hours)) / F.col("step")).cast("int")
     out = out.withColumn("best_run", longest_run(F.col("seen"), F.col("fine"), F.col("step")))
     need = F.when(F.col("step") == 1, rules.perfect_hours).otherwise(F.greatest(F.lit(2), F.ceil(F.lit(float(rules.perfect_hours)) / F.col("step")).cast("int")))

@@ -55,8 +55,9 @@ def localised(hours: DataFrame, stations: DataFrame, station: str = "station") -
 
 
 def with_daylight(hours: DataFrame, rules: Rules = RULES) -> DataFrame:
-    start, end = scalar.daylight(F.col("lat"), F.dayofyear("local_date"), rules)
-    return hours.withColumn("day_start", start).withColumn("day_end", end)
+    start, end = scalar.daylight(F.col("__half"), rules)
+    halved = hours.withColumn("__half", scalar.half_day(F.col("lat"), F.dayofyear("local_date"), rules))
+    return halved.withColumns({"day_start": start, "day_end": end}).drop("__half")
 
 
 def evidence(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -151,8 +152,12 @@ def gaps(mask: Column) -> Column:
 
 def reporting_step(hours: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The most common gap between a day's hours, of equal ones that seen first, within 1 to 6; 1 where there is none."""
-    by_day = hours.groupBy(*keys, "local_date").agg(hour_mask().cast("int").alias("mask"))
-    each = by_day.select(*keys, "local_date", F.inline_outer(gaps(F.col("mask"))))
+    return step_of_days(hours.groupBy(*keys, "local_date").agg(hour_mask().alias("seen")), keys)
+
+
+def step_of_days(by_day: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``reporting_step`` from the days' masks of hours (``seen``)."""
+    each = by_day.select(*keys, "local_date", F.col("seen").cast("int").alias("seen")).select(*keys, "local_date", F.inline_outer(gaps(F.col("seen"))))
     counted = each.groupBy(*keys, "gap").agg(F.sum("n").alias("n"), F.min(F.unix_date("local_date").cast("long") * 24 + F.col("first")).alias("first"))
     best = counted.groupBy(*keys).agg(F.max_by("gap", F.when(F.col("gap").isNotNull(), F.shiftleft(F.col("n"), 32) - F.col("first"))).alias("gap"))
     within = F.when(F.col("gap").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(6), F.col("gap")))).otherwise(1)  # greatest and least skip nulls

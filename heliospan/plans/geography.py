@@ -24,8 +24,8 @@ def _sql(name: str, query, sql: str) -> None:
 
 def _bounds(s: SparkSession, d: str) -> DataFrame:
     rows = points(s, d).select("s_suppkey", "lat", F.explode(F.sequence(F.lit(1), F.lit(366), F.lit(13))).alias("doy"))
-    start, end = scalar.daylight(F.col("lat"), F.col("doy"))
-    return rows.select("s_suppkey", "doy", start.alias("day_start"), end.alias("day_end"))
+    start, end = scalar.daylight(F.col("half"))
+    return rows.withColumn("half", scalar.half_day(F.col("lat"), F.col("doy"))).select("s_suppkey", "doy", start.alias("day_start"), end.alias("day_end"))
 
 
 _START, _END = daylight_sql("lat", "doy")

@@ -26,22 +26,25 @@ class Climate(NamedTuple):
     stations: DataFrame
 
 
-def scored_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Effective hours and day scores. Partitioned once by station and year, which all later groups and joins contain.
+def summed_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Effective hours and the sums of days. Partitioned once by station and year, which all later groups and joins contain.
 
     clustered: merged is so already (``outputs.bucketed``), and nothing at all is exchanged.
     """
     local = hours.localised(merged, hours.in_place(places) if clustered else places)
-    local = local if clustered else local.repartition(*KEYS)
-    effective = hours.effective_hours(local, rules=rules)
-    steps = hours.reporting_step(hours.daytime(local, rules))  # of the same hours, without their values
-    return effective, days.day_scores(hours.scored(effective, rules), steps, rules=rules)
+    effective = hours.effective_hours(local if clustered else local.repartition(*KEYS), rules=rules)
+    return effective, days.day_rows(hours.scored(effective, rules), rules=rules)
+
+
+def scored_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Effective hours and day scores. The sums of days are written once; steps and scores are made from them."""
+    effective, rows = summed_days(merged, places, rules, clustered)
+    return effective, days.day_scores(outputs.stored(rows, "days"), rules=rules)
 
 
 def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> Climate:
-    """merged: hours; places: station, lat, lon. The days are written once: years, months and stations read them, not the hours."""
-    effective, scored = scored_days(merged, places, rules, clustered)
-    by_day = outputs.stored(scored, "days")
+    """merged: hours; places: station, lat, lon. Years, months and stations read the written days, not the hours."""
+    effective, by_day = scored_days(merged, places, rules, clustered)
     # its rows are few (one for each station and year), and three tables are made of them
     years = outputs.stored(days.year_stats(by_day, rules=rules), "years")
     months = days.monthly(by_day)
