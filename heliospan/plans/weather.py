@@ -24,6 +24,8 @@ class Climate(NamedTuple):
     years: DataFrame
     months: DataFrame
     stations: DataFrame
+    #: What became of each file that was read (``file_status``); None where hours were given.
+    files: DataFrame | None = None
 
 
 def summed_days(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustered: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -51,9 +53,13 @@ def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustere
     return Climate(merged, effective, by_day, years, months, days.stations(days.year_scores(years, rules), months, rules=rules))
 
 
-def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: DataFrame | None = None, degrees: float = 0.1, rows: int = 1800, columns: int = 3600, rules: Rules = RULES) -> DataFrame:
-    """Stations with a manifest row, their country, vegetation (satellite, else rain) and composite score."""
-    placed = found.stations.withColumnRenamed("station", "id").join(manifest, "id")
+def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: DataFrame | None = None, degrees: float = 0.1, rows: int = 1800, columns: int = 3600, rules: Rules = RULES, placed: DataFrame | None = None) -> DataFrame:
+    """Stations with a manifest row, their country, vegetation (satellite, else rain) and composite score.
+
+    placed: the stations with their manifest columns if they are joined already (``outputs.counted_outcomes``, written, which
+    counts them on the way).
+    """
+    placed = found.stations.withColumnRenamed("station", "id").join(manifest, "id") if placed is None else placed
     placed = placed.join(countries.withColumnRenamed("code", "country"), "country", "left").withColumn("country_name", F.coalesce("country_name", "country"))
     rain = scalar.vegetation_from_rain(F.col("avg_annual_precip_mm"), rules)
     if ndvi is None:
@@ -83,9 +89,36 @@ def details(found: Climate, rules: Rules = RULES) -> DataFrame:
 
 def archive_hours(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
     """Merged hours of raw files, with ``lines``: how many lines of the file fell to each. Lines that are no reports are a row
-    without date and hour, so that one pass over the files gives both the hours and the number of all lines."""
-    rows = files.parse(files.report_lines(spark, paths), strict, keep_dropped=True)
-    return hours.merge_hours(rows, extra=[F.count("*").alias("lines")])
+    without date and hour, so that one pass over the files gives both the hours and the number of all lines.
+
+    The same pass adds up what tells damaged files (``file_status``): ``stored``, the bytes read, and ``bad``, the malformed lines
+    if strict. A file that ends too soon does not stop the others.
+    """
+    lines = files.report_lines(spark, paths, damaged=True).withColumn("bad", files.is_malformed() if strict else F.lit(False))
+    rows = files.parse(lines, keep_dropped=True)
+    return hours.merge_hours(rows, extra=[F.count("*").alias("lines"), F.sum("stored").alias("stored"), F.count_if("bad").alias("bad")])
+
+
+#: What became of a file.
+GOOD, DAMAGED, MALFORMED = "ok", "damaged", "malformed"
+
+
+def file_status(held: DataFrame, ends: DataFrame) -> DataFrame:
+    """station, file_year, lines, bad, status of every file. held: ``archive_hours``; ends: ``files.archive_ends``.
+
+    A file is damaged if it cannot be opened, or if not all bytes came that its trailer names (or one more: the last line's end
+    is counted even if it has none); malformed if lines were found to be.
+    """
+    read = held.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("lines", "stored", "bad")))
+    both = ends.select(*KEYS, "whole", "error").join(read, list(KEYS), "left").fillna(0, ["lines", "stored", "bad"])
+    missing = F.pmod(F.col("stored") - F.col("whole"), F.lit(1 << 32))
+    status = F.when(F.col("error").isNotNull() | ~missing.isin(0, 1), DAMAGED).when(F.col("bad") > 0, MALFORMED).otherwise(GOOD)
+    return both.select(*KEYS, "lines", "bad", status.alias("status"))
+
+
+def sound(held: DataFrame, status: DataFrame) -> DataFrame:
+    """The rows of the files that are as they should be; those of the others are withheld."""
+    return compose.without(held, status.where(F.col("status") != GOOD), list(KEYS)).drop("stored", "bad")
 
 
 def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES, cache: str | None = None, station: str | None = None, derived: str | None = None) -> Climate:
@@ -95,6 +128,9 @@ def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: boo
     others are added. Without one, the hours are written once for this run.
     derived: a folder of results (``snapshots``). Stations whose files are as they were keep theirs; the others alone are derived, and
     all tables of the run become current together. Hours, effective hours and days are then those of the stations derived now.
+
+    Damaged files are withheld, and the others go on: ``Climate.files`` says what became of each file that was read. strict:
+    files with malformed lines are withheld too, else what cannot be read in a line is null.
     """
     if derived is not None:
         if station is not None:
@@ -102,11 +138,19 @@ def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: boo
         return _derived(spark, root, manifest_path, strict, rules, cache, derived)
     glob = f"{root}/*/{files.GLOB if station is None else f'{station}-[0-9][0-9][0-9][0-9].gz'}"
     if cache is None:
-        held = outputs.stored(archive_hours(spark, glob, strict), "hours")
+        held, status = read_hours(spark, root, glob, strict)
+        status = status if station is None else status.where(F.col("station") == station)
     else:
-        held = cached_hours(spark, root, cache, strict)
+        held, status = cached_hours(spark, root, cache, strict)
         held = held if station is None else held.where(F.col("station") == station)
-    return _accepted(spark, held, manifest_path, rules)[0]
+    return _accepted(spark, held, manifest_path, rules)[0]._replace(files=status)
+
+
+def read_hours(spark: SparkSession, root: str, paths: str | list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The hours of the sound ones of some files of the archive, written once, and the status of these files."""
+    held = outputs.stored(archive_hours(spark, paths, strict), "hours")
+    status = outputs.stored(file_status(held, files.archive_ends(spark, root)), "status")  # a row for each file
+    return sound(held, status), status
 
 
 def _accepted(spark: SparkSession, held: DataFrame, manifest_path: str, rules: Rules) -> tuple[Climate, DataFrame]:
@@ -138,10 +182,12 @@ def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, r
         return Climate(nothing, nothing, nothing, *(here[n] for n in ("years", "months", "stations")))
 
     if cache is not None:
-        held = compose.matched(cached_hours(spark, root, cache, strict), todo, ["station"])
+        held, status = cached_hours(spark, root, cache, strict)
+        held = compose.matched(held, todo, ["station"])
     else:
         paths = [r["path"] for r in compose.matched(listed, todo, ["station"]).select("path").collect()]  # names only
-        held = outputs.stored(archive_hours(spark, paths, strict), "hours")
+        held, status = read_hours(spark, root, paths, strict)
+        status = compose.matched(status, todo, ["station"])
     fresh, cadence = _accepted(spark, held, manifest_path, rules)
     few = cadence.where("not accepted").select("station", F.lit(FEW_REPORTS).alias("reason"))
     reasons = days.exclusions(fresh.years, rules=rules).union(few)
@@ -153,24 +199,33 @@ def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, r
     same = signed.join(todo.select("station"), "station", "left_anti").select("station")
     tables = {n: df.unionByName(compose.matched(old[n], same, ["station"])) if known else df for n, df in tables.items()}
     now = snapshots.commit(spark, folder, tables, {"listed": stations, "recomputed": count}, known.number if known else 0).tables
-    return Climate(held, fresh.effective, fresh.days, now["years"], now["months"], now["stations"])
+    return Climate(held, fresh.effective, fresh.days, now["years"], now["months"], now["stations"], status)
 
 
 #: Raised when the hours of a file would come out otherwise.
 PARSE_VERSION = 1
 
 
-def cached_hours(spark: SparkSession, root: str, cache: str, strict: bool = False) -> DataFrame:
-    """The hours of all files of the archive from the cache, after what is new or changed was added to it."""
+def cached_hours(spark: SparkSession, root: str, cache: str, strict: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The hours of all sound files of the archive from the cache, after what is new or changed was added to it, and the status of
+    the files that were read for that (None if none was).
+
+    A station-year lies in one file of the cache, so a damaged file of the cache loses whole ones, which are read anew. Files that
+    are withheld are not added, so they are tried again.
+    """
     known = outputs.read_versioned(spark, cache, PARSE_VERSION)
     listed = files.station_files(spark, root)
     signed = [*KEYS, "size", "modified"]
-    paths = [r["path"] for r in outputs.to_process(listed, known, signed).select("path").collect()]  # names only
+    todo = outputs.stored(outputs.to_process(listed, known, signed), "to-read")  # a row for each file
+    paths = [r["path"] for r in todo.select("path").collect()]  # names only
+    status = None
     if paths:
-        made = archive_hours(spark, paths, strict).join(listed.select(*signed), list(KEYS))
+        held, status = read_hours(spark, root, paths, strict)
+        status = compose.matched(status, todo, list(KEYS))
+        made = held.join(listed.select(*signed), list(KEYS))
         outputs.by_year(made.withColumn("version", F.lit(PARSE_VERSION))).write.mode("append").partitionBy("file_year").parquet(cache)
         known = outputs.read_versioned(spark, cache, PARSE_VERSION)
-    return compose.matched(known, listed, signed).drop("size", "modified")
+    return compose.matched(known, listed, signed).drop("size", "modified"), status
 
 
 def inspect(spark: SparkSession, root: str, manifest_path: str, station: str, rules: Rules = RULES) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliospan.functions import reports, scalar
+from heliospan.sources import ranged
 
 YEARS = (2010, 2025)
 #: The same as a path pattern, so that other files are not opened.
@@ -45,14 +46,16 @@ def with_files(ids: DataFrame, index: DataFrame) -> DataFrame:
     return ids.join(index, "station", "left").withColumn("files", F.coalesce("files", F.array().cast(kind)))
 
 
-def report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def report_lines(spark: SparkSession, paths: str | Sequence[str], damaged: bool = False) -> DataFrame:
     """station, file_year, line_no, line (ISO-8859-1, one character for each byte). Lines end at \\n; one \\r before it is dropped.
 
-    A gzip file is one split, so line numbers in a partition are in file order.
+    A gzip file is one split, so line numbers in a partition are in file order. damaged: a file that cannot be read to its
+    end gives the lines before, and ``stored``, the bytes of each line with its end, tells who adds them up.
     """
-    raw = spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths))
+    raw = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", str(damaged).lower()).text(paths if isinstance(paths, str) else list(paths))
     line = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), "\r$", "")
-    out = raw.select(F.col("_metadata.file_path").alias("path"), line.alias("line"), F.monotonically_increasing_id().alias("line_no"))
+    size = [(F.octet_length("value") + 1).alias("stored")] if damaged else []
+    out = raw.select(F.col("_metadata.file_path").alias("path"), line.alias("line"), F.monotonically_increasing_id().alias("line_no"), *size)
     return out.withColumns(name_parts(F.col("path"))).where("known").drop("known", "path")
 
 
@@ -69,12 +72,16 @@ def parse(lines: DataFrame, strict: bool = False, line: str = "line", keep_dropp
 
 def malformed(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines whose mandatory numbers cannot be read: the quarantine beside a lenient parse."""
+    return lines.where(is_malformed(line))
+
+
+def is_malformed(line: str = "line") -> Column:
     bad = F.lit(False)
     for start, end, missing in ((65, 69, "9999"), (87, 92, "+9999"), (93, 98, "+9999")):
         text = F.trim(reports.field(F.col(line), start, end))
         bad = bad | ((text != missing) & text.try_cast("int").isNull())
     stamp = F.try_to_date(reports.field(F.col(line), 15, 23), "yyyyMMdd")
-    return lines.where((F.length(line) >= reports.MANDATORY) & (bad | stamp.isNull()))
+    return F.coalesce((F.length(line) >= reports.MANDATORY) & (bad | stamp.isNull()), F.lit(False))
 
 
 def line_estimate(sample_bytes: Column, sample_newlines: Column, file_bytes: Column) -> Column:
@@ -82,30 +89,43 @@ def line_estimate(sample_bytes: Column, sample_newlines: Column, file_bytes: Col
     return F.when((sample_bytes == 0) | (sample_newlines == 0), 0.0).otherwise(sample_newlines / F.nullif(sample_bytes, F.lit(0)) * file_bytes)
 
 
-SAMPLE_BYTES = 64 << 10
+def archive_ends(spark: SparkSession, root: str) -> DataFrame:
+    """station, file_year and the ends of each file of the archive (``ranged.ArchiveEnds``), read by range.
 
+    Where Arrow has no file system for the path's scheme, Spark reads the files whole.
+    """
+    if ranged.reachable(root):
+        ranged.register(spark)
+        ends = spark.read.format("archive_ends").option("pattern", GLOB).load(root)
+    else:
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
+        cut = held.select("path", F.col("length").alias("size"), F.substring("content", 1, ranged.SAMPLE_BYTES).alias("head"), F.substring("content", -4, 4).alias("tail"))
+        ends = cut.mapInArrow(_unpack, "path string, size bigint, cost bigint, bytes bigint, newlines bigint, whole bigint, error string")
+    return ends.withColumns(name_parts(F.col("path"))).where("known").drop("known").where(F.col("file_year").between(*YEARS))
 
-def estimated_lines(spark: SparkSession, root: str) -> DataFrame:
-    """station, file_year, path, lines: estimated from the first SAMPLE_BYTES of each gzip file and the length in its trailer
-    (modulo 2^32), so that the rest need not be unpacked; 0 where the sample holds no line end."""
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
-    ends = held.select("path", F.substring("content", 1, SAMPLE_BYTES).alias("head"), F.substring("content", -4, 4).alias("tail"))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, lines, whole = [], [], []
-            for head, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                try:
-                    sample = zlib.decompressobj(wbits=31).decompress(head)
-                except zlib.error:
-                    sample = b""
-                sizes.append(float(len(sample)))
-                lines.append(float(sample.count(b"\n")))
-                whole.append(float(int.from_bytes(tail, "little")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (sizes, lines, whole))], names=["path", "bytes", "newlines", "size"])
-
-    found = ends.mapInArrow(unpack, "path string, bytes double, newlines double, size double").withColumns(name_parts(F.col("path")))
-    return found.where("known").select("station", "file_year", "path", line_estimate(F.col("bytes"), F.col("newlines"), F.col("size")).alias("lines"))
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        path, size, head, tail = (c.to_pylist() for c in batch.columns)
+        samples = [ranged.unpacked(h) for h in head]
+        columns = [path, size, size, [b for b, _ in samples], [n for _, n in samples], [int.from_bytes(t, "little") for t in tail]]
+        kinds = [pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.nulls(len(path), pa.string())], names=["path", "size", "cost", "bytes", "newlines", "whole", "error"])
+
+
+def estimated_lines(spark: SparkSession, root: str) -> DataFrame:
+    """station, file_year, path, lines, cost: lines estimated from the first 64 KB of each gzip file and the length in its
+    trailer (modulo 2^32); 0 where the sample holds no line end. cost: bytes of the file that were read."""
+    ends = archive_ends(spark, root)
+    lines = line_estimate(F.col("bytes").cast("double"), F.col("newlines").cast("double"), F.col("whole").cast("double"))
+    return ends.select("station", "file_year", "path", lines.alias("lines"), "cost")
+
+
+def estimate_error(estimated: DataFrame, counted: DataFrame) -> DataFrame:
+    """files, median and p95: how far estimates are from counted lines (station, file_year, lines), as shares of these."""
+    both = estimated.join(counted.withColumnRenamed("lines", "counted"), ["station", "file_year"])
+    error = F.try_divide(F.abs(F.col("lines") - F.col("counted")), F.col("counted"))
+    return both.agg(F.count("*").alias("files"), F.percentile_approx(error, 0.5).alias("median"), F.percentile_approx(error, 0.95).alias("p95"))
 
 
 def manifest(rows: DataFrame, drop_origin: bool = True) -> DataFrame:

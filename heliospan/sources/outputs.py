@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -121,11 +121,11 @@ def write_versioned(df: DataFrame, path: str, version: int) -> None:
 
 
 def read_versioned(spark: SparkSession, path: str, version: int) -> DataFrame | None:
-    """The rows written by this version, None where nothing can be read."""
+    """The rows written by this version, None where nothing can be read. Damaged files are passed over."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path).where(F.col("version") == version).drop("version")
+        return spark.read.option("ignoreCorruptFiles", "true").parquet(path).where(F.col("version") == version).drop("version")
     except AnalysisException:
         return None
 
@@ -157,6 +157,17 @@ def to_derive(signed: DataFrame, version: int, *known: DataFrame | None) -> Data
     return out
 
 
+def counted_outcomes(ids: DataFrame, derived: DataFrame, manifest: DataFrame) -> tuple[DataFrame, Observation]:
+    """The published stations: derived and manifest columns of ids, and an observation of how many of the ids are published, have
+    no derived result, or no manifest row. It is filled by the job that writes the stations, so nothing is joined twice."""
+    seen = ids.select(F.col("station").alias("id")).join(derived.withColumnRenamed("station", "id").withColumn("__derived", F.lit(1)), "id", "left")
+    seen = seen.join(manifest.withColumn("__manifest", F.lit(1)), "id", "left")
+    has, placed = F.col("__derived").isNotNull(), F.col("__manifest").isNotNull()
+    observed = Observation("outcomes")
+    counts = {"published": has & placed, "without derived data": ~has, "without manifest match": has & ~placed}
+    return seen.observe(observed, *(F.count_if(c).alias(n) for n, c in counts.items())).where(has & placed).drop("__derived", "__manifest"), observed
+
+
 def publish_misses(ids: DataFrame, derived: DataFrame, manifest: DataFrame) -> DataFrame:
     """How many of the stations are published, without a derived result, or without a manifest row."""
     has: Column = F.when(F.col("__derived").isNull(), "without derived data").when(F.col("__manifest").isNull(), "without manifest match").otherwise("published")

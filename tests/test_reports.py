@@ -128,7 +128,7 @@ def test_reads_raw_files_once(spark, tmp_path):
     root = tmp_path / "isd"
     write_archive(root, years=(2021, 2022))
     cache = str(tmp_path / "cache")
-    first = weather.cached_hours(spark, str(root), cache)
+    first, _ = weather.cached_hours(spark, str(root), cache)
     assert "FileScan text" not in plan(first) and {r["n"] for r in first.groupBy("file_year").agg(F.count("*").alias("n")).collect()} == {8760}
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").rglob("*.parquet")}
     write_archive(root, years=(2023,))
@@ -138,7 +138,7 @@ def test_reads_raw_files_once(spark, tmp_path):
     assert all(f.stat().st_mtime_ns == t for f, t in before.items())
     assert "text" not in plan(again.hours) and "utc_hour" not in plan(again.stations) and "utc_hour" not in plan(again.months)
     write_archive(root, years=(2023,))  # written again: only its newest hours count
-    assert weather.cached_hours(spark, str(root), cache).count() == 3 * 8760
+    assert weather.cached_hours(spark, str(root), cache)[0].count() == 3 * 8760
 
 
 def test_inspect(spark, tmp_path):
