@@ -11,13 +11,15 @@ Targets name values; all other values (null too) share the rest as one value. So
 over all documents. The draw of a document depends on its key alone.
 
 Defined results: null texts have 0 tokens; cells with no tokens have weight 0 and probability 1 (they cost nothing);
-target shares of values that have no tokens go to the others in proportion. Rows with equal keys share their draw. An
+target shares of values that have no tokens go to the others in proportion; targets that cannot be met together
+give the last sweep's fit, with a warning that says by how much shares miss them (``calibrate(exact=True)`` raises), and ``achieved`` shows it. Rows with equal keys share their draw. An
 empty table stays empty. Texts are read whole, in bounded pieces of rows; a long one only by itself. Other columns pass
 through; the columns made here are replaced, and the names __tokens and __topic are reserved.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from heliospan.llm.common import UNIFORM_SQL, extended, table, uniform
 from heliospan.llm.texts import joined, pieces, runs
 
-SWEEPS = 25
+#: Sweeps at least, and those without progress after which targets count as out of reach.
+SWEEPS, STALL = 25, 1000
+#: Largest miss of a target share that counts as met.
+TOLERANCE = 1e-6
 MAX_CELLS = 100_000
 OTHER = "(other)"
 BUDGET = 0.8
@@ -78,17 +83,33 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("*", value).toDF(*(f"__{i}" for i in range(width + 1))).mapInArrow(describe, schema)
 
 
-def rake(mass: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
-    """mass, scaled along each axis in turn so that its marginals are the target shares of its sum."""
+def missed(fitted: np.ndarray, goals: list[np.ndarray]) -> float:
+    """The largest distance of a marginal from its goal, as a share of the sum."""
+    total = fitted.sum()
+    sums = (fitted.sum(tuple(i for i in range(fitted.ndim) if i != axis)) for axis in range(fitted.ndim))
+    return max((float(np.abs(s - g).max()) / total for s, g in zip(sums, goals, strict=True)), default=0.0) if total > 0 else 0.0
+
+
+def rake(mass: np.ndarray, targets: list[np.ndarray], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """mass, scaled along each axis in turn so that its marginals are the target shares of its sum; and by how much they miss.
+
+    At least so many sweeps, and on until the largest miss is within the tolerance. Targets that cannot be met together (two
+    dimensions that go hand in hand, with other shares) never are: it ends when STALL sweeps bring no tenth less.
+    """
     total, fitted = mass.sum(), mass.astype(float)
-    for _ in range(sweeps if total > 0 else 0):
-        for axis, shares in enumerate(targets):
-            other = tuple(i for i in range(mass.ndim) if i != axis)
-            now = fitted.sum(other)
-            goal = np.where(now > 0, shares, 0.0)
-            goal = goal / goal.sum() * total if goal.sum() > 0 else now
+    goals = []
+    for axis, shares in enumerate(targets):
+        there = mass.sum(tuple(i for i in range(mass.ndim) if i != axis))
+        goal = np.where(there > 0, shares, 0.0)
+        goals.append(goal / goal.sum() * total if goal.sum() > 0 else there.astype(float))
+    done, miss, best, since = 0, 0.0, np.inf, 0
+    while total > 0 and (done < sweeps or (miss > tolerance and since < STALL)):
+        for axis, goal in enumerate(goals):
+            now = fitted.sum(tuple(i for i in range(mass.ndim) if i != axis))
             fitted = fitted * np.divide(goal, now, out=np.zeros_like(now), where=now > 0).reshape([-1 if i == axis else 1 for i in range(mass.ndim)])
-    return fitted
+        done, miss = done + 1, missed(fitted, goals)
+        best, since = (miss, 0) if miss < 0.9 * best else (best, since + 1)
+    return fitted, miss
 
 
 def reachable(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
@@ -100,8 +121,11 @@ def reachable(mass: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray
     return np.where(held, np.minimum(1.0, scale * weight), 1.0)
 
 
-def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column, targets: Targets, key: str = "doc_id", budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
-    """docs with tokens, cell, weight, probability, draw and kept. columns: the value of each dimension of targets."""
+def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column, targets: Targets, key: str = "doc_id", budget: float = BUDGET, sweeps: int = SWEEPS, exact: bool = False) -> DataFrame:
+    """docs with tokens, cell, weight, probability, draw and kept. columns: the value of each dimension of targets.
+
+    exact: targets that cannot be met together are an error, else a warning that says by how much they are missed.
+    """
     spark, names = docs.sparkSession, list(targets)
     values = {d: [*sorted(targets[d]), OTHER] for d in names}
     shape = [len(values[d]) for d in names]
@@ -118,7 +142,12 @@ def calibrate(docs: DataFrame, columns: Mapping[str, Column], n_tokens: Column,
     for d in names:
         named = np.array([float(targets[d][v]) for v in values[d][:-1]])
         shares.append(np.append(named, max(0.0, 1.0 - named.sum())))
-    fitted = rake(mass, shares, sweeps)
+    fitted, miss = rake(mass, shares, sweeps)
+    if miss > TOLERANCE:
+        told = f"the targets cannot be met together: shares miss them by up to {miss:.6f}"
+        if exact:
+            raise ValueError(told)
+        warnings.warn(told, stacklevel=2)
     weight = np.divide(fitted, mass, out=np.zeros_like(fitted), where=mass > 0)
     p = reachable(mass, weight, budget)
     made = [(*(values[d][i] for d, i in zip(names, at, strict=True)), float(weight[at]), float(p[at])) for at in np.ndindex(*shape)]

@@ -490,10 +490,10 @@ def test_mixing(spark, texts):
     rng = np.random.default_rng(5)
     mass = rng.integers(1, 1000, (3, 4, 2)).astype(float)
     shares = [np.array([0.2, 0.3, 0.5]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]
-    fitted = mixing.rake(mass, shares, 60) / mass.sum()
+    fitted = mixing.rake(mass, shares, 60)[0] / mass.sum()
     for axis, goal in enumerate(shares):
         assert np.allclose(fitted.sum(tuple(i for i in range(3) if i != axis)), goal, atol=1e-6)
-    short = mixing.rake(mass, shares) / mass.sum()  # the sweeps of the query are enough
+    short = mixing.rake(mass, shares)[0] / mass.sum()  # the sweeps of the query are enough
     assert max(abs(short.sum(tuple(i for i in range(3) if i != axis)) - goal).max() for axis, goal in enumerate(shares)) < 1e-4
     docs = make(spark, texts).withColumn("weight", F.lit("clash")).union(spark.createDataFrame([(None, None, None, None, None, "x")], DOCS + ", weight string"))
     rows = mixing.mixed(docs).collect()
@@ -529,6 +529,23 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(mixing.reachable(mass, weight, 0.8), [0.4, 0.8 * 95 / 90, 1]) and (mixing.reachable(0 * mass, weight, 0.8) == 1).all()
 
 
+def test_mixing_says_when_targets_are_out_of_reach(spark):
+    """Source and language go hand in hand: their shares cannot differ. A slow fit that does get there goes on past the least sweeps."""
+    rows = [(i, "one two three", *(("en", "src0") if i % 2 else ("fr", "src9")), 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    columns = {"source": F.col("source"), "lang": F.col("lang")}
+    targets = {"source": {"src0": 0.7}, "lang": {"en": 0.3}}
+    with pytest.warns(UserWarning, match="miss them by up to 0.4"):
+        out = mixing.calibrate(docs, columns, F.lit(3), targets)
+    shown = {(r["dimension"], r["value"]): r["expected"] for r in mixing.achieved(out, targets).collect()}
+    assert abs(shown["source", "src0"] - shown["lang", "en"]) < 1e-9
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.calibrate(docs, columns, F.lit(3), targets, exact=True)
+    slow = np.array([[1.0, 1000.0], [1000.0, 1.0]])
+    fitted, miss = mixing.rake(slow, [np.array([0.9, 0.1]), np.array([0.9, 0.1])], 1)
+    assert miss <= mixing.TOLERANCE and np.allclose(fitted.sum(0) / fitted.sum(), [0.9, 0.1], atol=1e-5)
+
+
 @pytest.fixture(scope="module")
 def folder(spark, texts, tmp_path_factory):
     """documents and labels as the driver gives them, with nulls, repeats, empty and long texts."""
