@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,22 +23,69 @@ def class_at(points: DataFrame, raster: DataFrame, degrees: float, rows: int, co
     return found.fillna(0, [out])
 
 
-def nearest_ring(points: DataFrame, raster: DataFrame, key: str, degrees: float, rows: int, columns: int, rings: int = 3) -> DataFrame:
+#: Cells around a tile that it holds too, so that a point's rings lie in one tile.
+HALO = 3
+MONTHS = 12
+
+
+def tile_size(columns: int, most: int = 64) -> int:
+    """Cells of a tile's side: the largest divisor of the raster's columns up to ``most``, so that tiles wrap at 180 degrees."""
+    return max(n for n in range(1, most + 1) if columns % n == 0)
+
+
+def tile_cells(size: int) -> int:
+    return size + 2 * HALO
+
+
+def tiles(raster: DataFrame, rows: int, columns: int) -> DataFrame:
+    """trow, tcol, data: a tile store made from cells (row, col, m: array of 12 bytes). A tile is one row, its cells line by line
+    with their months together, its halo wrapped at 180 degrees; cells that the raster lacks are zeros.
+
+    A cell goes to its own tile and to those whose halo it is in, four at most; a tile has a fixed size, so a task holds one at a time.
+    """
+    size, wide = tile_size(columns), tile_cells(tile_size(columns))
+    ends = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - HALO) / size), F.floor((F.col(c) + HALO) / size)))
+    dealt = raster.select("row", "col", "m", F.explode(ends("row")).alias("trow")).select("*", F.explode(ends("col")).alias("t"))
+    dealt = dealt.where(F.col("trow").between(0, (rows - 1) // size))
+    at = (F.col("row") - F.col("trow") * size + HALO) * wide + F.col("col") - F.col("t") * size + HALO
+    dealt = dealt.select(F.col("trow").cast("int").alias("trow"), F.pmod(F.col("t"), F.lit(columns // size)).cast("int").alias("tcol"), at.cast("int").alias("at"), "m")
+
+    def fill(cells: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((wide * wide, MONTHS), np.uint8)
+        out[cells["at"].to_numpy()] = np.stack(cells["m"].to_numpy())
+        return pd.DataFrame({"trow": cells["trow"].iloc[:1], "tcol": cells["tcol"].iloc[:1], "data": [out.tobytes()]})
+
+    return dealt.groupBy("trow", "tcol").applyInPandas(fill, "trow int, tcol int, data binary")
+
+
+def nearest_ring(points: DataFrame, store: DataFrame, key: str, degrees: float, rows: int, columns: int, rings: int = HALO) -> DataFrame:
     """Monthly values of the first ring of cells around a point that has any land; null values if none has within ``rings``.
 
-    raster: row, col, m (array of 12 bytes; the cell counts if January is not 0). Each point has (2 rings + 1)^2
-    candidate cells, joined by their numbers; rows are clamped, columns wrap.
+    store: ``tiles`` (a cell is land if January is not 0). A point meets one row, its tile, and its cells are picked from the tile's
+    bytes by their place; rows beyond the raster are no land, columns wrap.
     """
+    if not 0 <= rings <= HALO:
+        raise ValueError(f"a tile holds {HALO} rings")
+    size, wide, across = tile_size(columns), tile_cells(tile_size(columns)), 2 * rings + 1
     row, col = grid_cell(F.col("lat"), F.col("lon"), degrees, rows, columns)
-    around = F.sequence(F.lit(-rings), F.lit(rings))
-    cells = points.withColumn("__row", row).withColumn("__col", col).select(key, "__row", "__col", F.explode(around).alias("dr")).select(key, "__row", "__col", "dr", F.explode(around).alias("dc"))
-    cells = cells.withColumn("row", F.col("__row") + F.col("dr")).where(F.col("row").between(0, rows - 1))
-    cells = cells.select(key, "row", F.pmod(F.col("__col") + F.col("dc"), F.lit(columns)).alias("col"), F.greatest(F.abs("dr"), F.abs("dc")).alias("ring"))
-    found = cells.join(raster.where(F.get("m", F.lit(0)) != 0), ["row", "col"])
-    by_ring = found.groupBy(key, "ring").agg(F.count("*").alias("n"), *(F.sum(F.get("m", F.lit(i))).alias(f"m{i}") for i in range(12)))
-    best = by_ring.groupBy(key).agg(F.min_by(F.struct("ring", "n", *(f"m{i}" for i in range(12))), "ring").alias("b"))
-    values = F.array(*((F.col(f"b.m{i}") / F.col("b.n") - 1) / 254.0 for i in range(12)))
-    return points.select(key).join(best.select(key, F.col("b.ring").alias("ring"), F.col("b.n").alias("cells"), values.alias("ndvi")), key, "left")
+    placed = points.select(key, row.alias("__row"), col.alias("__col"))
+    placed = placed.withColumns({"trow": F.floor(F.col("__row") / size).cast("int"), "tcol": F.floor(F.col("__col") / size).cast("int")})
+    met = placed.join(store, ["trow", "tcol"], "left")
+    centre = (F.col("__row") - F.col("trow") * size + HALO) * wide + F.col("__col") - F.col("tcol") * size + HALO
+
+    def cell(n: Column) -> Column:
+        i, j = F.floor(n / across) - rings, n % across - rings
+        text = F.hex(F.substr(F.col("data"), ((F.col("__at") + i * wide + j) * MONTHS + 1).cast("int"), F.lit(MONTHS)))
+        return F.struct(F.greatest(F.abs(i), F.abs(j)).cast("int").alias("ring"), text.alias("text"))
+
+    around = F.filter(F.transform(F.sequence(F.lit(0), F.lit(across * across - 1)), cell), lambda c: F.substring(c["text"], 1, 2) != "00")
+    met = met.select(key, "data", centre.alias("__at")).select(key, around.alias("__land"))
+    met = met.select(key, "__land", F.array_min(F.transform("__land", lambda c: c["ring"])).alias("ring"))
+    met = met.select(key, "ring", F.filter("__land", lambda c: c["ring"] == F.col("ring")).alias("__near"))
+    month = lambda m: F.aggregate("__near", F.lit(0).cast("long"), lambda a, c: a + F.conv(F.substr(c["text"], (m * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(MONTHS - 1)), lambda m: (month(m) / F.size("__near") - 1) / 254.0)
+    found = F.col("ring").isNotNull()
+    return met.select(key, "ring", F.when(found, F.size("__near").cast("long")).alias("cells"), F.when(found, values).alias("ndvi"))
 
 
 def _bucket(lat: F.Column, lon: F.Column) -> tuple[F.Column, F.Column]:

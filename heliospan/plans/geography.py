@@ -50,7 +50,7 @@ _sql("class_lookup", lambda s, d: spatial.class_at(points(s, d), _cells(s, d), _
 
 
 def _ring(s: SparkSession, d: str) -> DataFrame:
-    found = spatial.nearest_ring(points(s, d), _cells(s, d), "s_suppkey", _DEG, _ROWS, _COLS)
+    found = spatial.nearest_ring(points(s, d), spatial.tiles(_cells(s, d), _ROWS, _COLS), "s_suppkey", _DEG, _ROWS, _COLS)
     return found.select("s_suppkey", "ring", "cells", *(F.round(F.get("ndvi", F.lit(m)), 9).alias(f"m{m}") for m in (0, 5, 11)))
 
 

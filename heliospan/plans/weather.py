@@ -56,6 +56,7 @@ def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustere
 def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: DataFrame | None = None, degrees: float = 0.1, rows: int = 1800, columns: int = 3600, rules: Rules = RULES, placed: DataFrame | None = None) -> DataFrame:
     """Stations with a manifest row, their country, vegetation (satellite, else rain) and composite score.
 
+    ndvi: the vegetation raster, as a tile store (``files.raster_tiles``) or as cells.
     placed: the stations with their manifest columns if they are joined already (``outputs.counted_outcomes``, written, which
     counts them on the way).
     """
@@ -66,7 +67,8 @@ def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: Dat
         placed = placed.withColumns({"avg_vegetation": rain, "avg_ndvi": F.lit(None).cast("double"), "vegetation_lush_months": F.lit(None).cast("int"), "vegetation_source": F.lit("rain")})
     else:
         temps = days.profile_arrays(days.monthly_profile(compose.matched(found.months, days.year_scores(found.years, rules), list(KEYS)))).select(F.col("station").alias("id"), F.col("temp").alias("__temp"))
-        cells = spatial.nearest_ring(placed.select("id", "lat", "lon"), ndvi, "id", degrees, rows, columns).select("id", F.col("ndvi").alias("__ndvi"))
+        store = spatial.tiles(ndvi, rows, columns) if "m" in ndvi.columns else ndvi
+        cells = spatial.nearest_ring(placed.select("id", "lat", "lon"), store, "id", degrees, rows, columns).select("id", F.col("ndvi").alias("__ndvi"))
         placed = placed.join(cells, "id", "left").join(temps, "id", "left")
         green = scalar.vegetation(F.col("__ndvi"), F.col("__temp"), rules)
         seen = F.col("__ndvi").isNotNull()
