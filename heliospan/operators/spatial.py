@@ -150,6 +150,11 @@ def climatology(cells: DataFrame, factor: int, least_land: float = 0.02) -> Data
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value").cast("double")))
     boxes = cells.groupBy("month", F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col"))
     boxes = boxes.agg(F.avg(F.when(F.col("value").isNotNull(), value)).alias("value"), (F.count("value") / F.count("*")).alias("land"))
+    return coded(boxes, least_land)
+
+
+def coded(boxes: DataFrame, least_land: float = 0.02) -> DataFrame:
+    """row, col, m of ``climatology`` from its boxes: month, row, col, value (mean over land), land (its share)."""
     months = boxes.where(F.col("land") > least_land).withColumn("code", (1 + F.rint(254.0 * F.col("value"))).cast("int"))
     held = months.groupBy("row", "col").agg(F.map_from_entries(F.collect_list(F.struct("month", "code"))).alias("by_month"), F.rint(F.avg("code")).cast("int").alias("mean"))
     code = lambda m: F.coalesce(F.try_element_at("by_month", m), F.col("mean"))
