@@ -53,7 +53,7 @@ def climate(merged: DataFrame, places: DataFrame, rules: Rules = RULES, clustere
     return Climate(merged, effective, by_day, years, months, days.stations(days.year_scores(years, rules), months, rules=rules))
 
 
-def publish(found: Climate, manifest: DataFrame, countries: DataFrame, ndvi: DataFrame | None = None, degrees: float = 0.1, rows: int = 1800, columns: int = 3600, rules: Rules = RULES, placed: DataFrame | None = None) -> DataFrame:
+def publish(found: Climate, manifest: DataFrame | None, countries: DataFrame, ndvi: DataFrame | None = None, degrees: float = 0.1, rows: int = 1800, columns: int = 3600, rules: Rules = RULES, placed: DataFrame | None = None) -> DataFrame:
     """Stations with a manifest row, their country, vegetation (satellite, else rain) and composite score.
 
     ndvi: the vegetation raster, as a tile store (``files.raster_tiles``) or as cells.
@@ -123,7 +123,7 @@ def sound(held: DataFrame, status: DataFrame) -> DataFrame:
     return compose.without(held, status.where(F.col("status") != GOOD), list(KEYS)).drop("stored", "bad")
 
 
-def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES, cache: str | None = None, station: str | None = None, derived: str | None = None) -> Climate:
+def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: bool = False, rules: Rules = RULES, cache: str | None = None, station: str | None = None, derived: str | None = None, only: DataFrame | None = None) -> Climate:
     """Files of stations whose cadence is enough, parsed and scored. station: that one alone; its files alone are read.
 
     cache: a folder of merged hours. Files that it holds in this version, with the same size and time, are not read again; the
@@ -131,13 +131,15 @@ def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: boo
     derived: a folder of results (``snapshots``). Stations whose files are as they were keep theirs; the others alone are derived, and
     all tables of the run become current together. Hours, effective hours and days are then those of the stations derived now.
 
+    only: the stations (station) that the archive is taken to have, with derived results.
+
     Damaged files are withheld, and the others go on: ``Climate.files`` says what became of each file that was read. strict:
     files with malformed lines are withheld too, else what cannot be read in a line is null.
     """
     if derived is not None:
         if station is not None:
             raise ValueError("derived results are those of the whole archive")
-        return _derived(spark, root, manifest_path, strict, rules, cache, derived)
+        return _derived(spark, root, manifest_path, strict, rules, cache, derived, only)
     glob = f"{root}/*/{files.GLOB if station is None else f'{station}-[0-9][0-9][0-9][0-9].gz'}"
     if cache is None:
         held, status = read_hours(spark, root, glob, strict)
@@ -169,8 +171,9 @@ DERIVE_VERSION = 1
 FEW_REPORTS = "too few reports a day"
 
 
-def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, rules: Rules, cache: str | None, folder: str) -> Climate:
+def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, rules: Rules, cache: str | None, folder: str, only: DataFrame | None) -> Climate:
     listed = files.station_files(spark, root)
+    listed = listed if only is None else compose.matched(listed, only, ["station"])
     signed = outputs.stored(outputs.signatures(listed), "signatures")  # a row for each station
     known = snapshots.current(spark, folder)
     old = known.tables if known else {}
@@ -184,7 +187,7 @@ def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, r
         return Climate(nothing, nothing, nothing, *(here[n] for n in ("years", "months", "stations")))
 
     if cache is not None:
-        held, status = cached_hours(spark, root, cache, strict)
+        held, status = cached_hours(spark, root, cache, strict, only)
         held = compose.matched(held, todo, ["station"])
     else:
         paths = [r["path"] for r in compose.matched(listed, todo, ["station"]).select("path").collect()]  # names only
@@ -208,15 +211,16 @@ def _derived(spark: SparkSession, root: str, manifest_path: str, strict: bool, r
 PARSE_VERSION = 1
 
 
-def cached_hours(spark: SparkSession, root: str, cache: str, strict: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def cached_hours(spark: SparkSession, root: str, cache: str, strict: bool = False, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The hours of all sound files of the archive from the cache, after what is new or changed was added to it, and the status of
-    the files that were read for that (None if none was).
+    the files that were read for that (None if none was). only: the stations (station) to take.
 
     A station-year lies in one file of the cache, so a damaged file of the cache loses whole ones, which are read anew. Files that
     are withheld are not added, so they are tried again.
     """
     known = outputs.read_versioned(spark, cache, PARSE_VERSION)
     listed = files.station_files(spark, root)
+    listed = listed if only is None else compose.matched(listed, only, ["station"])
     signed = [*KEYS, "size", "modified"]
     todo = outputs.stored(outputs.to_process(listed, known, signed), "to-read")  # a row for each file
     paths = [r["path"] for r in todo.select("path").collect()]  # names only

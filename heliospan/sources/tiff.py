@@ -120,6 +120,15 @@ def unpack_lzw(raw: bytes) -> bytes:
     return bytes(out)
 
 
+def open_grid(path: str) -> Grid:
+    """The tag directory of a file."""
+    if not reachable(path):
+        raise ValueError(f"no Arrow file system reads {path}")
+    system, inner = pafs.FileSystem.from_uri(path)
+    with system.open_input_file(inner) as f:
+        return directory(lambda at, size: f.read_at(size, at))
+
+
 def box_sums(spark: SparkSession, files: Sequence[tuple[str, int]], factor: int, nodata: float, scale: float, pack: int = 64) -> DataFrame:
     """month, row, total, land, cells: for each line of boxes of factor x factor cells the sums of the values over land (clipped to
     0 to 1), the cells with land and all cells, as arrays over the columns. files: path and month; all of one size.
@@ -129,12 +138,7 @@ def box_sums(spark: SparkSession, files: Sequence[tuple[str, int]], factor: int,
     """
     rows = []
     for path, month in files:
-        if not reachable(path):
-            raise ValueError(f"no Arrow file system reads {path}")
-        system, inner = pafs.FileSystem.from_uri(path)
-        with system.open_input_file(inner) as f:
-            grid = directory(lambda at, size, f=f: f.read_at(size, at))
-        rows += [(path, month, i, *ends, (path, i // pack)) for i, ends in enumerate(grid.ranges)]
+        rows += [(path, month, i, *ends, (path, i // pack)) for i, ends in enumerate(open_grid(path).ranges)]
     packs = sorted({r[5] for r in rows})
     number = {p: i for i, p in enumerate(packs)}
     blocks = spark.createDataFrame([(number[r[5]], *r[:5]) for r in rows], "pack int, path string, month int, block int, offset long, size long")
