@@ -133,14 +133,22 @@ def surface(points: DataFrame, stations: DataFrame, key: str, station: str, valu
 
 
 def inside(points: DataFrame, rings: DataFrame, key: str) -> DataFrame:
-    """Keys of points inside a polygon by the even-odd rule. rings: ring, x (array), y (array), closed by their first vertex."""
+    """Keys of points inside a polygon by the even-odd rule. rings: ring, x (array), y (array), closed by their first vertex.
+
+    Points that share a latitude, as those of a raster's line do, share its list of crossings, made once: a point joins one row, and is
+    inside if an odd number of crossings is east of it. A list is no longer than the polygons' edges at its latitude.
+    """
     edges = rings.select("ring", F.posexplode(F.arrays_zip(F.col("x").alias("x"), F.col("y").alias("y"))).alias("i", "a"), "x", "y")
     following = F.when(F.col("i") + 1 < F.size("x"), F.col("i") + 1).otherwise(0)
     edges = edges.select(F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.get("x", following).alias("x2"), F.get("y", following).alias("y2"))
     edges = edges.where("y1 <> y2").select("*", F.explode(F.sequence(F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int"))).alias("band"))
-    held = points.withColumn("band", F.floor("lat").cast("int")).join(edges, "band")
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return held.groupBy(key).agg(F.count_if(crosses).alias("n")).where(F.col("n") % 2 == 1).select(key)
+    # each latitude's crossings once, from west to east
+    lines = points.where(F.col("lat").isNotNull()).select("lat").distinct().withColumn("band", F.floor("lat").cast("int"))
+    met = lines.join(edges, "band").where((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat")))
+    at = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossings = met.groupBy("lat").agg(F.collect_list(at).alias("at"))
+    held = points.select(key, "lat", "lon").join(crossings, "lat")
+    return held.where(F.size(F.filter("at", lambda x: F.col("lon") < x)) % 2 == 1).select(key)
 
 
 def climatology(cells: DataFrame, factor: int, least_land: float = 0.02) -> DataFrame:
