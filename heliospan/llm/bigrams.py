@@ -40,7 +40,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers of one kind: their number, then their bytes by significance, compressed."""
     head = len(values).to_bytes(8, "little")
-    return head + pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), "zstd", asbytes=True) if len(values) else head
+    return head + pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), "zstd", asbytes=True) if len(values) else head
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -103,10 +103,19 @@ def _own_counts(doc: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 def _asked(cut: DataFrame, buckets: int) -> DataFrame:
-    """Of each chunk, the rows for the buckets: distinct words and pairs in the order of their keys, and their counts."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    """Of each chunk, a row for each bucket in which it has keys: distinct words and pairs in the order of their keys, and
+    their counts. A chunk has a bounded number of keys, so both rows and steps grow with the corpus, not with chunks times buckets."""
+    def cuts(keys: np.ndarray) -> dict[int, slice]:
+        """The runs of sorted keys that lie in one bucket each: no more than keys, however many buckets there are."""
+        if not len(keys):
+            return {}
+        # the bucket of a key from its upper half, in whole numbers: (key >> 32) * buckets >> 32
+        own = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        starts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist()]
+        return {int(own[a]): slice(a, b) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = slice(0, 0)
         for batch in batches:
             for r in batch.to_pylist():
                 sizes, words, numbers = unpacked(r["sizes"], np.int64), unpacked(r["words"], np.uint64), unpacked(r["numbers"], np.uint32)
@@ -115,12 +124,11 @@ def _asked(cut: DataFrame, buckets: int) -> DataFrame:
                 pairs, at = np.unique(keys, return_inverse=True)
                 found = np.stack([_sums(numbers[x], [flags[x], ~flags[x]], len(words)) for x in (slice(None), last)]).reshape(4, -1)
                 both = _sums(at, [flags[second], ~flags[second]], len(pairs))
-                bounds = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (words, pairs)]
-                for i in range(buckets):
-                    w, p = (slice(x[i], x[i + 1]) for x in bounds)
-                    if w.stop > w.start or p.stop > p.start:
-                        made = [i, r["chunk"], packed(words[w]), packed(found[:, w].reshape(-1)), packed(pairs[p]), packed(both[:, p].reshape(-1))]
-                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=["bucket", "chunk", "words", "found", "pairs", "both"])
+                of_words, of_pairs = cuts(words), cuts(pairs)
+                for i in sorted({*of_words, *of_pairs}):
+                    w, p = of_words.get(i, none), of_pairs.get(i, none)
+                    made = [i, r["chunk"], packed(words[w]), packed(found[:, w].reshape(-1)), packed(pairs[p]), packed(both[:, p].reshape(-1))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in made], names=["bucket", "chunk", "words", "found", "pairs", "both"])
 
     return cut.select("chunk", "sizes", "flags", "words", "numbers").mapInArrow(ask, "bucket long, chunk long, words binary, found binary, pairs binary, both binary")
 

@@ -315,6 +315,24 @@ def test_cross_entropy_counts_all_pairs(spark, texts, sizes, tmp_path):
     assert {r["target_loss"] for r in bigrams.scored(make(spark, [None, "!"]), F.lit(True)).collect()} == {0.0}
 
 
+def test_cross_entropy_rows_follow_the_corpus(spark):
+    """Rows for the buckets are bounded by the keys of the corpus, however many buckets there are, and each key is in its own bucket."""
+    rng = np.random.default_rng(6)
+    docs = make(spark, [prose(rng, 50, 3000) for _ in range(40)]).select("doc_id", F.lit(True).alias("t"), F.col("text").cast("binary"))
+    sent = {}
+    for name, df, chunk in (("half", docs.where("doc_id < 20"), 100), ("whole", docs, 100)):
+        asked = bigrams._asked(bigrams.chunks(df, "doc_id", chunk), 10**6).collect()
+        keys = 0
+        for r in asked:
+            for part in ("words", "pairs"):
+                held = bigrams.unpacked(r[part], np.uint64)
+                keys += len(held)
+                assert all((int(k) >> 32) * 10**6 >> 32 == r["bucket"] for k in held)
+        sent[name] = len(asked)
+        assert len(asked) <= keys
+    assert 1.8 < sent["whole"] / sent["half"] < 2.2
+
+
 def brute_jaccard(rows, least=0.8):
     sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for i, t in rows}
     parent, n = {i: i for i in sets}, collections.Counter()
