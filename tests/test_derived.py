@@ -4,7 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from test_reports import line, write_archive
+from test_reports import write_archive
 
 from heliospan.operators import days, hours
 from heliospan.plans import weather
@@ -147,4 +147,9 @@ def test_sinks(spark, tmp_path):
     assert [(r["station"], [f["file_year"] for f in r["files"]]) for r in rows] == [(STATIONS[0], [2021, 2022]), (STATIONS[1], [2022])]
     outputs.write_ids(index, str(tmp_path / "ids"))
     assert [json.loads(x)["station"] for p in sorted((tmp_path / "ids").glob("part-*")) for x in p.read_text().splitlines()] == list(STATIONS[:2])
-    assert line()  # the helper is the reports' one
+    # a cache that cannot be read is as good as none
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part-0.parquet").write_bytes(b"no parquet")
+    assert outputs.read_versioned(spark, str(tmp_path / "cache"), 1) is None and outputs.read_versioned(spark, str(tmp_path / "missing"), 1) is None
+    outputs.write_versioned(spark.range(3), str(tmp_path / "held"), 4)
+    assert outputs.read_versioned(spark, str(tmp_path / "held"), 4).count() == 3 and outputs.read_versioned(spark, str(tmp_path / "held"), 5).count() == 0
