@@ -88,11 +88,12 @@ def run(spark: SparkSession, root: str, manifest: str, out: str, countries: str
         outputs.write_details(weather.details(shown), f"{out}/details")
         return outcomes.get, ", ".join(f"{n} {k}" for k, n in outcomes.get.items())
 
-    listed = step("index", index)
-    kept = step("filter", keep)
-    step("parse", parse)
-    found = step("derive", derive)
-    told = step("publish", publish)
+    with outputs.scratch(spark):
+        listed = step("index", index)
+        kept = step("filter", keep)
+        step("parse", parse)
+        found = step("derive", derive)
+        told = step("publish", publish)
     say(f"All steps are done.\n{step.table()}")
     return told
 

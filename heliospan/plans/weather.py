@@ -143,7 +143,6 @@ def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: boo
     glob = f"{root}/*/{files.GLOB if station is None else f'{station}-[0-9][0-9][0-9][0-9].gz'}"
     if cache is None:
         held, status = read_hours(spark, root, glob, strict)
-        status = status if station is None else status.where(F.col("station") == station)
     else:
         held, status = cached_hours(spark, root, cache, strict)
         held = held if station is None else held.where(F.col("station") == station)
@@ -153,7 +152,11 @@ def from_archive(spark: SparkSession, root: str, manifest_path: str, strict: boo
 def read_hours(spark: SparkSession, root: str, paths: str | list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The hours of the sound ones of some files of the archive, written once, and the status of these files."""
     held = outputs.stored(archive_hours(spark, paths, strict), "hours")
-    status = outputs.stored(file_status(held, files.archive_ends(spark, root)), "status")  # a row for each file
+    if isinstance(paths, str):
+        ends = files.archive_ends(spark, root, paths.rsplit("/", 1)[-1])
+    else:
+        ends = files.archive_ends(spark, root, names=[p.rsplit("/", 1)[-1] for p in paths])
+    status = outputs.stored(file_status(held, ends), "status")  # a row for each file
     return sound(held, status), status
 
 

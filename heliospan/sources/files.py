@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -89,16 +90,23 @@ def line_estimate(sample_bytes: Column, sample_newlines: Column, file_bytes: Col
     return F.when((sample_bytes == 0) | (sample_newlines == 0), 0.0).otherwise(sample_newlines / F.nullif(sample_bytes, F.lit(0)) * file_bytes)
 
 
-def archive_ends(spark: SparkSession, root: str) -> DataFrame:
+#: Most names that are handed to the source one by one; of more files, all of the archive are looked at.
+NAMED = 10_000
+
+
+def archive_ends(spark: SparkSession, root: str, pattern: str = GLOB, names: Sequence[str] | None = None) -> DataFrame:
     """station, file_year and the ends of each file of the archive (``ranged.ArchiveEnds``), read by range.
 
-    Where Arrow has no file system for the path's scheme, Spark reads the files whole.
+    names: those files alone, if they are few. Where Arrow has no file system for the path's scheme, Spark reads the files whole.
     """
     if ranged.reachable(root):
         ranged.register(spark)
-        ends = spark.read.format("archive_ends").option("pattern", GLOB).load(root)
+        reader = spark.read.format("archive_ends").option("pattern", pattern)
+        if names is not None and len(names) <= NAMED:
+            reader = reader.option("only", json.dumps(list(names)))
+        ends = reader.load(root)
     else:
-        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(root)
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
         cut = held.select("path", F.col("length").alias("size"), F.substring("content", 1, ranged.SAMPLE_BYTES).alias("head"), F.substring("content", -4, 4).alias("tail"))
         ends = cut.mapInArrow(_unpack, "path string, size bigint, cost bigint, bytes bigint, newlines bigint, whole bigint, error string")
     return ends.withColumns(name_parts(F.col("path"))).where("known").drop("known").where(F.col("file_year").between(*YEARS))

@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Of each open ``scratch``, the folders that were written in it.
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, intermediate tables (``stored``) belong to who opened it: they are deleted at its end, so results must be written
+    by then."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _OWNED.pop():
+            place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place(path), True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet and read back, so that its consumers don't compute it again.
 
@@ -23,6 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="heliospan-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

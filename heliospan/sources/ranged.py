@@ -1,12 +1,13 @@
 """Ends of compressed files, read by range: the first bytes and the length in the trailer, and nothing between.
 
 ``spark.read.format("archive_ends").load(root)`` after ``register``: a partition is a pack of files, and a file costs two reads
-however large it is. Files are reached through Arrow's file systems (local, HDFS, S3, GCS, by the path's scheme).
+however large it is. Options: pattern (of names), only (a JSON list of names), sample (bytes), pack (files). Files are reached through Arrow's file systems (local, HDFS, S3, GCS, by the path's scheme).
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -38,11 +39,12 @@ class EndsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.pattern = options["path"], options.get("pattern", "*")
         self.sample, self.pack = int(options.get("sample", SAMPLE_BYTES)), int(options.get("pack", PACK))
+        self.only = frozenset(json.loads(options["only"])) if options.get("only") else None
 
     def partitions(self) -> list[Pack]:
         system, path = pafs.FileSystem.from_uri(self.root)
         listed = system.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in listed if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern))
+        files = sorted((f.path, f.size) for f in listed if f.is_file and fnmatch.fnmatch(f.base_name, self.pattern) and (self.only is None or f.base_name in self.only))
         return [Pack(files[i : i + self.pack]) for i in range(0, max(len(files), 1), self.pack)]
 
     def read(self, partition: Pack) -> Iterator[tuple]:

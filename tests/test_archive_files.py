@@ -43,6 +43,7 @@ def test_packs_of_files(spark, tmp_path):
         (tmp_path / f"f{i}.gz").write_bytes(gzip.compress(b"x\n" * i))
     ranged.register(spark)
     read = spark.read.format("archive_ends").option("pattern", "*.gz").option("pack", 3).load(str(tmp_path))
+    assert sorted(r["newlines"] for r in spark.read.format("archive_ends").option("only", '["f2.gz", "f5.gz", "x"]').load(str(tmp_path)).collect()) == [2, 5]
     assert read.rdd.getNumPartitions() == 3 and sorted(r["newlines"] for r in read.collect()) == list(range(7))
     assert spark.read.format("archive_ends").load(str(tmp_path / "nothing")).count() == 0
 

@@ -9,13 +9,14 @@ from test_reports import write_archive
 from test_tiff import write
 
 from heliospan import __main__ as command
+from heliospan.sources import outputs
 
 
 def texts(folder):
     return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
 
 
-def test_run(spark, tmp_path, capsys):
+def test_run(spark, tmp_path, capsys, monkeypatch):
     root, out = tmp_path / "isd", tmp_path / "out"
     write_archive(root, STATIONS[0])
     write_archive(root, STATIONS[1], (2021,))  # too few years
@@ -33,7 +34,11 @@ def test_run(spark, tmp_path, capsys):
         command.grid(spark, str(tmp_path / "green"), str(tmp_path / "tiles"), command.span("2019"), command.span("1-12"))
     assert command.span("7") == range(7, 8) and command.span("2015-2017") == range(2015, 2018)
 
-    told = command.run(spark, str(root), places, str(out), str(tmp_path / "countries.txt"))
+    (tmp_path / "scratch").mkdir()
+    with monkeypatch.context() as m:
+        m.setattr(outputs.tempfile, "mkdtemp", lambda **_: str(tmp_path / "scratch"))
+        told = command.run(spark, str(root), places, str(out), str(tmp_path / "countries.txt"))
+    assert list((tmp_path / "scratch").iterdir()) == []  # what lay between the steps is gone
     said = capsys.readouterr().out
     assert told == {"published": 1, "without derived data": 2, "without manifest match": 0}
     order = [said.index(f"=== {s} ===") for s in ("index", "filter", "parse", "derive", "publish")]
