@@ -88,34 +88,83 @@ def nearest_ring(points: DataFrame, store: DataFrame, key: str, degrees: float,
     return met.select(key, "ring", F.when(found, F.size("__near").cast("long")).alias("cells"), F.when(found, values).alias("ndvi"))
 
 
-def _bucket(lat: F.Column, lon: F.Column) -> tuple[F.Column, F.Column]:
-    y = F.greatest(F.lit(0), F.least(F.lit(90), F.floor((lat + 90) / BUCKET_DEGREES).cast("int")))
-    return y, F.greatest(F.lit(0), F.least(F.lit(179), F.floor((lon + 180) / BUCKET_DEGREES).cast("int")))
+#: Levels of buckets for the search of stations: sides of 2 degrees, 1, ... down to some 400 m.
+LEVELS = 10
+
+
+def _side(level: int | Column) -> Column:
+    return F.get(F.array(*(F.lit(BUCKET_DEGREES / 2**j) for j in range(LEVELS))), F.lit(level) if isinstance(level, int) else level)
+
+
+def _bucket(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
+    """Bucket of a station; the eastern edge belongs to the last column."""
+    side = BUCKET_DEGREES / 2**level
+    y = F.greatest(F.lit(0), F.least(F.lit(int(180 / side)), F.floor((lat + 90) / side).cast("int")))
+    return y, F.greatest(F.lit(0), F.least(F.lit(int(360 / side) - 1), F.floor((lon + 180) / side).cast("int")))
+
+
+def _searched(points: DataFrame, placed: DataFrame, key: str, radius_km: float, neighbours: int) -> DataFrame:
+    """The points with level, the level of their finest bucket that holds enough stations (0 if none does), and how far to search.
+
+    So many stations of one's own bucket are no farther than its diagonal, so no farther one is among the nearest. The level
+    depends on the bucket alone, so it is found once for all points of a bucket of the last level.
+    """
+    last = LEVELS - 1
+    # what is off the map has no bucket of its own
+    here = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    side = BUCKET_DEGREES / 2**last
+    cos = F.greatest(F.lit(0.05), F.cos(F.radians("lat")))
+    y = F.greatest(F.lit(0), F.least(F.lit(int(180 / side)), F.floor((F.col("lat") + 90) / side).cast("int")))
+    x = F.pmod(F.floor((F.col("lon") + 180) / side).cast("int"), F.lit(int(360 / side)))
+    own = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    own = own.select(key, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), cos.alias("__cos"), F.when(here, y).alias("__y"), x.alias("__x"))
+    levels = F.array(*(F.struct(F.lit(j).alias("level"), F.shiftright("__y", last - j).alias("iy"), F.shiftright("__x", last - j).alias("ix")) for j in range(LEVELS)))
+    full = placed.where(here).groupBy("level", "iy", "ix").agg(F.count("*").alias("n")).where(F.col("n") >= neighbours)
+    finest = own.select("__y", "__x").distinct().select("__y", "__x", F.inline(levels)).join(full, ["level", "iy", "ix"])
+    finest = finest.groupBy("__y", "__x").agg(F.max("level").alias("__finest"))
+    # a little farther, for the rounding of distances
+    diagonal = KM_PER_DEGREE * _side(F.col("__finest")) * F.sqrt(1 + F.col("__cos") * F.col("__cos")) * (1 + 1e-9)
+    reach = F.coalesce(F.least(F.lit(radius_km), diagonal), F.lit(radius_km))
+    return own.join(finest, ["__y", "__x"], "left").select(key, "__lat", "__lon", "__cos", F.coalesce("__finest", F.lit(0)).alias("level"), reach.alias("__reach"))
+
+
+def candidates(points: DataFrame, stations: DataFrame, key: str, station: str, value: str, radius_km: float = RADIUS_KM, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The stations met by each point before their distance is known, at least the nearest ones within the radius.
+
+    A point meets the buckets of its level (``_searched``) within its reach, so in dense regions it meets some ten times the
+    neighbours, however many stations there are. Only where its own bucket has too few does it search the whole radius.
+    """
+    places = F.array(*(F.struct(F.lit(j).alias("level"), *(c.alias(n) for n, c in zip(("iy", "ix"), _bucket(F.col("lat"), F.col("lon"), j), strict=True))) for j in range(LEVELS)))
+    y, x = _bucket(F.col("lat"), F.col("lon"), 0)
+    placed = stations.select(F.col(station), F.col("lat"), F.col("lon"), F.col(value).alias("value"), y.alias("__by"), x.alias("__bx"), F.inline(places))
+    found = _searched(points, placed, key, radius_km, neighbours)
+    side = _side(F.col("level"))
+    wide = lambda km: F.least(F.lit(180.0), km / (KM_PER_DEGREE * F.col("__cos")))
+    tall = F.col("__reach") / KM_PER_DEGREE
+    y0 = F.greatest(F.lit(0), F.floor((F.col("__lat") - tall + 90) / side).cast("int"))
+    y1 = F.least((180 / side).cast("int"), F.floor((F.col("__lat") + tall + 90) / side).cast("int"))
+    x0, x1 = (F.floor((F.col("__lon") + s * wide(F.col("__reach")) + 180) / side).cast("int") for s in (-1, 1))
+    around = (360 / side).cast("int")
+    # where the widest search begins: ties go by the order of its columns
+    first = F.floor((F.col("__lon") - wide(F.lit(radius_km)) + 180) / BUCKET_DEGREES).cast("int")
+    near = found.select(key, "level", "__lat", "__lon", "__cos", "__reach", first.alias("__first"), x0.alias("__x0"), F.least(around, x1 - x0 + 1).alias("__n"), around.alias("__around"), F.explode(F.sequence(y0, y1)).alias("iy"))
+    near = near.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__c")).withColumn("ix", F.pmod(F.col("__x0") + F.col("__c"), F.col("__around")))
+    return near.drop("__x0", "__n", "__around", "__c").join(placed, ["level", "iy", "ix"])
 
 
 def nearest_stations(points: DataFrame, stations: DataFrame, key: str, station: str, value: str, radius_km: float = RADIUS_KM, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Up to ``neighbours`` stations within the radius of each point: key, station, value, d2, place.
 
-    points: key, lat, lon. Stations are found through buckets of two degrees; ties go by bucket, then station.
+    points: key, lat, lon. Ties go by bucket of two degrees (from the south, then from the west of the radius), then station.
+    Ranking drops what is beyond the neighbours before the exchange. Points and stations without a place meet nothing.
     """
-    half = 180 // BUCKET_DEGREES
-    cos = F.greatest(F.lit(0.05), F.cos(F.radians("lat")))
-    wide = F.least(F.lit(180.0), radius_km / (KM_PER_DEGREE * cos))
-    tall = radius_km / KM_PER_DEGREE
-    y0 = F.greatest(F.lit(0), F.floor((F.col("lat") - tall + 90) / BUCKET_DEGREES).cast("int"))
-    y1 = F.least(F.lit(half), F.floor((F.col("lat") + tall + 90) / BUCKET_DEGREES).cast("int"))
-    x0, x1 = (F.floor((F.col("lon") + s * wide + 180) / BUCKET_DEGREES).cast("int") for s in (-1, 1))
-    columns = F.least(F.lit(2 * half), x1 - x0 + 1)
-    near = points.select(key, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), cos.alias("__cos"), x0.alias("__x0"), columns.alias("__n"), F.explode(F.sequence(y0, y1)).alias("iy"))
-    near = near.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__c")).withColumn("ix", F.pmod(F.col("__x0") + F.col("__c"), F.lit(2 * half)))
-    y, x = _bucket(F.col("lat"), F.col("lon"))
-    placed = stations.select(F.col(station), F.col("lat"), F.col("lon"), F.col(value).alias("value"), y.alias("iy"), x.alias("ix"))
-    met = near.join(placed, ["iy", "ix"])
+    met = candidates(points, stations, key, station, value, radius_km, neighbours)
     apart = F.col("lon") - F.col("__lon")
     apart = F.when(apart > 180, apart - 360).when(apart < -180, apart + 360).otherwise(apart)
     dx, dy = apart * F.col("__cos") * KM_PER_DEGREE, (F.col("lat") - F.col("__lat")) * KM_PER_DEGREE
-    met = met.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius_km**2)
-    place = F.row_number().over(W.partitionBy(key).orderBy("d2", "iy", "__c", station))
+    met = met.withColumn("d2", dx * dx + dy * dy).where((F.col("d2") <= radius_km**2) & (F.col("d2") <= F.col("__reach") * F.col("__reach")))
+    column = F.pmod(F.col("__bx") - F.col("__first"), F.lit(360 // BUCKET_DEGREES))
+    place = F.row_number().over(W.partitionBy(key).orderBy("d2", "__by", column, station))
     return met.withColumn("place", place).where(F.col("place") <= neighbours).select(key, station, "value", "d2", "place")
 
 
