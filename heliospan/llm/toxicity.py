@@ -7,7 +7,8 @@ A text is toxic where the log odds of P(grade > 0) reach the model's cut. The cu
 is rated by a model fitted on the other parts, and the cut with the best F-measure there is taken, in the middle between
 the two neighbouring texts (the highest such cut if several are as good; even odds if the parts have too few grades).
 
-The model is fitted on a bounded sample of graded texts (``SAMPLE_ROWS`` by hash order, a documented bound), whose sparse
+The model is fitted on a bounded sample of graded texts (the first by hash order, up to ``SAMPLE_ROWS`` texts and
+``SAMPLE_FEATURES`` features in all, documented bounds; a text has 2**BITS features at most), whose sparse
 features go through the driver to one task for each fit: the parts and the whole are fitted at the same time. A sampled
 grade of MAX_GRADES or more is refused. The weights (2**BITS numbers) are broadcast, and scoring is map-only over whole
 texts, a long one by itself.
@@ -25,15 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heliospan.llm.common import extended, table
+from heliospan.llm.common import discard, extended, saved, table
 from heliospan.llm.texts import WORD_BYTES, hashes, joined, per_row, pieces, runs
 
 BITS = 18
 #: Bytes of the word beginnings that are features beside the whole words.
 BEGINNINGS = (4, 6)
 SAMPLE_ROWS = 7000
+#: Features of all texts in the sample: 64 MB on the driver and, as sent, in each of the fits.
+SAMPLE_FEATURES = 16_000_000
 MAX_GRADES = 32
 #: Features in fewer sampled texts have no weight.
 LEAST_TEXTS = 3
@@ -183,8 +187,9 @@ def _fitted(spark: SparkSession, at: np.ndarray, bounds: np.ndarray, grades: np.
     return model
 
 
-def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "doc_id", grade: str = "grade", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """grades: (key, grade from 0). Of the graded texts, at most sample_rows are taken, those first by hash of the key; the rest is not moved."""
+def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "doc_id", grade: str = "grade", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Ordinal:
+    """grades: (key, grade from 0). Of the graded texts, at most sample_rows are taken, those first by hash of the key, and of these
+    the first that have sample_features in all; the rest is not moved. Their features lie in the shared folder until then."""
     value, named = F.col(f"`{text}`"), F.col(f"`{key}`")
     known = grades.where(F.col(key).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(F.col(grade)).cast("int").alias("__g"))
     texts = docs.where(value.isNotNull()).select(named.alias("__k"), F.xxhash64(value).alias("__h"))
@@ -198,7 +203,12 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", key: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()), lists], names=["k", "h", "grade", "features"])
 
     found = rows.select("__k", "__h", "__g", "__text").mapInArrow(extract, f"k {dict(docs.dtypes)[key]}, h long, grade int, features array<int>")
-    found = found.dropDuplicates(["k", "h"]).select("grade", "features").toArrow().combine_chunks()
+    extracted = saved(found.dropDuplicates(["k", "h"]).withColumn("size", F.size("features")), "toxicity-features")
+    # sizes of at most sample_rows texts, without their features
+    total = F.sum("size").over(W.orderBy(F.xxhash64("k"), "k", "h"))
+    within = extracted.select("k", "h", "size").withColumn("total", total).where(F.col("total") <= sample_features).select("k", "h")
+    found = extracted.join(F.broadcast(within), ["k", "h"]).select("grade", "features").toArrow().combine_chunks()
+    discard(extracted)
     if not found.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lists = found.column("features").combine_chunks()

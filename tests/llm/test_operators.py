@@ -138,6 +138,23 @@ def test_toxicity_samples_labelled_texts(spark):
         toxicity.train(docs, grades.withColumn("grade", F.lit(toxicity.MAX_GRADES)))
 
 
+def test_toxicity_sample_has_a_bound_in_features(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(toxicity, "_fitted", lambda s, at, bounds, grades: sizes.append(np.diff(bounds).tolist()))
+    # the key that comes first by hash has the longest text
+    order = [r[0] for r in spark.range(40).orderBy(F.xxhash64("id"), "id").collect()]
+    long = {order[0]: 300, order[5]: 200}
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(long.get(k, 4)))) for k in range(40)], "doc_id long, text string")
+    grades = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, grade int")
+    toxicity.train(docs, grades)
+    whole = sorted(sizes.pop())
+    for bound in (10_000, 1000, 500):
+        toxicity.train(docs, grades, sample_features=bound)
+        got = sizes.pop()
+        assert sum(got) <= bound and (bound < sum(whole) or sorted(got) == whole)
+    assert len(got) < 40
+
+
 def test_toxicity_cut():
     bounds = np.arange(0, 121, 2)
     grades = np.arange(60) // 30
