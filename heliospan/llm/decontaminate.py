@@ -6,18 +6,23 @@ the longest suffix of what was read that occurs in any item. Where that match re
 documents with more than a share of hit words, can be removed by ``clean``.
 
 An automaton has at most 2n states for n words and is built on the driver only for items under ``shard_words``; larger
-item sets are split by item into several automata, and the documents pass through one after the other, written to the
-shared folder between passes. So what is broadcast has a bound whatever the size of the item table.
+item sets are split into several automata (a longer item into pieces that share the words of a window less one, so that
+each of its windows is in one). Then a Bloom filter of all windows, made in tasks, picks the documents that may be hit, and only
+these are written to the shared folder and pass through one automaton after the other; all others are final after one read.
+What is broadcast has a bound whatever the size of the item table: an automaton, or the filter of 2^MOST_BITS bits (128 MB) at most.
+Beyond some 30 million windows the filter fills up and lets more documents through; the result is the same.
 
 Defined results: a null or empty text has no words and no hits; null or empty items match nothing; repeated items and
 item ids count once each; an item with a null id is named 'null', like one with that id; an empty item table hits nothing.
-A long text streams through by itself, and an item may have any length. Other columns of the documents are not touched.
+A long text streams through by itself, and an item may have any length. Columns named as those made here are replaced;
+other columns of the documents are not touched.
 Documents with the same id are judged on their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.llm.common import discard, extended, saved, table
-from heliospan.llm.texts import WORD_TABLE, pieces, words
+from heliospan.llm.lines import cells
+from heliospan.llm.texts import WORD_TABLE, mix, pieces, random_words, word_hashes, words
 
 WINDOW = 10
 #: Most item words in one automaton: about 250 MB on the driver and in each Python worker at the bound.
 SHARD_WORDS = 250_000
+#: Bits of the filter of windows and of one of its parts, as powers of two.
+MOST_BITS, PART_BITS = 30, 22
 MADE = "hit_words long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>"
 
 
@@ -146,37 +154,140 @@ def _zeros() -> Iterator[int]:
         yield 0
 
 
-def _shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in lists of at most shard_words words (an item alone may have more). One list is held at a time."""
+def _shards(items: DataFrame, item_id: str, text: str, shard_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in lists of at most shard_words words. One list and one item are held at a time."""
     held, size = [], 0
+    step = max(1, shard_words - window + 1)
     rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
     for row in rows.distinct().orderBy("i", "t").toLocalIterator():
-        sequence = words(bytes(row["t"]))
-        if held and size + len(sequence) > shard_words:
-            yield held
-            held, size = [], 0
-        held.append((row["i"] if row["i"] is not None else "null", sequence))
-        size += len(sequence)
+        whole = words(bytes(row["t"]))
+        # the pieces of an item that is too long begin a window before its end at the latest
+        for at in range(0, max(1, len(whole) - window + 1), step):
+            sequence = whole if len(whole) <= shard_words else whole[at : at + step + window - 1]
+            if held and size + len(sequence) > shard_words:
+                yield held
+                held, size = [], 0
+            held.append((row["i"] if row["i"] is not None else "null", sequence))
+            size += len(sequence)
+            if sequence is whole:
+                break
     yield held
 
 
+def _windows(column: pa.Array, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size, hashes of the runs of so many words of the texts and the rows that they are in; and the words of each row."""
+    hashed, bounds = word_hashes(column)
+    counts = np.diff(bounds)
+    row = np.repeat(np.arange(len(counts)), counts)
+    left = bounds[1:][row] - np.arange(len(row))
+    for k in sizes:
+        n = max(0, len(hashed) - k + 1)
+        total = np.full(n, k, np.uint64)
+        for j, factor in enumerate(random_words(k, 31)):
+            total += hashed[j : j + n] * factor
+        within = left[:n] >= k
+        yield mix(total[within]), row[:n][within], counts
+
+
+def _four(hashed: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [*cells(hashed, bits), *cells(mix(hashed.copy()), bits)]
+
+
+def window_filter(items: DataFrame, text: str, window: int, most_bits: int = MOST_BITS) -> tuple[np.ndarray, list[int]]:
+    """Bloom filter of the windows of all items (its bytes; bit i is bit i % 8 of byte i // 8), and the sizes of windows that there are.
+
+    Tasks hash the windows and send their cells by parts of the filter; a task holds one part at a time.
+    """
+    texts = items.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("t"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 0):
+            n = next(_windows(batch.column(0), [1]))[2]
+            n = n[n > 0]
+            size = np.minimum(n, window)
+            made = np.bincount(size, n - size + 1, window + 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(window + 1), pa.int32()), pa.array(made)], names=["size", "n"])
+
+    found = texts.mapInArrow(count, "size int, n long").groupBy("size").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    sizes = sorted(r["size"] for r in found)
+    bits = max(PART_BITS, min(most_bits, (16 * sum(r["n"] for r in found)).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 0):
+            at = []
+            for k, (hashed, rows, n) in zip(sizes, _windows(batch.column(0), sizes), strict=True):
+                # a shorter size is that of whole items alone
+                at += _four(hashed if k == window else hashed[n[rows] == k], bits)
+            at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.uint64)
+            cut = np.searchsorted(at, np.arange((1 << (bits - PART_BITS)) + 1, dtype=np.uint64) << np.uint64(PART_BITS))
+            at = (at & np.uint64((1 << PART_BITS) - 1)).astype("<u4")
+            parts = np.flatnonzero(cut[1:] > cut[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([at[cut[p] : cut[p + 1]].tobytes() for p in parts], pa.binary())], names=["part", "cells"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own = -1, np.zeros(1 << PART_BITS, np.uint8)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+        for batch in batches:
+            for p, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if part >= 0:
+                        yield done()
+                    part = p
+                    own[:] = 0
+                own[np.frombuffer(at, "<u4")] = 1
+        if part >= 0:
+            yield done()
+
+    out = np.zeros((1 << (bits - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
+    sent = texts.mapInArrow(send, "part int, cells binary").repartition("part").sortWithinPartitions("part")
+    for row in sent.mapInArrow(fold, "part int, bits binary").toLocalIterator():  # 2^bits / 8 bytes in all
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1), sizes
+
+
+def _suspected(docs: DataFrame, text: str, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """docs with the columns of ``hits``: those of documents that no item can hit are final, spans and items of the others are null."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    schema, at, bits = extended(docs, MADE), docs.columns.index(text), len(bitmap).bit_length() + 2
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds, seen = to_arrow_schema(schema), held.value
+        for batch in pieces(batches, at):
+            column = batch.column(at).cast(pa.binary())
+            suspect, counts = np.zeros(len(column), bool), next(_windows(column, [1]))[2]
+            for hashed, rows, _ in _windows(column, sizes):
+                for c in _four(hashed, bits):
+                    held_here = (seen[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    rows = np.where(held_here, rows, -1)
+                suspect[rows[rows >= 0]] = True
+            lists = [None if x else [] for x in suspect.tolist()]
+            made = [pa.array(x, kinds.field(k).type) for k, x in zip(("hit_words", "hit_spans", "hit_items"), (counts, lists, lists), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[f.name for f in kinds])
+
+    return docs.mapInArrow(test, schema)
+
+
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with hit_words (long: n_words), hit_spans (array of word spans [start, end)) and hit_items (array of ids).
 
-    Map-only: one pass for each list of items, one where they fit the bound.
+    Map-only where one automaton holds the items; else that goes for all documents that no window can be in.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     out = docs.drop("hit_words", "hit_spans", "hit_items")
-    before: DataFrame | None = None
-    for i, shard in enumerate(_shards(items, item_id, item_text, shard_words)):
-        held = spark.sparkContext.broadcast(Automaton(shard, window))
-        if i:
-            out = saved(out, "decontaminate")
-            if before is not None:
-                discard(before)
-            before = out
-        out = _pass(out, text, held, not i)
-    return out
+    shards = _shards(items, item_id, item_text, shard_words, window)
+    shard, following = next(shards), next(shards, None)
+    if following is None:
+        return _pass(out, text, context.broadcast(Automaton(shard, window)), True)
+    marked = _suspected(out, text, *window_filter(items, item_text, window))
+    suspects = saved(marked.where(F.col("hit_spans").isNull()), "decontaminate")
+    for shard in itertools.chain((shard, following), shards):
+        held = context.broadcast(Automaton(shard, window))
+        before, suspects = suspects, saved(_pass(suspects, text, held, False), "decontaminate")
+        discard(before)
+        held.destroy()
+    return marked.where(F.col("hit_spans").isNotNull()).unionByName(suspects)
 
 
 def _pass(docs: DataFrame, text: str, automaton: Broadcast, first: bool) -> DataFrame:
@@ -192,8 +303,8 @@ def _pass(docs: DataFrame, text: str, automaton: Broadcast, first: bool) -> Data
             for i, value in enumerate(batch.column(at).cast(pa.binary())):
                 size, s, f = automaton.value.scan(value.as_py())
                 if not first:
-                    s = _union(s + [(x["start"], x["end"]) for x in batch.column("hit_spans")[i].as_py()])
-                    f = sorted({*f, *batch.column("hit_items")[i].as_py()})
+                    s = _union(s + [(x["start"], x["end"]) for x in batch.column("hit_spans")[i].as_py() or ()])
+                    f = sorted({*f, *(batch.column("hit_items")[i].as_py() or ())})
                 n.append(size)
                 spans.append([{"start": a, "end": b} for a, b in s])
                 found.append(sorted(set(f)))

@@ -512,6 +512,31 @@ def test_decontaminate(spark, texts, shard_words):
     assert decontaminate.hits(docs.limit(0), bench).count() == 0 and decontaminate.hits(docs, bench.limit(0)).where("size(hit_items) > 0").count() == 0
 
 
+def test_decontaminate_by_parts(spark, texts, monkeypatch):
+    """Items of many automata, one longer than an automaton: the hits of brute force, and only documents that are hit are written."""
+    passage = words(texts[32])[30:90]
+    rng = np.random.default_rng(12)
+    items = [(1, b" ".join(passage).decode()), (2, "one"), (3, b" ".join(passage[50:]).decode()), *((10 + i, prose(rng, 45, 10**6)) for i in range(6))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make(spark, [*texts, items[4][1] + " and more", "x " + items[5][1][20:]]).withColumn("hit_items", F.lit("clash"))
+    written = []
+    monkeypatch.setattr(decontaminate, "saved", lambda df, name, saved=decontaminate.saved: written.append(saved(df, name)) or written[-1])
+    counts = []
+    monkeypatch.setattr(decontaminate, "discard", lambda df: counts.append(df.count()))
+    got = {r["doc_id"]: (r["hit_words"], sum(x["end"] - x["start"] for x in r["hit_spans"]), r["hit_items"]) for r in decontaminate.hits(docs, bench, shard_words=30).collect()}
+    want = brute_hits([r["text"] for r in docs.orderBy("doc_id").collect()], items)
+    assert [got[i] for i in range(len(want))] == want
+    hit = sum(n > 0 for _, n, _ in want)
+    assert len(counts) > 6 and set(counts) == {hit} and hit < len(want) / 2
+    # the filter alone: no window is missed, and a full one changes nothing
+    bitmap, sizes = decontaminate.window_filter(bench, "text", 10)
+    assert sizes == [1, 10] and np.unpackbits(bitmap).sum() <= 4 * (1 + 51 + 1 + 6 * 36)
+    monkeypatch.setattr(decontaminate, "window_filter", lambda *a: (np.full_like(bitmap, 255), sizes))
+    full = {r["doc_id"]: r["hit_items"] for r in decontaminate.hits(docs, bench, shard_words=30).collect()}
+    assert [full[i] for i in range(len(want))] == [w[2] for w in want]
+    assert decontaminate.hits(docs.limit(0), bench, shard_words=30).count() == 0
+
+
 def test_clean_cuts_short_items(spark):
     rng = np.random.default_rng(11)
     before, after = prose(rng, 40), prose(rng, 40)
