@@ -17,7 +17,8 @@ one hash within a seed, not byte by byte. Counts are combined
 before the shuffle, and hot keys only meet in joins that adaptive execution splits. The text is shuffled once.
 
 Defined results: a null text is empty. Texts under THRESHOLD bytes lose nothing. Repeated rows are texts that repeat
-each other. Matches never cross texts, and overlapping ones within a text count. Extra columns do not matter.
+each other. Matches never cross texts, and overlapping ones within a text count. A very long text goes through in pieces that
+overlap by a window, so none of its windows is lost. Extra columns do not matter. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Where a vocabulary marks the ends of words, END closes each word that is read: a
 word only, one without it anywhere. Counts are those of the greedy longest match over these tokens, not of the merges of BPE.
 
 The vocabulary is read on the driver, refused above MAX_VOCABULARY_BYTES, and broadcast. Counting is map-only. Defined
-results: a null or empty text has 0 tokens; rows are independent, so repeats and clashing extra columns do not matter.
+results: a null or empty text has 0 tokens; rows are independent, so repeats and clashing extra columns do not matter. A very
+long text is counted whole, by itself. An empty table gives an empty table.
 """
 
 from __future__ import annotations
