@@ -477,6 +477,26 @@ def test_vectors_of_any_size(spark, cells):
     assert none == [(1, "None", True), (1, "None", True), (2, "7", False)]
 
 
+@pytest.mark.parametrize("cells", [None, 3])
+def test_vectors_at_the_threshold(spark, cells):
+    """Cosines of exactly 93/100 link, whatever the vectors' lengths; the next ones below do not. A NaN label equals itself."""
+    roots = [(36, 7, 2, 1, 1), (36, 5, 5, 2, 1), (35, 11, 2, 1, 0), (35, 9, 6, 3, 0)]
+    assert all(93**2 + sum(x * x for x in r) == 100**2 for r in roots)
+    rows = []
+    for i, (root, scale) in enumerate(itertools.product(roots, (1.0, 3.0, 7.0, 1 / 3, 1e150, 2.0**-1000))):
+        at = np.eye(24)[i]  # groups at right angles to each other
+        other = [93.0, *map(float, root)]
+        rows += [(4 * i, np.kron(at, np.array([100.0, 0, 0, 0, 0, 0]) * scale)), (4 * i + 1, np.kron(at, np.array(other)))]
+        rows.append((4 * i + 2, np.kron(at, np.array([93.0 * (1 - 1e-14), *map(float, root)])) * -1))  # 1 - 1e-14 times as long a first component: below
+        rows.append((4 * i + 3, np.kron(at, np.array([-100.0, 0, 0, 0, 0, 0]))))
+    data = spark.createDataFrame([(i, [float(x) for x in v], float("nan")) for i, v in rows], "vec_id long, embedding array<double>, label double")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(data, cells=cells).collect()}
+    want = {}
+    for i in range(24):
+        want |= {4 * i: (1, 4 * i), 4 * i + 1: (1, 4 * i), 4 * i + 2: (0, 4 * i + 2), 4 * i + 3: (0, 4 * i + 3)}
+    assert got == want
+
+
 def brute_hits(texts, items, window=10):
     wins = collections.defaultdict(set)
     for k, t in items:
