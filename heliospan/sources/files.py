@@ -19,6 +19,8 @@ YEARS = (2010, 2025)
 #: The same as a path pattern, so that other files are not opened.
 GLOB = f"{'[0-9]' * 6}-{'[0-9]' * 5}-{'[0-9]' * 4}.gz"
 NAME = r"^(\d{6})-(\d{5})-(\d{4})\.gz$"
+#: Bytecode of the largest method that HotSpot compiles.
+METHOD_BYTES = 8000
 
 
 def name_parts(path: Column) -> dict[str, Column]:
@@ -60,11 +62,18 @@ def report_lines(spark: SparkSession, paths: str | Sequence[str], damaged: bool
     return out.withColumns(name_parts(F.col("path"))).where("known").drop("known", "path")
 
 
+def bounded_methods(spark: SparkSession) -> None:
+    """Operators whose fused method the JVM would not compile (over 8,000 bytes, it runs interpreted) run one by one."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(key, str(min(METHOD_BYTES, int(spark.conf.get(key)))))
+
+
 def parse(lines: DataFrame, strict: bool = False, line: str = "line", keep_dropped: bool = False) -> DataFrame:
     """Reports of the lines: short lines and summaries dropped. Strict: a malformed number fails the query.
 
     keep_dropped: those lines stay as rows with no date, hour or value, for who counts lines.
     """
+    bounded_methods(lines.sparkSession)
     at = F.col(line)
     used = F.coalesce((F.length(at) >= reports.MANDATORY) & ~F.trim(reports.field(at, 41, 46)).isin(*reports.SUMMARIES), F.lit(False))
     kept = lines.withColumn(line, F.when(used, at)) if keep_dropped else lines.where(used)

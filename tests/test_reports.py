@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from heliospan.functions import reports, scalar
 from heliospan.operators import compose, days, hours
-from heliospan.plans import weather
+from heliospan.plans import raw, weather
 from heliospan.sources import files, outputs
 from heliospan.streaming.ingest import stream_hours
 
@@ -301,3 +301,15 @@ def test_entry(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 80
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_lines_are_made_once(spark):
+    """No query on made-up lines spells them anew for its filter, and no fused method is larger than the JVM compiles."""
+    shown, limit = "spark.sql.debug.maxToStringFields", "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(shown, "1000")
+    for name in ("parse_lines", "parse_mandatory", "parse_precip_groups", "parse_cloud_groups", "present_weather", "metar_body", "wet_tokens", "metar_cloud", "malformed_lines"):
+        spark.conf.unset(limit)
+        plan = raw.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # in both branches of one CASE
+        assert plan.count("REMMET050") == 2 and int(spark.conf.get(limit)) <= 8000
+    spark.conf.unset(shown)
