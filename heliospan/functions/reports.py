@@ -36,23 +36,33 @@ def tenths(text: Column, missing: str, strict: bool = False) -> Column:
     return (value.cast("int") if strict else value.try_cast("int")) / 10.0
 
 
+def spans(line: Column) -> dict[str, Column]:
+    """The parts of the mandatory section that hold fields: a field's place is counted from the start of its text, so short texts are cut from once."""
+    return {"__stamp": field(line, 15, 25), "__kind": field(line, 41, 46), "__values": field(line, 65, 98)}
+
+
 def mandatory(line: Column, strict: bool = False) -> dict[str, Column]:
-    stamp = field(line, 15, 23)
+    return _fields(*spans(line).values(), strict)
+
+
+def _fields(stamp: Column, kind: Column, values: Column, strict: bool) -> dict[str, Column]:
+    """The mandatory fields from the columns of ``spans``."""
+    hour = field(stamp, 8, 10)
     return {
         "utc_date": _date(stamp, strict),
-        "utc_hour": field(line, 23, 25).cast("int") if strict else field(line, 23, 25).try_cast("int"),
-        "report_type": F.trim(field(line, 41, 46)),
-        "wind_mps": tenths(field(line, 65, 69), "9999", strict),
-        "temp_c": tenths(field(line, 87, 92), "+9999", strict),
-        "dew_c": tenths(field(line, 93, 98), "+9999", strict),
+        "utc_hour": hour.cast("int") if strict else hour.try_cast("int"),
+        "report_type": F.trim(kind),
+        "wind_mps": tenths(field(values, 0, 4), "9999", strict),
+        "temp_c": tenths(field(values, 22, 27), "+9999", strict),
+        "dew_c": tenths(field(values, 28, 33), "+9999", strict),
     }
 
 
 def sections(line: Column) -> tuple[Column, Column]:
     """The coded groups and the remarks, split at the first REM after the mandatory section."""
-    at = F.locate("REM", line, MANDATORY + 1)
-    groups = F.when(at > 0, F.substring(line, F.lit(MANDATORY + 1), at - MANDATORY - 1)).otherwise(F.substr(line, F.lit(MANDATORY + 1)))
-    return groups, F.when(at > 0, F.substr(line, at)).otherwise("")
+    coded = F.substr(line, F.lit(MANDATORY + 1))
+    groups = F.substring_index(coded, "REM", 1)  # all of it where there is no mark
+    return groups, F.substr(coded, F.length(groups) + 1)
 
 
 def _date(stamp: Column, strict: bool) -> Column:
@@ -60,45 +70,53 @@ def _date(stamp: Column, strict: bool) -> Column:
     return text.cast("date") if strict else text.try_cast("date")
 
 
-def depths(groups: Column) -> dict[str, Column]:
-    """__a1, __a3 ...: the depth text of the last one-hour group, and of the first of each longer period; '' if there is none."""
-    pattern = r"AA\d{0:02d}(?!9999)(\d{{4}})\d\d"
-    has = F.contains(groups, F.lit("AA"))
-    last = {"__a1": F.regexp_extract(groups, "(?s).*" + pattern.format(1), 1)}
-    return {n: F.when(has, v).otherwise("") for n, v in (last | {f"__a{n}": F.regexp_extract(groups, pattern.format(n), 1) for n in PERIODS}).items()}
+def depths(groups: Column) -> Column:
+    """Period and depth of every precipitation group whose depth is known, in their order: ' 010012 030000'; '' if there is none.
+
+    One pattern for all periods: groups are AA and nine digits, so no two of them overlap.
+    """
+    found = F.regexp_extract_all(groups, F.lit(r"AA\d(\d\d(?!9999)\d{4})\d\d"), F.lit(1))
+    return F.when(F.contains(groups, F.lit("AA")), F.concat(F.lit(" "), F.array_join(found, " "))).otherwise("")
 
 
 def precipitation() -> dict[str, Column]:
-    """precip_mm of the last one-hour group; acc_period and acc_depth of the shortest longer one. From the columns of ``depths``."""
-    number = lambda n: F.nullif(F.col(f"__a{n}"), F.lit("")).cast("int") / 10.0
+    """precip_mm of the last one-hour group; acc_period and acc_depth of the shortest longer one. From ``depths`` in __depths."""
+    known, number = F.col("__depths"), lambda text: F.substring(text, 1, 4).cast("int") / 10.0
+    has = lambda n: F.contains(known, F.lit(f" {n:02d}"))
+    first = lambda n: number(F.substr(known, F.locate(f" {n:02d}", known) + 3))
     return {
-        "precip_mm": number(1),
-        "acc_period": F.coalesce(*(F.when(F.col(f"__a{n}") != "", n) for n in PERIODS)),
-        "acc_depth": F.coalesce(*map(number, PERIODS)),
+        "precip_mm": F.when(has(1), number(F.substring_index(known, " 01", -1))),
+        "acc_period": F.coalesce(*(F.when(has(n), n) for n in PERIODS)),
+        "acc_depth": F.coalesce(*(F.when(has(n), first(n)) for n in PERIODS)),
     }
 
 
-def cloud_groups(groups: Column) -> Column:
-    """The greatest cover of the sky groups, in percent; codes 99 and 10 say nothing, 09 is all of the sky."""
+def sky_code(groups: Column) -> Column:
+    """The greatest code of the sky groups; codes 99 and 10 say nothing."""
     codes = F.regexp_extract_all(groups, F.lit(r"GA\d(\d{2})\d[+-]\d{5}\d\d{2}\d"), F.lit(1))
     # two digits each, so the greatest text is the greatest code, and a greater code is no less cover
     most = F.array_max(F.array_except(codes, F.array(F.lit("99"), F.lit("10")))).cast("int")
-    return F.when(F.contains(groups, F.lit("GA")), F.when(most == 9, 100.0).otherwise(most / 8.0 * 100.0))
+    return F.when(F.contains(groups, F.lit("GA")), most)
+
+
+def sky_cover(code: Column) -> Column:
+    """The cover of a sky code, in percent; 9 is all of the sky."""
+    return F.when(code == 9, 100.0).otherwise(code / 8.0 * 100.0)
 
 
 def weather_codes(groups: Column) -> Column:
     """True for a wet code (MW from 50, AW from 40), false for a dry one, null if the codes prove nothing (20 to 27 and 29)."""
     wet = groups.rlike(r"MW\d[5-9]\d\d|AW\d[4-9]\d\d")
     dry = groups.rlike(r"(?:MW\d(?:[01]\d|28|[34]\d)|AW\d(?:[01]\d|28|3\d))\d")
-    return F.when(groups.rlike("[MA]W"), F.when(wet, True).when(dry, False))
+    return F.when(F.contains(groups, F.lit("MW")) | F.contains(groups, F.lit("AW")), F.when(wet, True).when(dry, False))
 
 
 def metar_body(remarks: Column) -> Column:
     """What follows the first METAR, else SPECI mark in the remarks, up to its own remarks; null if there is none."""
     metar, speci = F.locate("METAR ", remarks), F.locate("SPECI ", remarks)
-    body = F.substr(remarks, F.when(metar > 0, metar).otherwise(speci) + 6)
+    body = F.when(metar > 0, F.substr(remarks, metar + 6)).when(speci > 0, F.substr(remarks, speci + 6))
     # up to the first mark of remarks, all of the rest where there is none
-    return F.when((metar > 0) | (speci > 0), F.substring_index(body, " RMK", 1))
+    return F.substring_index(body, " RMK", 1)
 
 
 def metar_wet(body: Column) -> Column:
@@ -106,29 +124,31 @@ def metar_wet(body: Column) -> Column:
 
 
 def metar_cloud(body: Column) -> Column:
-    """The greatest cover of the body's tokens, in percent; 0 for a clear-sky token, null if no token says."""
-    out = F.when(body.rlike(r"(?<!\S)(?:OVC|VV)\d{3}"), 100.0)
+    """The greatest cover of the body's tokens, in percent; 0 for a clear-sky token, null if no token says. A pattern runs only where its code stands."""
+    has = lambda code: F.contains(body, F.lit(code))
+    out = F.when((has("OVC") | has("VV")) & body.rlike(r"(?<!\S)(?:OVC|VV)\d{3}"), 100.0)
     for code in ("BKN", "SCT", "FEW"):
-        out = out.when(body.rlike(rf"(?<!\S){code}\d{{3}}"), COVER[code] / 8.0 * 100.0)
+        out = out.when(has(code) & body.rlike(rf"(?<!\S){code}\d{{3}}"), COVER[code] / 8.0 * 100.0)
     return out.when(body.rlike(_TOKEN.format("(?:" + "|".join(CLEAR_TOKENS) + ")")), 0.0)
 
 
 def with_sections(df: DataFrame, line: str = "line") -> DataFrame:
-    """df with __groups, __body, __codes, __wet and ``depths``. Projected step by step: each is read more than once later, so the optimizer keeps the steps apart."""
+    """df with __groups, __body, __codes, __wet, __depths and __sky. Projected step by step: each is read more than once later, so the optimizer keeps the steps apart."""
     groups, remarks = sections(F.col(line))
     out = df.withColumns({"__groups": groups, "__remarks": remarks}).withColumn("__body", metar_body(F.col("__remarks"))).drop("__remarks")
-    return out.withColumns({"__codes": weather_codes(F.col("__groups")), "__wet": metar_wet(F.col("__body")), **depths(F.col("__groups"))})
+    held = F.col("__groups")
+    return out.withColumns({"__codes": weather_codes(held), "__wet": metar_wet(F.col("__body")), "__depths": depths(held), "__sky": sky_code(held)})
 
 
 def parsed(df: DataFrame, line: str = "line", strict: bool = False) -> DataFrame:
     """df with all fields of the line; the METAR in the remarks fills what the groups leave open."""
-    held = with_sections(df, line)
+    held = with_sections(df.withColumns(spans(F.col(line))), line)
     codes, wet = F.col("__codes"), F.col("__wet")
     return held.withColumns(
         {
-            **mandatory(F.col(line), strict),
+            **_fields(F.col("__stamp"), F.col("__kind"), F.col("__values"), strict),
             **precipitation(),
-            "cloud_pct": F.coalesce(cloud_groups(F.col("__groups")), metar_cloud(F.col("__body"))),
+            "cloud_pct": F.coalesce(sky_cover(F.col("__sky")), metar_cloud(F.col("__body"))),
             "wx_wet": F.when(codes, True).when(wet, True).when(codes.isNotNull(), codes).when(wet.isNotNull(), False),
         }
-    ).drop("__groups", "__body", "__codes", "__wet", *(f"__a{n}" for n in (1, *PERIODS)))
+    ).drop("__groups", "__body", "__codes", "__wet", "__depths", "__sky", "__stamp", "__kind", "__values")

@@ -17,14 +17,15 @@ SKY = ("CLR", "CAVOK", "VV002", "BKN010CB", "FEW020 OVC080", "SCT030", "///", "N
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw line for each lineitem: no (its key columns), station, file_year, line."""
-    ok, ln, q = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")
-    dc, tx = F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int")
+    percent = lambda c: F.round(F.col(c) * 100).cast("int")
+    items = read(spark, sf_dir, "lineitem").withColumns({"dc": percent("l_discount"), "tx": percent("l_tax"), "whole": F.col("l_quantity").cast("int")})
+    ok, ln, q, dc, tx = (F.col(c) for c in ("l_orderkey", "l_linenumber", "whole", "dc", "tx"))
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     signed = lambda c: F.concat(F.when(c < 0, "-").otherwise("+"), pad(F.abs(c), 4))
-    temp = (q.cast("int") - 20) * 10
+    temp = (q - 20) * 10
     kind = F.when(F.col("l_returnflag") == "R", "FM-16").when(F.col("l_returnflag") == "A", "FM-15").otherwise(F.when(ln == 1, "SOD  ").otherwise("FM-12"))
     head = F.concat(
-        pad(ok, 15), F.date_format("l_shipdate", "yyyyMMdd"), pad((ok * 7 + ln) % 24, 2), F.lit("00"), F.lit("0" * 14), kind, F.lit("0" * 19), F.when(ln == 3, "9999").otherwise(pad(q.cast("int") * 10, 4)),
+        pad(ok, 15), F.date_format("l_shipdate", "yyyyMMdd"), pad((ok * 7 + ln) % 24, 2), F.lit("00"), F.lit("0" * 14), kind, F.lit("0" * 19), F.when(ln == 3, "9999").otherwise(pad(q * 10, 4)),
         F.lit("0" * 18), F.when(ln == 5, "+9999").otherwise(signed(temp)), F.lit("1"), F.when(ln == 6, "+9999").otherwise(signed(temp - 50 - dc * 10)), F.lit("1"), F.lit("0" * 6),
     )
     rain = F.when(ln % 2 == 0, F.concat(F.lit("AA101"), pad(dc * 3, 4), F.lit("91"))).otherwise("")
@@ -37,8 +38,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(head, rain, more, sky, now, F.when(ln == 7, F.lit("")).otherwise(remarks))
     files.bounded_methods(spark)
     made = F.when(ln == 4, F.substring(line, 1, 100)).otherwise(line)
-    # exploded, as a filter on a projected line would be pushed below it and spell the line anew for each of its conditions
-    return read(spark, sf_dir, "lineitem").select(ok.alias("no"), ln.alias("sub"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.explode(F.array(made)).alias("line"))
+    held = items.select(ok.alias("no"), ln.alias("sub"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.array(made).alias("made"))
+    # exploded, as a filter on a projected line would be pushed below it and spell the line anew for each of its conditions;
+    # from a column of its own, as an unfused explode interprets what it is given; outer, as no filter on its size is made then
+    return held.select("no", "sub", "part", "supp", F.explode_outer("made").alias("line"))
 
 
 def _pad(x: str, n: int) -> str:
@@ -111,7 +114,7 @@ for _name, _make, _columns in (
     ("parse_lines", reports.parsed, "utc_date utc_hour report_type wind_mps temp_c dew_c precip_mm acc_period acc_depth cloud_pct wx_wet"),
     ("parse_mandatory", lambda df: df.withColumns(reports.mandatory(F.col("line"))), "utc_date utc_hour report_type wind_mps temp_c dew_c"),
     ("parse_precip_groups", lambda df: reports.with_sections(df).withColumns(reports.precipitation()), "precip_mm acc_period acc_depth"),
-    ("parse_cloud_groups", _parts(ga_cloud=("groups", reports.cloud_groups)), "ga_cloud"),
+    ("parse_cloud_groups", _parts(ga_cloud=("sky", reports.sky_cover)), "ga_cloud"),
     ("present_weather", _parts(), "codes"),
     ("metar_body", _parts(), "body"),
     ("wet_tokens", _parts(), "wet"),

@@ -313,3 +313,15 @@ def test_lines_are_made_once(spark):
         # in both branches of one CASE
         assert plan.count("REMMET050") == 2 and int(spark.conf.get(limit)) <= 8000
     spark.conf.unset(shown)
+
+
+def test_lines_are_exploded_from_a_column_and_read_by_few_patterns(spark):
+    """An explode of an expression would be interpreted, and all depths come from one pattern."""
+    shown = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(shown, "1000")
+    plans = [raw.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for name in ("parse_lines", "parse_precip_groups", "metar_body")]
+    spark.conf.unset(shown)
+    assert all("Generate explode(made#" in p for p in plans)
+    assert [p.count("regexp_extract") for p in plans] == [2, 1, 0]
+    held = spark.createDataFrame([("0" * 105 + "AAA101001291AA10199999AA206999991AA2060007919AA103003091REM",)], "line string")
+    assert [tuple(r) for r in reports.with_sections(held).select(*(c.alias(n) for n, c in reports.precipitation().items())).collect()] == [(1.2, 3, 3.0)]
