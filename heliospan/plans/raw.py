@@ -35,10 +35,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (ok % 8).cast("int")
     report = F.when(ok % 3 != 0, F.concat(F.when(ok % 2 == 0, "METAR KAAA ").otherwise("SPECI KAAA "), F.get(F.array(*map(F.lit, WEATHER)), at), F.lit(" "), F.get(F.array(*map(F.lit, SKY)), ((ok + ln) % 8).cast("int")), F.lit(" RMK AO2 RA OVC001"))).otherwise("SYN042")
     remarks = F.concat(F.lit("REMMET050"), report)
-    line = F.concat(head, rain, more, sky, now, F.when(ln == 7, F.lit("")).otherwise(remarks))
+    line = F.concat(F.col("front"), F.when(ln == 7, F.lit("")).otherwise(remarks))
     files.bounded_methods(spark)
     made = F.when(ln == 4, F.substring(line, 1, 100)).otherwise(line)
-    held = items.select(ok.alias("no"), ln.alias("sub"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.array(made).alias("made"))
+    # the front is a column of its own, as both branches spelled it and their fused method was larger than the JVM compiles
+    fronts = items.withColumn("front", F.concat(head, rain, more, sky, now))
+    held = fronts.select(ok.alias("no"), ln.alias("sub"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.array(made).alias("made"))
     # exploded, as a filter on a projected line would be pushed below it and spell the line anew for each of its conditions;
     # from a column of its own, as an unfused explode interprets what it is given; outer, as no filter on its size is made then
     return held.select("no", "sub", "part", "supp", F.explode_outer("made").alias("line"))

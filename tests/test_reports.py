@@ -325,3 +325,14 @@ def test_lines_are_exploded_from_a_column_and_read_by_few_patterns(spark):
     assert [p.count("regexp_extract") for p in plans] == [2, 1, 0]
     held = spark.createDataFrame([("0" * 105 + "AAA101001291AA10199999AA206999991AA2060007919AA103003091REM",)], "line string")
     assert [tuple(r) for r in reports.with_sections(held).select(*(c.alias(n) for n, c in reports.precipitation().items())).collect()] == [(1.2, 3, 3.0)]
+
+
+def test_methods_of_made_lines_are_compiled(spark):
+    """Fused, no query on made-up lines has a method that the JVM would not compile, so none of them falls back to unfused operators."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        for name in ("parse_lines", "parse_mandatory", "parse_precip_groups", "parse_cloud_groups", "present_weather", "metar_body", "wet_tokens", "metar_cloud", "malformed_lines"):
+            stages = raw.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+            assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() <= files.METHOD_BYTES for i in range(stages.size())), name
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
