@@ -119,12 +119,21 @@ def _prefix(head: Column, tail: Column, k: int) -> Column:
     return F.shiftright(head, 16 * (HEAD - k)) if k <= HEAD else F.xxhash64(head, F.shiftright(tail, 16 * (LABEL - k)))
 
 
-def _forest(classes: DataFrame, floor: int) -> DataFrame:
-    """node, n, tree, head, tail of the sets that share floor digits with another, in the order of the trees' labels."""
+def _sizes(members: DataFrame, similarity: float, *more: Column) -> DataFrame:
+    """tree, prefix and ``more`` of the trie nodes in which some pair may link: two sets whose sizes differ too much cannot.
+
+    members: n, tree, prefix, and what ``more`` reads.
+    """
+    found = members.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), *more)
+    return found.where((F.col("size") > 1) & ((F.col("size") > 2) | (F.col("least") >= F.col("most") * (similarity - 1e-6))))
+
+
+def _forest(classes: DataFrame, floor: int, similarity: float) -> DataFrame:
+    """node, n, tree, head, tail of the sets that share floor digits with another of a fitting size, in the order of the trees' labels."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.get("labels", t).alias("head"), F.get("labels", t + TREES).alias("tail")))
-    below = classes.select("node", "n", F.inline(trees)).withColumn("root", _prefix(F.col("head"), F.col("tail"), floor))
-    shared = saved(below.groupBy("tree", "root").agg(F.count("*").alias("size")).where("size > 1").select("tree", "root"), "jaccard-roots")
-    return below.join(shared, ["tree", "root"], "left_semi").drop("root").sortWithinPartitions("tree", "head", "tail")
+    below = classes.select("node", "n", F.inline(trees)).withColumn("prefix", _prefix(F.col("head"), F.col("tail"), floor))
+    shared = saved(_sizes(below, similarity).select("tree", "prefix"), "jaccard-roots")
+    return below.join(shared, ["tree", "prefix"], "left_semi").drop("prefix").sortWithinPartitions("tree", "head", "tail")
 
 
 def _fresh(members: DataFrame, k: int, others: Column) -> DataFrame:
@@ -139,14 +148,23 @@ def _fresh(members: DataFrame, k: int, others: Column) -> DataFrame:
     return found.where((F.col("size") > 1) & ~met).select("tree", "prefix", "size", "bytes")
 
 
-def _meetings(forest: DataFrame, classes: DataFrame, k: int, first: bool) -> DataFrame:
+def _meetings(forest: DataFrame, classes: DataFrame, k: int, first: bool, similarity: float) -> DataFrame:
     """node and the list of trie nodes at depth k (tree, prefix, blocks) in which it may meet a set for the first time."""
-    members = forest.select("node", "n", "tree", _prefix(F.col("head"), F.col("tail"), k).alias("prefix")).join(classes.select("node", "labels"), "node")
+    digits = lambda k: _prefix(F.col("head"), F.col("tail"), k)
+    held = forest.select("node", "n", "tree", digits(k).alias("prefix"), *([] if first else [digits(k + 1).alias("longer")]))
+    # whole labels go only to nodes that may hold a link and, below the first level, branch here: else all have met in this tree
+    if first:
+        apart = _sizes(held, similarity)
+    else:
+        apart = _sizes(held, similarity, F.min("longer").alias("low"), F.max("longer").alias("high")).where("low < high")
+    apart = saved(apart.select("tree", "prefix"), "jaccard-apart")
+    members = held.drop("longer").join(apart, ["tree", "prefix"], "left_semi").join(classes.select("node", "labels"), "node")
     fresh = _fresh(members, k, lambda tree, t: tree > t)
     if not first:  # pairs that share one digit more in any tree have met
         fresh = fresh.join(_fresh(members, k + 1, lambda tree, t: F.lit(True)).select("tree", "prefix"), ["tree", "prefix"], "left_semi")
     fresh = saved(fresh.select("tree", "prefix", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "jaccard-fresh")
-    return members.join(fresh, ["tree", "prefix"]).groupBy("node").agg(F.collect_list(F.struct("tree", "prefix", "blocks")).alias("meetings"))
+    discard(apart)
+    return held.select("node", "tree", "prefix").join(fresh, ["tree", "prefix"]).groupBy("node").agg(F.collect_list(F.struct("tree", "prefix", "blocks")).alias("meetings"))
 
 
 def _sets(found: DataFrame) -> DataFrame:
@@ -314,14 +332,14 @@ def _classes(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
 def _all_links(docs: DataFrame, classes: DataFrame, text: str, key: str, similarity: float, recall: float) -> DataFrame:
     """node, root, links of all levels."""
     floor = depth(similarity, recall)
-    forest = saved(_forest(classes, floor), "jaccard-forest")
+    forest = saved(_forest(classes, floor, similarity), "jaccard-forest")
     wanted = classes.join(forest.select("node").distinct(), "node", "left_semi").select("rep.k1", "rep.k2", "node")
     held = docs.select(F.xxhash64(F.col(key)).alias("k1"), F.xxhash64(F.col(text).cast("binary")).alias("k2"), F.col(text).cast("binary").alias("text"))
     sets = saved(_sets(held.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")), "jaccard-sets")
     n_bins = _bins(similarity)
     links: DataFrame | None = None
     for k in range(LABEL, floor - 1, -1):
-        meetings = saved(_meetings(forest, classes, k, k == LABEL), "jaccard-meetings")
+        meetings = saved(_meetings(forest, classes, k, k == LABEL, similarity), "jaccard-meetings")
         found = sets.join(meetings.join(classes.select("node", "copies", "labels"), "node").hint("shuffle_hash"), "node")
         rows = _rows(found.select("node", "shingles", "copies", "labels", "meetings"))
         rows = rows.repartition("tree", "prefix", "a", "b").sortWithinPartitions("tree", "prefix", "a", "b")

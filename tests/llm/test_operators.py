@@ -696,3 +696,25 @@ def test_pipeline(spark, tmp_path):
     assert ids[4] == {i for i in ids[3] if draw[i]} and ids[5] == ids[4]
     assert {(r["doc_id"], r["shard"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r["doc_id"], r["shard"]) for r in frames[5].collect()}
     assert hashlib.sha256(b"").hexdigest() == decontaminate.digest([])
+
+
+def test_jaccard_sizes_that_cannot_link_are_left_out_early(spark, monkeypatch):
+    """Two sets alone in a node, one of them less than the threshold times the other, take no part; all links stay."""
+    words = lambda seed, n: [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, n)]
+    parts = [words(s, 120) for s in range(12)]
+    made = [(3 * i, " ".join(p)) for i, p in enumerate(parts)] + [(3 * i + 1, " ".join(p[:90])) for i, p in enumerate(parts)] + [(3 * i + 2, " ".join(words(99 + i, 50))) for i in range(12)]
+    counts = {}
+
+    def counted(df, name, held=jaccard.saved):
+        out = held(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert all(r.n_links == 0 and r.class_id == r.doc_id for r in jaccard.join(docs).collect())
+    assert counts["jaccard-forest"] == counts["jaccard-sets"] == 0
+    near = [(100 + i, " ".join(p[:114])) for i, p in enumerate(parts)]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(made + near, "doc_id long, text string")).collect()}
+    # 86 of 110 shingles are less than the threshold
+    assert all(found[3 * i] == (3 * i, 1) and found[100 + i] == (3 * i, 1) and found[3 * i + 1] == (3 * i + 1, 0) for i in range(12))
