@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospan.functions import reports
@@ -15,9 +15,15 @@ WEATHER = ("-RA", "TSRA", "VCSH", "BLSN", "+FZRA", "SHRASN", "BR", "HZ")
 SKY = ("CLR", "CAVOK", "VV002", "BKN010CB", "FEW020 OVC080", "SCT030", "///", "NSC1")
 
 
+def _rounded(x: Column) -> Column:
+    """x to the nearest whole number, halves away from 0, as ``round`` gives it by way of decimal text."""
+    whole = x.cast("int")
+    return whole + F.when(x - whole >= 0.5, 1).when(x - whole <= -0.5, -1).otherwise(0)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw line for each lineitem: no (its key columns), station, file_year, line."""
-    percent = lambda c: F.round(F.col(c) * 100).cast("int")
+    percent = lambda c: _rounded(F.col(c) * 100)
     items = read(spark, sf_dir, "lineitem").withColumns({"dc": percent("l_discount"), "tx": percent("l_tax"), "whole": F.col("l_quantity").cast("int")})
     ok, ln, q, dc, tx = (F.col(c) for c in ("l_orderkey", "l_linenumber", "whole", "dc", "tx"))
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")

@@ -336,3 +336,12 @@ def test_methods_of_made_lines_are_compiled(spark):
             assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() <= files.METHOD_BYTES for i in range(stages.size())), name
     finally:
         spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
+def test_lines_are_rounded_without_decimal_text(spark):
+    """Whole numbers as ``round`` gives them, halves and what lies next to them included."""
+    values = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 7.000000000000001, 28.499999999999996, 99.99999999999999, 2147483646.5, -2147483647.5, None]
+    held = spark.createDataFrame([(x,) for x in values], "x double")
+    rows = held.select(raw._rounded(F.col("x")).alias("got"), F.round("x").cast("int").alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert "round(" not in raw.QUERIES["present_weather"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
