@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospan.llm.common import components, discard, least_keys, numbered, saved, table
+from heliospan.llm.common import components, discard, least_keys, likely, numbered, saved, shuffles_freed, table
 from heliospan.llm.texts import CHUNK_BYTES, binary_text, mix, pieces, random_words, word_hashes
 
 WORDS = 5
@@ -133,7 +133,7 @@ def _forest(classes: DataFrame, floor: int, similarity: float) -> DataFrame:
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.get("labels", t).alias("head"), F.get("labels", t + TREES).alias("tail")))
     below = classes.select("node", "n", F.inline(trees)).withColumn("prefix", _prefix(F.col("head"), F.col("tail"), floor))
     shared = saved(_sizes(below, similarity).select("tree", "prefix"), "jaccard-roots")
-    return below.join(shared, ["tree", "prefix"], "left_semi").drop("prefix").sortWithinPartitions("tree", "head", "tail")
+    return likely(below, shared, "tree", "prefix").join(shared, ["tree", "prefix"], "left_semi").drop("prefix").sortWithinPartitions("tree", "head", "tail")
 
 
 def _fresh(members: DataFrame, k: int, others: Column) -> DataFrame:
@@ -320,27 +320,36 @@ def _tallies(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "root", "links", "bins"])
 
 
-def _classes(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """The signature of every row, and the classes of equal sets: node, least (key), rep (k1, k2 of one text), copies, labels."""
+def _classes(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """k1, k2, key, n, f1, f2 of every row; the classes of equal sets: n, f1, f2, node, least (key), rep (k1, k2 of one text), copies; node, n, rep, copies, labels of each.
+
+    Labels are most of the bytes, so only the last table, which goes first, holds them.
+    """
     hashed = F.xxhash64(F.col(text).cast("binary"))
     held = docs.select(F.xxhash64(F.col(key)).alias("k1"), hashed.alias("k2"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     signed = saved(_signatures(held, "key"), "jaccard-signed")
     classes = signed.where("n > 0").groupBy("n", "f1", "f2", "labels").agg(F.min("key").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"), F.count("*").alias("copies"))
-    return signed, numbered(classes, "jaccard-classes")
+    labelled = numbered(classes, "jaccard-labelled")
+    rows = saved(signed.drop("labels"), "jaccard-rows")
+    discard(signed)
+    return rows, saved(labelled.drop("labels"), "jaccard-classes"), labelled
 
 
-def _all_links(docs: DataFrame, classes: DataFrame, text: str, key: str, similarity: float, recall: float) -> DataFrame:
-    """node, root, links of all levels."""
+def _all_links(docs: DataFrame, labelled: DataFrame, text: str, key: str, similarity: float, recall: float) -> DataFrame:
+    """node, root, links of all levels. labelled: of ``_classes``; it is deleted."""
     floor = depth(similarity, recall)
-    forest = saved(_forest(classes, floor, similarity), "jaccard-forest")
-    wanted = classes.join(forest.select("node").distinct(), "node", "left_semi").select("rep.k1", "rep.k2", "node")
+    forest = saved(_forest(labelled, floor, similarity), "jaccard-forest")
+    nodes = forest.select("node").distinct()
+    classes = saved(likely(labelled, nodes, "node").join(nodes, "node", "left_semi"), "jaccard-kept")
+    discard(labelled)
+    wanted = classes.select("rep.k1", "rep.k2", "node")
     held = docs.select(F.xxhash64(F.col(key)).alias("k1"), F.xxhash64(F.col(text).cast("binary")).alias("k2"), F.col(text).cast("binary").alias("text"))
-    sets = saved(_sets(held.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")), "jaccard-sets")
+    sets = saved(_sets(likely(held, wanted, "k1", "k2").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")), "jaccard-sets")
     n_bins = _bins(similarity)
     links: DataFrame | None = None
     for k in range(LABEL, floor - 1, -1):
         meetings = saved(_meetings(forest, classes, k, k == LABEL, similarity), "jaccard-meetings")
-        found = sets.join(meetings.join(classes.select("node", "copies", "labels"), "node").hint("shuffle_hash"), "node")
+        found = likely(sets, meetings, "node").join(meetings.join(classes.select("node", "copies", "labels"), "node").hint("shuffle_hash"), "node")
         rows = _rows(found.select("node", "shingles", "copies", "labels", "meetings"))
         rows = rows.repartition("tree", "prefix", "a", "b").sortWithinPartitions("tree", "prefix", "a", "b")
         level = saved(_links(rows, similarity, k, k == LABEL), "jaccard-links")
@@ -349,8 +358,8 @@ def _all_links(docs: DataFrame, classes: DataFrame, text: str, key: str, similar
         counts = links.agg(*(F.sum(F.get("bins", F.lit(i))).alias(f"b{i}") for i in range(n_bins))).first()
         if missed([(similarity + i * BIN, (counts[i] or 0) // 2) for i in range(n_bins)], k) < 0.5 and any(counts):
             break
-    discard(sets)
-    discard(forest)
+    for done in (sets, forest, classes):
+        discard(done)
     return links
 
 
@@ -360,9 +369,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: f
     class_id: the smallest key reachable by links, itself included. n_links: other documents linked directly. copies:
     documents with this very set of shingles, itself included.
     """
-    signed, classes = _classes(docs, text, key)
-    links = _all_links(docs, classes, text, key, similarity, recall)
-    reach = least_keys(components(links, "node", "root"), classes, "least")
+    with shuffles_freed(docs.sparkSession):
+        signed, classes, labelled = _classes(docs, text, key)
+        links = _all_links(docs, labelled, text, key, similarity, recall)
+        grouped = components(links, "node", "root")
+    reach = least_keys(grouped, classes, "least")
     tally = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("n", "f1", "f2", "node", "least", "copies").join(tally, "node", "left").join(reach, "node", "left")
     out = signed.select("key", "n", "f1", "f2").join(known, ["n", "f1", "f2"], "left")
@@ -381,9 +392,10 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     Rows that repeat a key and its text are one document. Rows that share a key but hold other texts are documents of their
     own. Rows without a word all stay, those that repeat a known key once.
     """
-    signed, classes = _classes(docs, text, key)
-    links = _all_links(docs, classes, text, key, similarity, recall)
-    reach = components(links, "node", "root")
+    with shuffles_freed(docs.sparkSession):
+        signed, classes, labelled = _classes(docs, text, key)
+        links = _all_links(docs, labelled, text, key, similarity, recall)
+        reach = components(links, "node", "root")
     own = signed.where("n > 0").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"])
     group = F.coalesce("component", "node")
     best = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "k2", "k1"))

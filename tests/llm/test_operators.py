@@ -4,14 +4,16 @@ import collections
 import hashlib
 import itertools
 import json
+import os
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliospan.llm import bigrams, crossentropy, decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
+from heliospan.llm import bigrams, common, crossentropy, decontaminate, jaccard, language, mixing, repeats, sharding, tokens, toxicity, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -718,3 +720,47 @@ def test_jaccard_sizes_that_cannot_link_are_left_out_early(spark, monkeypatch):
     found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(made + near, "doc_id long, text string")).collect()}
     # 86 of 110 shingles are less than the threshold
     assert all(found[3 * i] == (3 * i, 1) and found[100 + i] == (3 * i, 1) and found[3 * i + 1] == (3 * i + 1, 0) for i in range(12))
+
+
+def test_jaccard_gives_back_shuffle_files_and_moves_few_texts(spark, monkeypatch):
+    """Shuffle files stayed until the driver collected its garbage, and all texts were dealt out to meet the few that take part."""
+    rng = np.random.default_rng(31)
+    made = [(i, " ".join(map(str, rng.integers(10**9, size=30)))) for i in range(400)]
+    made += [(400 + i, f"{text} tail") for i, (_, text) in enumerate(made[:10])]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {n for d in folders for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    passed = {}
+
+    def counted(df, wanted, *on, held=common.likely):
+        out = held(df, wanted, *on)
+        passed[on] = df.count(), out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "likely", counted)
+    before = files()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with common.shuffles_freed(spark):  # what is collected here as well
+            links = {r.doc_id: r.n_links for r in jaccard.join(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {i for i, n in links.items() if n} == {*range(10), *range(400, 410)}
+    assert passed["k1", "k2"][0] == 410 and 20 <= passed["k1", "k2"][1] < 100
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("most", [6, 28])
+def test_likely_keeps_all_matches(spark, most, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("x"), "id")).alias("name"))
+    wanted = rows.where("id % 30 = 1 or id = 0")
+    kept = common.likely(rows, wanted, "id", "name")
+    assert kept.schema == rows.schema and kept.join(wanted, "id", "left_semi").count() == wanted.count()
+    assert kept.count() <= (3000 if most == 6 else 350)
+    assert common.likely(rows, wanted.limit(0), "id").count() == 0
